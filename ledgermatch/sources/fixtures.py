@@ -116,7 +116,10 @@ def _closure(names):
 def with_fixtures(body: str, *names: str) -> str:
     """Prefix ``body`` with CTEs for the named fixture tables (and their dependencies)."""
     ctes = ",\n".join(f"{n} as ({FIXTURES[n].strip()})" for n in _closure(names))
-    return f"with {ctes}\n{body.strip()}"
+    body = body.strip()
+    if body[:5].lower() == "with ":
+        return f"with {ctes},\n{body[5:]}"
+    return f"with {ctes}\n{body}"
 
 
 def register_base_tables(spark: SparkSession, sf_dir: str) -> None:
