@@ -16,23 +16,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgermatch.functions.text import _col, is_blank, js_trim
+from ledgermatch.functions.text import JS_SPACE_CLASS, _col, is_blank
 
 # Exact accumulator type for amounts (10 fractional digits keep inputs such as
 # ``1.234,56`` -> 1.23456 exact).
 SUM_TYPE = "decimal(38,10)"
 
 _NUMERIC_PREFIX = r"^(-?(?:[0-9]+\.?[0-9]*|\.[0-9]+))"
+# "(...)" after trimming: optional spaces, "(", anything, ")", optional spaces.
+_PARENTHESISED = rf"(?s)^{JS_SPACE_CLASS}*\(.*\){JS_SPACE_CLASS}*\z"
 
 
 def parse_amount(c) -> Column:
-    t = js_trim(_col(c))
-    negative = t.startswith("(") & t.endswith(")")
-    stripped = F.regexp_replace(F.regexp_replace(t, r"^\(|\)\z", ""), r"[^0-9.\-]", "")
-    prefix = F.regexp_extract(stripped, _NUMERIC_PREFIX, 1)
-    value = F.when(prefix != "", prefix.cast("double"))
-    return (F.when(is_blank(c), F.lit(None).cast("double"))
-            .when(negative, -value).otherwise(value))
+    """Trimming and the removal of the outer parentheses are subsumed by dropping every
+    character outside ``[0-9.-]``; a blank cell leaves an empty string, hence null."""
+    x = _col(c)
+    digits = F.regexp_replace(x, r"[^0-9.\-]", "")
+    value = F.regexp_extract(digits, _NUMERIC_PREFIX, 1).try_cast("double")
+    sign = F.when(x.rlike(_PARENTHESISED), F.lit(-1.0)).otherwise(F.lit(1.0))
+    return value * sign
 
 
 def has_amount(amount) -> Column:

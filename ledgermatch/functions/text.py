@@ -30,14 +30,21 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+JS_EDGE_SPACE = rf"^{JS_SPACE_CLASS}|{JS_SPACE_CLASS}\z"
+JS_NON_SPACE = "[^" + JS_SPACE_CLASS[1:]
+
+
 def js_trim(c) -> Column:
-    """JavaScript ``trim``: strips Unicode spaces, NBSP and U+FEFF (Spark ``trim`` strips U+0020 only)."""
-    return F.regexp_replace(_col(c), JS_TRIM_PATTERN, "")
+    """JavaScript ``trim``: strips Unicode spaces, NBSP and U+FEFF (Spark ``trim`` strips U+0020 only).
+    Values without a space at either end skip the replacement."""
+    x = _col(c)
+    return F.when(x.rlike(JS_EDGE_SPACE), F.regexp_replace(x, JS_TRIM_PATTERN, "")).otherwise(x)
 
 
 def is_blank(c) -> Column:
-    """``String(v || '').trim() === ''`` for a string column: null, empty or only spaces."""
-    return F.coalesce(js_trim(c), F.lit("")) == ""
+    """``String(v || '').trim() === ''`` for a string column: null, empty or only spaces
+    (i.e. no character outside the space class; the search stops at the first one)."""
+    return F.coalesce(~_col(c).rlike(JS_NON_SPACE), F.lit(True))
 
 
 def normalize_name(c) -> Column:

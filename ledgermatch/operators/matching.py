@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ledgermatch.functions.scoring import Scorer, similarity, token_sort
 from ledgermatch.functions.text import is_blank, normalize_name, shares_ngram, smart_substring_match
 from ledgermatch.operators import blocking
+from ledgermatch.session import materialize
 
 DECISION_COLS = ["vendor_norm", "supplier_norm", "supplier_pos", "supplier", "match_type", "score"]
 TIERS = ("exact", "substring", "fuzzy")
@@ -97,8 +98,8 @@ def match_fuzzy(keys: DataFrame, suppliers: DataFrame, min_score: int | None = N
     if not segmentable:
         return _best(_score(blocking.ngram_candidates(v, s, min_shared_run), s, scorer, None,
                             min_shared_run), "fuzzy")
-    first = _best(_score(blocking.threshold_candidates(v, s, cascade_score), s, scorer,
-                         cascade_score, min_shared_run), "fuzzy")
+    first = materialize(_best(_score(blocking.threshold_candidates(v, s, cascade_score), s, scorer,
+                                     cascade_score, min_shared_run), "fuzzy"), "fuzzy-first-pass")
     rest = v.join(first.select("vendor_norm"), "vendor_norm", "left_anti")
     second = _best(_score(blocking.ngram_candidates(rest, s, min_shared_run), s, scorer, None,
                           min_shared_run), "fuzzy")

@@ -33,51 +33,60 @@ DEFAULT_ROWS_PER_BLOCK = 1 << 20
 
 def mark_rows(sheet: DataFrame, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
     """Per row: parsed ``amount``, ``filled_vendor``, ``is_total``, ``vendor_norm`` (named
-    rows only) and ``subtotal_after`` (stated subtotal if this row ends a vendor)."""
+    rows only) and ``subtotal_after`` (stated subtotal if this row ends a vendor).
+
+    Plan: one shuffle of the rows on ``(sheet_id, block)``; the block summary is
+    aggregated from the windowed rows (already clustered and sorted, so no second
+    shuffle or sort of the big side); the carry window runs on the summary (one row
+    per block) and is joined back on ``(sheet_id, block)``.
+    """
     base = sheet.select(
         "sheet_id", "row_pos", "vendor", "invoice_amount",
         parse_amount("invoice_amount").alias("amount"),
         is_blank("vendor").alias("blank"),
-        F.floor(F.col("row_pos") / F.lit(rows_per_block)).cast("long").alias("blk"),
+        F.expr(f"row_pos div {int(rows_per_block)}").alias("blk"),
     )
-    summary = base.groupBy("sheet_id", "blk").agg(
-        F.max(F.when(~F.col("blank"), F.struct("row_pos", "vendor"))).alias("last_named"),
+    w = Window.partitionBy("sheet_id", "blk").orderBy("row_pos")
+    local = base.select(
+        "*",
+        F.last(F.when(~F.col("blank"), F.col("vendor")), ignorenulls=True)
+        .over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("local_vendor"),
+        F.lead(F.struct("blank", "amount")).over(w).alias("local_next"),
+    )
+    summary = local.groupBy("sheet_id", "blk").agg(
+        F.max(F.struct("row_pos", "local_vendor")).alias("last_row"),
         F.min(F.struct("row_pos", "blank", "amount")).alias("first_row"),
     )
     wb = Window.partitionBy("sheet_id").orderBy("blk")
     carry = summary.select(
         "sheet_id", "blk",
-        F.last(F.col("last_named.vendor"), ignorenulls=True)
+        F.last(F.col("last_row.local_vendor"), ignorenulls=True)
         .over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_vendor"),
         F.lead(F.struct(F.col("first_row.blank").alias("blank"),
                         F.col("first_row.amount").alias("amount"))).over(wb).alias("next_first"),
     )
-    w = Window.partitionBy("sheet_id", "blk").orderBy("row_pos")
-    rows = base.join(carry, ["sheet_id", "blk"], "inner")
-    current = F.coalesce(
-        F.last(F.when(~F.col("blank"), F.col("vendor")), ignorenulls=True)
-        .over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        F.col("carry_vendor"))
-    nxt = F.coalesce(F.lead(F.struct("blank", "amount")).over(w), F.col("next_first"))
-    rows = rows.select(
+    rows = local.join(carry, ["sheet_id", "blk"], "inner").select(
         "sheet_id", "row_pos", "vendor", "invoice_amount", "amount", "blank",
-        current.alias("current_vendor"), nxt.alias("next_row"))
+        F.coalesce("local_vendor", "carry_vendor").alias("current_vendor"),
+        F.coalesce("local_next", "next_first").alias("next_row"))
     is_total = F.col("blank") & F.col("current_vendor").isNotNull() & has_amount("amount")
     filled = (F.when(~F.col("blank"), F.col("vendor"))
               .when(F.col("current_vendor").isNotNull() & ~has_amount("amount"), F.col("current_vendor"))
               .otherwise(F.col("vendor")))
-    named = ~is_blank(filled) & ~is_total
     subtotal_after = F.when(
         F.coalesce(F.col("next_row.blank"), F.lit(False)) & has_amount("next_row.amount"),
         F.col("next_row.amount")).otherwise(F.lit(0.0))
-    return rows.select(
-        "sheet_id", "row_pos", "vendor", "invoice_amount", "amount",
-        filled.alias("filled_vendor"),
-        is_total.alias("is_total"),
-        F.when(named, normalize_name(filled)).alias("vendor_norm"),
-        F.when(named, js_trim(filled)).alias("vendor_display"),
-        F.when(named, subtotal_after).alias("subtotal_after"),
-        F.when(is_total, js_trim("current_vendor")).alias("block_vendor"),
+    # a filled or non-blank vendor is never blank, so "named" = has a vendor and is no subtotal
+    marked = rows.select(
+        "sheet_id", "row_pos", "vendor", "invoice_amount", "amount", "current_vendor",
+        filled.alias("filled_vendor"), is_total.alias("is_total"), subtotal_after.alias("_sub"))
+    named = F.col("current_vendor").isNotNull() & ~F.col("is_total")
+    return marked.select(
+        "sheet_id", "row_pos", "vendor", "invoice_amount", "amount", "filled_vendor", "is_total",
+        F.when(named, normalize_name("filled_vendor")).alias("vendor_norm"),
+        F.when(named, js_trim("filled_vendor")).alias("vendor_display"),
+        F.when(named, F.col("_sub")).alias("subtotal_after"),
+        F.when(F.col("is_total"), js_trim("current_vendor")).alias("block_vendor"),
     )
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ledgermatch.functions.scoring import Scorer, similarity
+from ledgermatch.session import materialize
 from ledgermatch.operators.matching import match_decisions, match_report, supplier_index
 from ledgermatch.operators.rollup import supplier_totals, update_master
 from ledgermatch.operators.sheet import DEFAULT_ROWS_PER_BLOCK, mark_rows, vendor_blocks
@@ -30,8 +31,8 @@ def reconcile(master: DataFrame, sheets: DataFrame, tiers=("exact", "fuzzy"),
     accepted); ``min_score=85`` is the documented threshold contract."""
     require_columns(master, MASTER_COLUMNS + ["row_pos"], "Universal Database")
     require_columns(sheets, SHEET_COLUMNS + ["sheet_id", "row_pos"], "Vendor sheet")
-    blocks = vendor_blocks(mark_rows(sheets, rows_per_block))
-    suppliers = supplier_index(master)
+    blocks = materialize(vendor_blocks(mark_rows(sheets, rows_per_block)), "vendor-blocks")
+    suppliers = materialize(supplier_index(master), "supplier-index")
     decisions = match_decisions(blocks, suppliers, tiers, min_score, scorer, min_shared_run)
     report = match_report(blocks, decisions)
     return Reconciliation(update_master(master, supplier_totals(report)), report)

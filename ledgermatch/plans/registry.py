@@ -14,6 +14,7 @@ from ledgermatch.operators import matching as M
 from ledgermatch.operators import sheet as S
 from ledgermatch.operators.rollup import supplier_totals, update_master
 from ledgermatch.plans.reconcile import reconcile
+from ledgermatch.session import materialize
 from ledgermatch.sources.fixtures import table
 
 
@@ -22,11 +23,11 @@ def _t(spark, sf, name):
 
 
 def _blocks(spark, sf):
-    return S.vendor_blocks(S.mark_rows(_t(spark, sf, "vendor_sheet")))
+    return materialize(S.vendor_blocks(S.mark_rows(_t(spark, sf, "vendor_sheet"))), "vendor-blocks")
 
 
 def _suppliers(spark, sf):
-    return M.supplier_index(_t(spark, sf, "universal"))
+    return materialize(M.supplier_index(_t(spark, sf, "universal")), "supplier-index")
 
 
 def _name_pairs(spark, sf):

@@ -56,3 +56,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set; point it at a shared folder the cluster can read")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgermatch-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialize(df, label: str):
+    """Write ``df`` as parquet under the (shared) checkpoint directory and read it back.
+
+    Used for intermediate tables that several branches of a plan reuse: they are
+    computed once, and the lineage is cut so a lost executor does not replay the
+    whole upstream plan.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
