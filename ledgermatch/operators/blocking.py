@@ -104,14 +104,13 @@ def threshold_candidates(vendors: DataFrame, suppliers: DataFrame, c: int) -> Da
 
 
 def ngram_candidates(vendors: DataFrame, suppliers: DataFrame, n: int = 3) -> DataFrame:
-    """All pairs sharing a character n-gram, each pair once (at its smallest shared n-gram)."""
-    v = vendors.select("vendor_norm", ngrams("vendor_norm", n).alias("vgrams"))
-    s = suppliers.select("supplier_norm", ngrams("supplier_norm", n).alias("sgrams"))
-    ve = v.select("vendor_norm", "vgrams", F.explode("vgrams").alias("g"))
-    se = s.select("supplier_norm", "sgrams", F.explode("sgrams").alias("g"))
-    pairs = ve.join(se, "g")
-    return (pairs.where(F.array_min(F.array_intersect("vgrams", "sgrams")) == F.col("g"))
-            .select("vendor_norm", "supplier_norm"))
+    """All pairs sharing a character n-gram, each pair once.
+
+    Equi-join on distinct n-grams (AQE splits a hot n-gram's partition), then a hash
+    de-duplication whose partial aggregation runs map-side."""
+    ve = vendors.select("vendor_norm", F.explode(ngrams("vendor_norm", n)).alias("g"))
+    se = suppliers.select("supplier_norm", F.explode(ngrams("supplier_norm", n)).alias("g"))
+    return ve.join(se, "g").select("vendor_norm", "supplier_norm").dropDuplicates()
 
 
 # ---------------------------------------------------------------- substring tier

@@ -16,7 +16,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermatch.functions.scoring import Scorer, similarity, token_sort
+from ledgermatch.functions.scoring import (Scorer, max_edits, ratio_from_distance, similarity,
+                                           token_sort)
 from ledgermatch.functions.text import is_blank, normalize_name, shares_ngram, smart_substring_match
 from ledgermatch.operators import blocking
 from ledgermatch.session import materialize
@@ -24,7 +25,7 @@ from ledgermatch.session import materialize
 DECISION_COLS = ["vendor_norm", "supplier_norm", "supplier_pos", "supplier", "match_type", "score"]
 TIERS = ("exact", "substring", "fuzzy")
 # Default first pass of the code-parity fuzzy search (any threshold keeps it exact).
-PARITY_CASCADE_SCORE = 85
+PARITY_CASCADE_SCORE = 90
 
 
 def supplier_index(master: DataFrame) -> DataFrame:
@@ -75,6 +76,35 @@ def _score(pairs: DataFrame, suppliers: DataFrame, scorer: Scorer, min_score: in
     return p.where(keep)
 
 
+def _score_banded(pairs: DataFrame, v: DataFrame, s: DataFrame, min_score: int) -> DataFrame:
+    """Default scorer restricted to ``score >= min_score``: distinct candidate pairs,
+    banded Levenshtein (stops past the allowed edit count) on the plain and the
+    token-sorted names, and the 3-character-run condition."""
+    p = (pairs.dropDuplicates(["vendor_norm", "supplier_norm"])
+         .join(v, "vendor_norm").join(s, "supplier_norm"))
+    longest = F.greatest(F.length("vendor_norm"), F.length("supplier_norm"))
+    p = p.select("*", longest.alias("_len"), max_edits(longest, min_score).alias("_k"))
+
+    def ratio(a, b):
+        d = F.expr(f"levenshtein({a}, {b}, _k)")
+        return F.when(d >= 0, ratio_from_distance(d, F.col("_len")))
+
+    score = F.greatest(ratio("vendor_norm", "supplier_norm"), ratio("vendor_sorted", "supplier_sorted"))
+    p = p.select("vendor_norm", "supplier_norm", "supplier_pos", "supplier", score.alias("score"))
+    return p.where(F.col("score").isNotNull() & shares_ngram("vendor_norm", "supplier_norm", 3))
+
+
+def _score_full(pairs: DataFrame, v: DataFrame, s: DataFrame) -> DataFrame:
+    """Default scorer on candidate pairs that already share a 3-character run; the
+    token-sorted names are computed once per name, not once per pair."""
+    p = pairs.join(v, "vendor_norm").join(s, "supplier_norm")
+    longest = F.greatest(F.length("vendor_norm"), F.length("supplier_norm"))
+    score = F.greatest(
+        ratio_from_distance(F.levenshtein("vendor_norm", "supplier_norm"), longest),
+        ratio_from_distance(F.levenshtein("vendor_sorted", "supplier_sorted"), longest))
+    return p.select("vendor_norm", "supplier_norm", "supplier_pos", "supplier", score.alias("score"))
+
+
 def match_fuzzy(keys: DataFrame, suppliers: DataFrame, min_score: int | None = None,
                 scorer: Scorer = similarity, min_shared_run: int = 3,
                 cascade_score: int = PARITY_CASCADE_SCORE) -> DataFrame:
@@ -92,17 +122,21 @@ def match_fuzzy(keys: DataFrame, suppliers: DataFrame, min_score: int | None = N
                          "supplier_pos", "supplier")
     segmentable = scorer is similarity and min_shared_run == 3
     if min_score is not None:
-        cand = (blocking.threshold_candidates(v, s, min_score) if segmentable
-                else blocking.ngram_candidates(v, s, min_shared_run))
-        return _best(_score(cand, s, scorer, min_score, min_shared_run), "fuzzy")
+        if segmentable and min_score >= blocking.SEGMENT_MIN_SCORE:
+            return _best(_score_banded(blocking.threshold_candidates(v, s, min_score), v, s, min_score),
+                         "fuzzy")
+        if segmentable:
+            return _best(_score_full(blocking.ngram_candidates(v, s, 3), v, s)
+                         .where(F.col("score") >= min_score), "fuzzy")
+        return _best(_score(blocking.ngram_candidates(v, s, min_shared_run), s, scorer, min_score,
+                            min_shared_run), "fuzzy")
     if not segmentable:
         return _best(_score(blocking.ngram_candidates(v, s, min_shared_run), s, scorer, None,
                             min_shared_run), "fuzzy")
-    first = materialize(_best(_score(blocking.threshold_candidates(v, s, cascade_score), s, scorer,
-                                     cascade_score, min_shared_run), "fuzzy"), "fuzzy-first-pass")
+    first = materialize(_best(_score_banded(blocking.threshold_candidates(v, s, cascade_score), v, s,
+                                            cascade_score), "fuzzy"), "fuzzy-first-pass")
     rest = v.join(first.select("vendor_norm"), "vendor_norm", "left_anti")
-    second = _best(_score(blocking.ngram_candidates(rest, s, min_shared_run), s, scorer, None,
-                          min_shared_run), "fuzzy")
+    second = _best(_score_full(blocking.ngram_candidates(rest, s, 3), v, s), "fuzzy")
     return first.unionByName(second)
 
 
