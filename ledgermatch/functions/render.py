@@ -36,9 +36,7 @@ def truncate_text(c, max_chars: int, marker: str) -> Column:
 
 
 def display_number(c) -> Column:
-    """JavaScript-style number text for amounts: integers print without ``.0``."""
-    x = _col(c)
-    as_long = x.cast("long")
-    return F.when(x.isNull(), F.lit("null")).when(
-        (x == as_long.cast("double")) & (F.abs(x) < 1e15), as_long.cast("string")
-    ).otherwise(x.cast("string"))
+    """JavaScript-style text of an amount: plain digits, no trailing zeros, integers
+    without a decimal point (``12345.67``, ``-5``, ``0``).  Exact to 10 decimals."""
+    plain = _col(c).cast("decimal(38,10)").cast("string")
+    return F.regexp_replace(plain, r"(\.[0-9]*[1-9])0+$|\.0+$", "$1")

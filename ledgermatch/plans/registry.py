@@ -13,7 +13,15 @@ from ledgermatch.functions.scoring import edit_ratio, similarity, token_sort_rat
 from ledgermatch.operators import matching as M
 from ledgermatch.operators import sheet as S
 from ledgermatch.operators.rollup import supplier_totals, update_master
+from ledgermatch.functions import screening as SC
+from ledgermatch.operators import decisions as D
+from ledgermatch.operators import reports as R
+from ledgermatch.operators.ordering import first_rows_per_sheet
+from ledgermatch.plans.decisions import apply_decisions
 from ledgermatch.plans.reconcile import reconcile
+from ledgermatch.plans.requests import build_match_requests
+from ledgermatch.plans.screening import screen_text
+from ledgermatch.sources import sheets as IO
 from ledgermatch.session import materialize
 from ledgermatch.sources.fixtures import table
 
@@ -178,5 +186,135 @@ QUERIES = {
 }
 
 
+
+# ---------------------------------------------------------------- substring tier
+
+def _residual(spark, sf):
+    keys = M.vendor_keys(_blocks(spark, sf))
+    sup = _suppliers(spark, sf)
+    return M.residual(keys, M.match_exact(keys, sup)), sup
+
+
+def match_substring_pairs(spark, sf):
+    res, sup = _residual(spark, sf)
+    return M.substring_pairs(res, sup)
+
+
+def match_substring_best(spark, sf):
+    res, sup = _residual(spark, sf)
+    return M.match_substring(res, sup)
+
+
+# ---------------------------------------------------------------- report views
+
+def ranked_report(spark, sf):
+    return R.ranked_report(match_report(spark, sf))
+
+
+def match_counts(spark, sf):
+    return R.match_counts(match_report(spark, sf))
+
+
+def unmatched_vendors(spark, sf):
+    return R.unmatched_vendors(match_report(spark, sf))
+
+
+# ---------------------------------------------------------------- decisions
+
+def distinct_suppliers(spark, sf):
+    return D.first_row_by_name(_t(spark, sf, "universal"))
+
+
+def parse_responses(spark, sf):
+    return D.parse_decisions(_t(spark, sf, "match_responses"))
+
+
+def ingest_decisions(spark, sf):
+    return D.decisions_report(D.parse_decisions(_t(spark, sf, "match_responses")), _t(spark, sf, "universal"))
+
+
+def apply_decisions_q(spark, sf):
+    return apply_decisions(_t(spark, sf, "universal"), _t(spark, sf, "match_responses")).updated_master
+
+
+def match_request_batches(spark, sf):
+    return build_match_requests(_t(spark, sf, "universal"), _t(spark, sf, "vendor_sheet"))
+
+
+# ---------------------------------------------------------------- screening
+
+def flag_keywords(spark, sf):
+    d = _t(spark, sf, "documents")
+    f = SC.flag_keywords("text")
+    return d.select("doc_id", F.array_join(f, ", ").alias("flagged_text"), F.size(f).alias("n_flagged"))
+
+
+def _verdict_cols(df, key_cols):
+    v = F.col("verdict")
+    return df.select(*key_cols, v["is_offensive"].alias("is_offensive"), v["message"].alias("message"),
+                     v["details"].alias("details"), v["severity"].alias("severity"),
+                     F.array_join(v["flagged_words"], ", ").alias("flagged_text"), "warning")
+
+
+def screen_text_q(spark, sf):
+    c = _t(spark, sf, "conversations")
+    return _verdict_cols(screen_text(c), ["conv_id", "turn"])
+
+
+def warning_messages(spark, sf):
+    d = _t(spark, sf, "documents")
+    return screen_text(d).select("doc_id", "warning")
+
+
+def screen_text_with_responses(spark, sf):
+    d = _t(spark, sf, "documents").withColumnRenamed("doc_id", "text_id")
+    out = screen_text(d, responses=_t(spark, sf, "moderation_responses"), id_col="text_id")
+    return _verdict_cols(out, ["text_id"])
+
+
+# ---------------------------------------------------------------- sheet sources and sinks
+
+def scan_vendor_sheet(spark, sf):
+    """Write the sheets as CSV (one folder per sheet) and read them back."""
+    path = IO.scratch_path(spark, "sheets-csv")
+    IO.write_sheets_csv(_t(spark, sf, "vendor_sheet"), path)
+    back = IO.read_sheet_csv(spark, path)
+    return back.select(F.col("sheet_id").cast("long").alias("sheet_id"), "row_pos", "vendor", "invoice_amount")
+
+
+def select_sheet(spark, sf):
+    return IO.select_sheet(_t(spark, sf, "vendor_sheet"), 3)
+
+
+def csv_render(spark, sf):
+    return IO.render_csv_lines(_t(spark, sf, "vendor_sheet"), key_cols=("sheet_id",))
+
+
+def sheet_head(spark, sf):
+    return first_rows_per_sheet(_t(spark, sf, "vendor_sheet"), 5)
+
+
+QUERIES.update({
+    "match_substring_pairs": match_substring_pairs,
+    "match_substring_best": match_substring_best,
+    "ranked_report": ranked_report,
+    "match_counts": match_counts,
+    "unmatched_vendors": unmatched_vendors,
+    "distinct_suppliers": distinct_suppliers,
+    "parse_responses": parse_responses,
+    "ingest_decisions": ingest_decisions,
+    "apply_decisions": apply_decisions_q,
+    "match_request_batches": match_request_batches,
+    "flag_keywords": flag_keywords,
+    "screen_text": screen_text_q,
+    "warning_messages": warning_messages,
+    "screen_text_with_responses": screen_text_with_responses,
+    "scan_vendor_sheet": scan_vendor_sheet,
+    "select_sheet": select_sheet,
+    "csv_render": csv_render,
+    "sheet_head": sheet_head,
+})
+
+
 def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     return QUERIES[name](spark, sf_dir)
