@@ -125,3 +125,195 @@ with {RECONCILE_DEFAULT}
 }
 
 _ = (HAS,)  # fragments kept importable for ad-hoc checks
+
+
+# ---------------------------------------------------------------- later operator families
+from checks.sqltext import ANY_FENCE, CSVLINE, LEAD_FENCE, NUMTEXT, SUBSTRING_MATCH  # noqa: E402
+from ledgermatch.functions import screening as _S  # noqa: E402
+
+_RES = _cte(MARKED(), SUPPLIERS, KEYS, EXACT)
+_KW = "[" + ", ".join(f"'{k}'" for k in _S.FALLBACK_KEYWORDS) + "]"
+_WARN = f"'{_S.WARNING_PREFIX}{_S.WARNING_SUFFIX}'"
+
+_DECISION_TYPE = ('[{"vendor":"VARCHAR","supplier":"VARCHAR","match_type":"VARCHAR",'
+                  '"score":"DOUBLE","amount":"DOUBLE"}]')
+_PARSED = f"""
+rt as (select request_id, {LEAD_FENCE('response')} as json_text from match_responses),
+ok as (select request_id, from_json(json_text, '{_DECISION_TYPE}') as arr from rt
+       where json_valid(json_text) and json_type(json_text) = 'ARRAY'),
+el as (select request_id, generate_subscripts(arr, 1) - 1 as idx, unnest(arr) as d from ok),
+parsed as (select request_id, idx, d.vendor as vendor, d.supplier as supplier,
+    coalesce(nullif(d.match_type, ''), 'fuzzy') as match_type,
+    coalesce(case when not isnan(d.score) then d.score end, 0.0) as score,
+    coalesce(case when not isnan(d.amount) then d.amount end, 0.0) as amount from el)"""
+
+_DEC_REPORT = _PARSED + """,
+names as (select supplier, min(row_pos) as supplier_pos from universal where supplier is not null
+          group by supplier),
+dj as (select p.*, n.supplier_pos,
+         (p.match_type = 'no_match' or p.supplier is null or p.supplier = '' or n.supplier_pos is null) as nomatch
+       from parsed p left join names n on p.supplier = n.supplier
+       where p.vendor is not null and p.vendor <> ''),
+report as (select request_id, idx, vendor, case when nomatch then null else supplier end as supplier,
+    case when nomatch then 'no_match' else match_type end as match_type,
+    case when nomatch then 0.0 else score end as score, amount as amount_added,
+    case when nomatch then null else supplier_pos end as supplier_pos from dj)"""
+
+
+def _screen(text: str, fallback_only: bool) -> str:
+    """Verdict columns for texts; ``pv`` (parsed verdict) columns are used when present."""
+    hit = f"len(list_filter({_KW}, lambda k: contains(lower({text}), k)))"
+    flagged = f"array_to_string(list_filter({_KW}, lambda k: contains(lower({text}), k)), ', ')"
+    if fallback_only:
+        use_parsed = "false"
+    else:
+        use_parsed = "coalesce(pv_ok, false)"
+    sev = "coalesce(nullif(pv_sev, ''), 'medium')"
+    pmsg = (f"'{_S.WARNING_PREFIX}' || case when {sev} = 'high' then '{_S.SERIOUS_SENTENCE}' else '' end "
+            f"|| '{_S.WARNING_SUFFIX}'")
+    pflag = "array_to_string(coalesce(pv_words, []::varchar[]), ', ')"
+    off = f"coalesce(pv_off, false)"
+    return f"""
+  case when {BLANK(text)} then false when {use_parsed} then {off} else {hit} > 0 end as is_offensive,
+  case when {BLANK(text)} then '{_S.MSG_EMPTY}'
+       when {use_parsed} then case when {off} then {pmsg} else '{_S.MSG_CLEAN}' end
+       when {hit} > 0 then {_WARN} else '{_S.MSG_FALLBACK_CLEAN}' end as message,
+  case when {BLANK(text)} then '{_S.DETAILS_EMPTY}'
+       when {use_parsed} then case when {off} then coalesce(nullif(pv_reason, ''), '{_S.DETAILS_OFFENSIVE}')
+                                   else coalesce(nullif(pv_reason, ''), '{_S.DETAILS_CLEAN}') end
+       when {hit} > 0 then '{_S.DETAILS_FALLBACK_HIT}' else '{_S.DETAILS_FALLBACK_CLEAN}' end as details,
+  case when {BLANK(text)} then null when {use_parsed} then case when {off} then {sev} else 'none' end
+       when {hit} > 0 then 'medium' else 'none' end as severity,
+  case when {BLANK(text)} then '' when {use_parsed} then case when {off} then {pflag} else '' end
+       when {hit} > 0 then {flagged} else '' end as flagged_text"""
+
+
+def _with_warning(inner: str, keys: str) -> str:
+    return f"""
+select {keys}, is_offensive, message, details, severity, flagged_text,
+  case when is_offensive and flagged_text <> '' then message || chr(10) || 'Flagged words: ' || flagged_text
+       else message end as warning
+from ({inner})"""
+
+
+_NO_VERDICT = ("false as pv_ok, cast(null as boolean) as pv_off, cast(null as varchar) as pv_sev, "
+               "cast(null as varchar) as pv_reason, cast(null as varchar[]) as pv_words")
+
+_VERDICTS = f"""
+vr as (select text_id, {ANY_FENCE('response')} as t from moderation_responses),
+pv as (select text_id, true as pv_ok,
+    cast(json_extract(t, '$.isOffensive') as boolean) as pv_off,
+    json_extract_string(t, '$.severity') as pv_sev,
+    json_extract_string(t, '$.reason') as pv_reason,
+    from_json(json_extract(t, '$.flaggedWords'), '["VARCHAR"]') as pv_words
+  from vr where starts_with(ltrim(t), '{{') and json_valid(t))"""
+
+_BATCH = 50
+_REQUESTS = f"""
+with {MARKED().strip()},
+num as (select sheet_id, first_pos, vendor, amount,
+          row_number() over (partition by sheet_id order by first_pos) as n from blocks),
+lines as (select sheet_id, (n - 1) // {_BATCH} as batch_no, n,
+            format('{{}}. "{{}}" (Amount: {{}})', n, vendor, {NUMTEXT('amount')}) as line from num),
+batches as (select sheet_id, batch_no, count(*) as n_vendors, min(n) as first_n,
+              string_agg(line, chr(10) order by n) as vendor_lines from lines group by sheet_id, batch_no),
+vt as (select sheet_id, count(*) as n_unique_vendors from blocks group by sheet_id),
+names as (select supplier, min(row_pos) as supplier_pos from universal group by supplier),
+nsup as (select count(*) as c from names),
+sl as (select string_agg(format('{{}}. "{{}}"', rn, coalesce(supplier, 'null')), chr(10) order by rn) as t
+       from (select supplier, row_number() over (order by supplier_pos) as rn from names) where rn <= 100),
+mfull as (select 'Supplier,Default payment method,Invoice Total' || chr(10)
+            || string_agg({CSVLINE('supplier', 'default_payment_method', 'invoice_total')}, chr(10) order by row_pos)
+            as t from universal),
+mcsv as (select case when length(t) > 5000 then substring(t, 1, 5000) || chr(10) || '... (truncated for display)'
+            else t end as t from mfull),
+sfull as (select sheet_id, 'Vendor,Invoice Amount' || chr(10)
+            || string_agg({CSVLINE('vendor', 'invoice_amount')}, chr(10) order by row_pos) as t
+          from vendor_sheet group by sheet_id),
+scsv as (select sheet_id, case when length(t) > 5000 then substring(t, 1, 5000) || chr(10)
+            || '... (truncated for display)' else t end as sheet_csv from sfull)
+select b.sheet_id, b.batch_no, b.first_n, b.n_vendors, vt.n_unique_vendors, b.vendor_lines,
+  nsup.c as n_suppliers, sl.t as supplier_lines,
+  case when nsup.c > 100 then '... and ' || cast(nsup.c - 100 as varchar) || ' more suppliers' else '' end
+    as supplier_overflow,
+  mcsv.t as master_csv, scsv.sheet_csv
+from batches b join vt on b.sheet_id = vt.sheet_id join scsv on b.sheet_id = scsv.sheet_id
+  cross join nsup cross join sl cross join mcsv"""
+
+SQL.update({
+    "match_substring_pairs": _w(f"""
+with {_RES}
+select r.vendor_norm, s.supplier_norm from resid r join sup s
+  on {SUBSTRING_MATCH('r.vendor_norm', 's.supplier_norm')}"""),
+
+    "match_substring_best": _w(f"""
+with {_RES},
+sp as (select r.vendor_norm, s.supplier_norm, s.supplier_pos, s.supplier,
+         {SIM('r.vendor_norm', 's.supplier_norm')} as score
+       from resid r join sup s on {SUBSTRING_MATCH('r.vendor_norm', 's.supplier_norm')})
+select vendor_norm, supplier_norm, supplier_pos, supplier, 'substring' as match_type, score from
+  (select *, row_number() over (partition by vendor_norm order by score desc, supplier_pos) as rn from sp)
+where rn = 1"""),
+
+    "ranked_report": _w(f"""
+with {RECONCILE_DEFAULT}
+select row_number() over (order by case when match_type = 'exact' then 0 else 1 end, score desc,
+         sheet_id, first_pos) as rank,
+  sheet_id, first_pos, vendor_norm, coalesce(vendor, '') as vendor, coalesce(supplier, '') as supplier,
+  match_type, score, amount_added from report"""),
+
+    "match_counts": _w(f"""
+with {RECONCILE_DEFAULT}
+select match_type, count(*) as n_rows, count(distinct vendor_norm) as n_vendors,
+  cast(sum({DEC('amount_added')}) as double) as amount from report group by match_type"""),
+
+    "unmatched_vendors": _w(f"""
+with {RECONCILE_DEFAULT}
+select sheet_id, first_pos, vendor, amount_added as amount from report where match_type = 'no_match'"""),
+
+    "distinct_suppliers": _w("""
+select supplier, min(row_pos) as supplier_pos from universal group by supplier""", "universal"),
+
+    "parse_responses": _w(f"""
+with {_PARSED.strip()}
+select * from parsed""", "match_responses"),
+
+    "ingest_decisions": _w(f"""
+with {_DEC_REPORT.strip()}
+select * from report""", "match_responses"),
+
+    "apply_decisions": _w(f"""
+with {_DEC_REPORT.strip()},
+{TOTALS.strip()}
+{UPDATED()}""", "match_responses"),
+
+    "match_request_batches": _w(_REQUESTS),
+
+    "flag_keywords": f"""
+select doc_id, array_to_string(list_filter({_KW}, lambda k: contains(lower(text), k)), ', ') as flagged_text,
+  len(list_filter({_KW}, lambda k: contains(lower(text), k))) as n_flagged from documents""",
+
+    "screen_text": _with_warning(f"select conv_id, turn, {_screen('text', True)} from (select *, {_NO_VERDICT} from conversations)",
+                                 "conv_id, turn"),
+
+    "warning_messages": f"""
+select doc_id, warning from ({_with_warning(f"select doc_id, {_screen('text', True)} from (select *, {_NO_VERDICT} from documents)", "doc_id")})""",
+
+    "screen_text_with_responses": _w(f"""
+with {_VERDICTS.strip()}
+{_with_warning(f"select d.doc_id as text_id, {_screen('d.text', False)} from documents d left join pv on d.doc_id = pv.text_id", "text_id")}""",
+                                     "moderation_responses"),
+
+    "scan_vendor_sheet": _w("select sheet_id, row_pos, vendor, invoice_amount from vendor_sheet"),
+
+    "select_sheet": _w("select * from vendor_sheet where sheet_id = 3"),
+
+    "csv_render": _w(f"""
+select sheet_id, row_pos, {CSVLINE('vendor', 'invoice_amount')} as line, 'Vendor,Invoice Amount' as header
+from vendor_sheet"""),
+
+    "sheet_head": _w("""
+select sheet_id, row_pos, vendor, invoice_amount, row_idx from
+  (select *, row_number() over (partition by sheet_id order by row_pos) as row_idx from vendor_sheet)
+where row_idx <= 5"""),
+})

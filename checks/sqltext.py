@@ -162,3 +162,31 @@ def UPDATED(totals: str = "totals") -> str:
 select u.row_pos, u.supplier, u.default_payment_method,
   case when {BLANK('u.invoice_total')} and {new_total} = 0 then null else {new_total} end as invoice_total
 from universal u left join {totals} t on u.row_pos = t.supplier_pos"""
+
+
+def CSVCELL(c: str) -> str:
+    return (f"coalesce(case when regexp_matches({c}, '[,\"\\n]') then '\"' || replace({c}, '\"', '\"\"') || '\"' "
+            f"else {c} end, '')")
+
+
+def CSVLINE(*cols: str) -> str:
+    return " || ',' || ".join(CSVCELL(c) for c in cols)
+
+
+def NUMTEXT(x: str) -> str:
+    return f"regexp_replace(cast({DEC(x)} as varchar), '(\\.[0-9]*[1-9])0+$|\\.0+$', '\\1')"
+
+
+def LEAD_FENCE(x: str) -> str:
+    t = JT(x)
+    return (f"(case when starts_with({t}, '```json') then "
+            f"regexp_replace(regexp_replace({t}, '^```json\\n?', ''), '\\n?```\\z', '') "
+            f"when starts_with({t}, '```') then regexp_replace(regexp_replace({t}, '^```\\n?', ''), '\\n?```\\z', '') "
+            f"else {t} end)")
+
+
+def ANY_FENCE(x: str) -> str:
+    inner_json = f"split_part(split_part({x}, '```json', 2), '```', 1)"
+    inner = f"split_part({x}, '```', 2)"
+    return (f"(case when contains({x}, '```json') then {JT(inner_json)} "
+            f"when contains({x}, '```') then {JT(inner)} else {x} end)")

@@ -80,7 +80,7 @@ def _score_banded(pairs: DataFrame, v: DataFrame, s: DataFrame, min_score: int)
     """Default scorer restricted to ``score >= min_score``: distinct candidate pairs,
     banded Levenshtein (stops past the allowed edit count) on the plain and the
     token-sorted names, and the 3-character-run condition."""
-    p = (pairs.dropDuplicates(["vendor_norm", "supplier_norm"])
+    p = (materialize(pairs.dropDuplicates(["vendor_norm", "supplier_norm"]), "fuzzy-candidates")
          .join(v, "vendor_norm").join(s, "supplier_norm"))
     longest = F.greatest(F.length("vendor_norm"), F.length("supplier_norm"))
     p = p.select("*", longest.alias("_len"), max_edits(longest, min_score).alias("_k"))
@@ -141,16 +141,21 @@ def match_fuzzy(keys: DataFrame, suppliers: DataFrame, min_score: int | None = N
 
 
 def substring_pairs(keys: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Every (vendor norm, supplier norm) pair for which the substring predicate holds."""
-    cand = blocking.substring_candidates(keys.select("vendor_norm"), suppliers.select("supplier_norm"))
-    return (cand.where(smart_substring_match("vendor_norm", "supplier_norm"))
-            .dropDuplicates(["vendor_norm", "supplier_norm"]))
+    """Every (vendor norm, supplier norm) pair for which the substring predicate holds.
+
+    The candidate union is written once (``materialize``) before the predicate runs: the
+    blocking branches are structurally alike, and keeping them out of the downstream
+    aggregation plan avoids exchange-reuse mix-ups seen with Spark 4.1 on this shape.
+    """
+    cand = materialize(
+        blocking.substring_candidates(keys.select("vendor_norm"), suppliers.select("supplier_norm"))
+        .where(smart_substring_match("vendor_norm", "supplier_norm")), "substring-pairs")
+    return cand.dropDuplicates(["vendor_norm", "supplier_norm"])
 
 
 def match_substring(keys: DataFrame, suppliers: DataFrame, scorer: Scorer = similarity) -> DataFrame:
     """J5 top-1: among substring-predicate partners, highest score then first supplier."""
-    cand = blocking.substring_candidates(keys.select("vendor_norm"), suppliers.select("supplier_norm"))
-    p = (cand.where(smart_substring_match("vendor_norm", "supplier_norm"))
+    p = (substring_pairs(keys, suppliers)
          .join(suppliers.select("supplier_norm", "supplier_pos", "supplier"), "supplier_norm"))
     p = p.select("*", scorer(F.col("vendor_norm"), F.col("supplier_norm")).alias("score"))
     return _best(p, "substring")
