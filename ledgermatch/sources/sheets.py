@@ -61,6 +61,7 @@ def read_sheet_csv(spark: SparkSession, path: str, multiline: bool = False) -> D
     split one small aggregate gives the line offset, so no task sees a whole file.
     """
     raw = (spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .option("inferSchema", False).csv(path))
     data_cols = [c for c in raw.columns if c != "sheet_id"]
     df = raw.select(
@@ -99,7 +100,8 @@ def write_sheets_csv(sheets: DataFrame, path: str) -> None:
     """Write a table of sheets as CSV, one ``sheet_id=...`` folder per sheet, rows in order."""
     ordered = sheets.repartitionByRange("sheet_id", "row_pos").sortWithinPartitions("sheet_id", "row_pos")
     (with_header_names(ordered.drop("row_pos")).write.mode("overwrite").partitionBy("sheet_id")
-     .option("header", True).option("escape", '"').csv(path))
+     .option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_master(master: DataFrame, path: str, sheet_name: str | None = None,
