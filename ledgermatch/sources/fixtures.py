@@ -128,13 +128,28 @@ def register_base_tables(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(path).createOrReplaceTempView(t)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base parquet table or a derived fixture table as a DataFrame."""
-    if name in BASE_TABLES:
-        return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+_STORED: dict = {}
+
+
+def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The derived table computed from the base tables (lazy plan)."""
     register_base_tables(spark, sf_dir)
     for dep in _closure([name]):
         if dep == name:
             break
         spark.sql(FIXTURES[dep]).createOrReplaceTempView(dep)
     return spark.sql(FIXTURES[name])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base parquet table, or a derived table.  A derived table is computed once per
+    application and stored as parquet under the checkpoint directory; later queries
+    read the stored copy."""
+    if name in BASE_TABLES:
+        return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    from ledgermatch.session import materialize
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    if key not in _STORED:
+        _STORED[key] = materialize(derive(spark, sf_dir, name), f"input-{name}")
+    return _STORED[key]
