@@ -30,7 +30,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-JS_EDGE_SPACE = rf"^{JS_SPACE_CLASS}|{JS_SPACE_CLASS}\z"
 JS_NON_SPACE = "[^" + JS_SPACE_CLASS[1:]
 
 
@@ -38,7 +37,8 @@ def js_trim(c) -> Column:
     """JavaScript ``trim``: strips Unicode spaces, NBSP and U+FEFF (Spark ``trim`` strips U+0020 only).
     Values without a space at either end skip the replacement."""
     x = _col(c)
-    return F.when(x.rlike(JS_EDGE_SPACE), F.regexp_replace(x, JS_TRIM_PATTERN, "")).otherwise(x)
+    edge = F.substring(x, 1, 1).rlike(JS_SPACE_CLASS) | F.substring(x, -1, 1).rlike(JS_SPACE_CLASS)
+    return F.when(edge, F.regexp_replace(x, JS_TRIM_PATTERN, "")).otherwise(x)
 
 
 def is_blank(c) -> Column:

@@ -33,6 +33,8 @@ def reconcile(master: DataFrame, sheets: DataFrame, tiers=("exact", "fuzzy"),
     require_columns(sheets, SHEET_COLUMNS + ["sheet_id", "row_pos"], "Vendor sheet")
     blocks = materialize(vendor_blocks(mark_rows(sheets, rows_per_block)), "vendor-blocks")
     suppliers = materialize(supplier_index(master), "supplier-index")
-    decisions = match_decisions(blocks, suppliers, tiers, min_score, scorer, min_shared_run)
+    # one row per distinct vendor norm; staged because the report and the totals both read it
+    decisions = materialize(match_decisions(blocks, suppliers, tiers, min_score, scorer, min_shared_run),
+                            "match-decisions")
     report = match_report(blocks, decisions)
     return Reconciliation(update_master(master, supplier_totals(report)), report)
