@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from ledgermatch.functions.text import (MIN_WORD_LEN, drop_stop_words, ngrams, qualifying_words,
                                         words)
 
-# Below this threshold segment filtering degenerates (segments of 1-2 characters) and
-# the 3-gram join is the better lossless generator.
-SEGMENT_MIN_SCORE = 50
+# Below this threshold segments get short (2-3 characters) and the probe count grows, so
+# the 3-gram join (also lossless: a shared 3-character run is required) is cheaper.
+SEGMENT_MIN_SCORE = 75
 
 
 def _k(length_sql: str, c: int) -> str:
@@ -74,7 +74,8 @@ def segment_probes(df: DataFrame, key: str, text: str, c: int, strictly_longer:
         f"flatten(transform(sequence(0, {k}), i -> "
         f"transform(if({qlo} <= {qhi}, sequence({qlo}, {qhi}), array()), q -> "
         f"named_struct('m', m, 'i', i, 'g', substring({text}, q + 1, {seglen})))))))")
-    return (df.select(key, F.explode(F.array_distinct(F.expr(expr))).alias("p"))
+    # duplicate probes only repeat a candidate pair, which the pair de-duplication drops
+    return (df.select(key, F.explode(F.expr(expr)).alias("p"))
             .select(key, F.col("p.m").alias("seg_len"), F.col("p.i").alias("seg_no"),
                     F.col("p.g").alias("seg_text")))
 
@@ -93,6 +94,8 @@ def _segment_pairs(vendors: DataFrame, suppliers: DataFrame, vtext: str, stext:
 
 def threshold_candidates(vendors: DataFrame, suppliers: DataFrame, c: int) -> DataFrame:
     """Lossless candidates for ``similarity >= c``: plain and token-sorted segment joins.
+    Below ``SEGMENT_MIN_SCORE`` the 3-gram join is used instead; it is lossless for
+    ``similarity >= c`` *and a shared 3-character run*, the fuzzy tier's full condition.
 
     ``vendors`` needs ``vendor_norm, vendor_sorted``; ``suppliers`` needs
     ``supplier_norm, supplier_sorted``.  Pairs may repeat.

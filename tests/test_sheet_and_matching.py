@@ -109,9 +109,10 @@ def test_threshold_blocking_is_lossless(spark):
     keys, sup = _names(spark, "/root/testdata/sf0.001")
     v = keys.select("vendor_norm", token_sort("vendor_norm").alias("vendor_sorted"))
     s = sup.select("supplier_norm", token_sort("supplier_norm").alias("supplier_sorted"))
-    for c in (60, 85, 95):
+    for c in (60, 75, 85, 95):
         blocked = set(map(tuple, B.threshold_candidates(v, s, c).distinct().collect()))
-        brute = v.join(s, how="cross").where(similarity("vendor_norm", "supplier_norm") >= c)
+        brute = v.join(s, how="cross").where((similarity("vendor_norm", "supplier_norm") >= c)
+                                             & shares_ngram("vendor_norm", "supplier_norm"))
         truth = set(map(tuple, brute.select("vendor_norm", "supplier_norm").collect()))
         assert truth <= blocked
 
