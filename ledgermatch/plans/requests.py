@@ -51,7 +51,8 @@ def build_match_requests(master: DataFrame, sheets: DataFrame, batch_size: int =
                .agg(F.count(F.lit(1)).alias("n_vendors"), F.min("n").alias("first_n"),
                     F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))),
                                              lambda x: x["line"]), "\n").alias("vendor_lines")))
-    vendor_totals = blocks.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("n_unique_vendors"))
+    # numbers are dense 1..n per sheet, so the largest is the vendor count (no second scan)
+    vendor_totals = numbered.groupBy("sheet_id").agg(F.max("n").alias("n_unique_vendors"))
 
     # supplier list: distinct raw names in first-appearance order (top-k is the feature)
     names = first_row_by_name(master)
