@@ -160,3 +160,32 @@ def test_csv_round_trip(spark, g3):
     assert [r.row_pos for r in got] == list(range(1, len(want) + 1))
     with pytest.raises(ValueError, match="not found"):
         IO.select_sheet(back, 99)
+
+
+def test_custom_scorer_equals_brute_force(spark):
+    """A caller-supplied scorer takes the 3-gram path; top-1 must equal brute force."""
+    from ledgermatch.functions.scoring import edit_ratio
+    keys, sup = _names(spark, "/root/testdata/sf0.001")
+    for min_score in (None, 40):
+        got = {r.vendor_norm: (r.supplier_norm, r.score)
+               for r in M.match_fuzzy(keys, sup, min_score=min_score, scorer=edit_ratio).collect()}
+        pairs = (keys.join(sup, how="cross").where(shares_ngram("vendor_norm", "supplier_norm"))
+                 .select("vendor_norm", "supplier_norm", "supplier_pos",
+                         edit_ratio("vendor_norm", "supplier_norm").alias("score")).collect())
+        best = {}
+        for r in pairs:
+            if min_score is not None and r.score < min_score:
+                continue
+            k = (r.score, -r.supplier_pos)
+            if r.vendor_norm not in best or k > best[r.vendor_norm][0]:
+                best[r.vendor_norm] = (k, r.supplier_norm)
+        assert got == {v: (s, k[0]) for v, (k, s) in best.items()}
+
+
+def test_multiline_csv_cells(spark, tmp_path):
+    path = str(tmp_path / "sheet.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('Vendor,Invoice Amount\n"Acme\nFoods",10\n,"1,000.50"\nBeta,5\n')
+    df = IO.read_sheet_csv(spark, path, multiline=True).orderBy("row_pos").collect()
+    assert [(r.row_pos, r.vendor, r.invoice_amount) for r in df] == \
+        [(1, "Acme\nFoods", "10"), (2, None, "1,000.50"), (3, "Beta", "5")]
