@@ -7,23 +7,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermatch.functions import text as T
 from ledgermatch.functions.amounts import parse_amount
 from ledgermatch.functions.scoring import edit_ratio, similarity, token_sort_ratio
-from ledgermatch.operators import matching as M
-from ledgermatch.operators import sheet as S
-from ledgermatch.operators.rollup import supplier_totals, update_master
 from ledgermatch.functions import screening as SC
+from ledgermatch.functions import text as T
+from ledgermatch.operators.ordering import first_rows_per_sheet
+from ledgermatch.operators.rollup import supplier_totals
 from ledgermatch.operators import decisions as D
+from ledgermatch.operators import matching as M
 from ledgermatch.operators import reports as R
-from ledgermatch.operators.ordering import first_rows_per_sheet
+from ledgermatch.operators import sheet as S
 from ledgermatch.plans.decisions import apply_decisions
 from ledgermatch.plans.reconcile import reconcile
 from ledgermatch.plans.requests import build_match_requests
 from ledgermatch.plans.screening import screen_text
-from ledgermatch.sources import sheets as IO
 from ledgermatch.session import materialize
 from ledgermatch.sources.fixtures import table
+from ledgermatch.sources import sheets as IO
 
 
 def _t(spark, sf, name):
