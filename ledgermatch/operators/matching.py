@@ -95,7 +95,7 @@ def _score_banded(pairs: DataFrame, v: DataFrame, s: DataFrame, min_score: int)
 
 
 def _score_full(pairs: DataFrame, v: DataFrame, s: DataFrame) -> DataFrame:
-    """Default scorer on candidate pairs that already share a 3-character run; the
+    """Default scorer on candidate pairs (no further filter is applied here); the
     token-sorted names are computed once per name, not once per pair."""
     p = pairs.join(v, "vendor_norm").join(s, "supplier_norm")
     longest = F.greatest(F.length("vendor_norm"), F.length("supplier_norm"))
@@ -155,8 +155,13 @@ def substring_pairs(keys: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 def match_substring(keys: DataFrame, suppliers: DataFrame, scorer: Scorer = similarity) -> DataFrame:
     """J5 top-1: among substring-predicate partners, highest score then first supplier."""
-    p = (substring_pairs(keys, suppliers)
-         .join(suppliers.select("supplier_norm", "supplier_pos", "supplier"), "supplier_norm"))
+    pairs = substring_pairs(keys, suppliers)
+    if scorer is similarity:
+        v = keys.select("vendor_norm", token_sort("vendor_norm").alias("vendor_sorted"))
+        s = suppliers.select("supplier_norm", token_sort("supplier_norm").alias("supplier_sorted"),
+                             "supplier_pos", "supplier")
+        return _best(_score_full(pairs, v, s), "substring")
+    p = pairs.join(suppliers.select("supplier_norm", "supplier_pos", "supplier"), "supplier_norm")
     p = p.select("*", scorer(F.col("vendor_norm"), F.col("supplier_norm")).alias("score"))
     return _best(p, "substring")
 
