@@ -42,7 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` must name a shared folder (HDFS/S3/...);
     a machine-local temporary folder is only created for ``local[...]`` masters.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext; the configured folder is used as is
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder") from None
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
