@@ -149,7 +149,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     from ledgermatch.session import materialize
 
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        app = spark.conf.get("spark.app.id", "connect")
+    key = (app, os.path.abspath(sf_dir), name)
     if key not in _STORED:
         _STORED[key] = materialize(derive(spark, sf_dir, name), f"input-{name}")
     return _STORED[key]
