@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -40,9 +41,9 @@ START, LETTERS, NUMBERS, MARKS, AT_SPACE, AT_WHITE, Q, QE, QL, DONE = range(10)
 N_STATES = 10
 WIDTH = 64
 #: Code points handled at once; longer texts go through in such parts with their state.
-PART = 1 << 20
+PART = 1 << 19
 #: Slices that a worker keeps; beyond it the cache starts anew (results do not change).
-CACHE_SLICES = 600_000
+CACHE_SLICES = 400_000
 #: Bytes beyond which a slice is merged by itself.
 LONG_SLICE = 64
 NO_PAIR = 1 << 40
@@ -369,12 +370,16 @@ def round_trip(path: str):
 
     @arrow_udf("struct<ids: binary, n_tokens: bigint, decoded: binary>")
     def run(text: pa.Array) -> pa.Array:
-        c = codec(*files)
-        ids, _ = c.encode(utf8_lists(text))
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
-        return pa.StructArray.from_arrays(
-            [pa.array(ids, pa.binary()), pa.array(lengths), pa.array([c.decode(x) for x in ids], pa.binary())],
-            ["ids", "n_tokens", "decoded"])
+        c, done = codec(*files), []
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_pylist()
+        for a, b in pieces(sizes, int, PART):  # Python objects of one part at a time
+            ids, _ = c.encode(utf8_lists(text.slice(a, b - a)))
+            lengths = np.array([len(x) // 4 for x in ids], np.int64)
+            done.append(pa.StructArray.from_arrays(
+                [pa.array(ids, pa.binary()), pa.array(lengths), pa.array([c.decode(x) for x in ids], pa.binary())],
+                ["ids", "n_tokens", "decoded"]))
+        return pa.concat_arrays(done) if done else pa.array([], pa.struct(
+            [("ids", pa.binary()), ("n_tokens", pa.int64()), ("decoded", pa.binary())]))
 
     return run
 
