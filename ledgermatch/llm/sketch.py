@@ -137,7 +137,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     guards = heads.select("doc_id", "text", F.explode(F.filter(F.array(
         F.when(first, F.lit(len(cuts))), F.when(F.col("place") > 0, F.col("place") - 1)), lambda x: x.isNotNull()))
         .alias("place"), F.lit(1).alias("late"))
-    laid = d.withColumn("late", F.lit(0)).unionByName(guards).repartition("place")
+    laid = d.withColumn("late", F.lit(0)).unionByName(guards).repartitionById(len(cuts) + 1, F.col("place"))
     w = Window.partitionBy("place").orderBy("late", F.col("doc_id").asc_nulls_first(), "text")
     return (laid.withColumn("sketch", sketch("text", k, shingle))
             .select("*", F.lead("text").over(w).alias("next_text"), F.lead("sketch").over(w).alias("next_sketch"))
