@@ -43,7 +43,7 @@ LENGTH = 1024
 DOCS_PER_SHARD = 4096
 #: Shuffle partitions at most; beyond, a partition writes several shards one after another.
 MOST_PARTITIONS = 20000
-#: Row counts of files are broadcast up to this number of files (about 20 MB).
+#: Tables with one row a file are broadcast up to this number of files (about 20 MB).
 BROADCAST_FILES = 100_000
 HEADER = struct.Struct("<qqii")
 ROUNDS = 6
@@ -207,6 +207,8 @@ def read_sequences(spark: SparkSession, path: str, length: int = LENGTH, first:
     m = m.where(F.col("first_slot") + F.col("records") > first)
     if last is not None:
         m = m.where(F.col("first_slot") < last)
+    if m.count() <= BROADCAST_FILES:  # else the join moves the shards
+        m = F.broadcast(m)
     size = stride(length)
     content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     lo = F.greatest(F.lit(first), F.col("first_slot")) - F.col("first_slot")
