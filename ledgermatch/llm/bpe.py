@@ -43,7 +43,7 @@ WIDTH = 64
 #: Code points handled at once; longer texts go through in such parts with their state.
 PART = 1 << 19
 #: Slices that a worker keeps; beyond it the cache starts anew (results do not change).
-CACHE_SLICES = 400_000
+CACHE_SLICES = 300_000
 #: Bytes beyond which a slice is merged by itself.
 LONG_SLICE = 64
 NO_PAIR = 1 << 40

@@ -19,12 +19,14 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+BATCH, DEFAULT_ROWS, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500"
 _SHIPPED: set[str] = set()
 
 
 def ship() -> None:
     """Send this package's code to the workers of the active session, once: their Python
-    functions import it.  Spark serves the archive from the driver to every executor."""
+    functions import it.  Spark serves the archive from the driver to every executor.  Also
+    makes Arrow batches smaller, unless the session has its own setting."""
     spark = SparkSession.getActiveSession()
     if spark is None or spark.sparkContext.applicationId in _SHIPPED:
         return
@@ -37,6 +39,9 @@ def ship() -> None:
                     path = os.path.join(folder, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(package)))
     spark.sparkContext.addPyFile(archive)
+    # texts are long: smaller Arrow batches keep workers and buffers small
+    if spark.conf.get(BATCH, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH, ROWS_PER_BATCH)
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 

@@ -36,7 +36,7 @@ NGRAMS = (4, 3, 2, 1)
 BACKOFF = math.log(0.4)
 UNSEEN = 0.5
 #: Words a worker keeps; beyond it the cache starts anew (results do not change).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -88,36 +88,46 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return model
 
 
+def pack(model: dict) -> dict:
+    """The model as a few long strings: what is sent to the workers."""
+    def table(counts: dict[str, list[int]]) -> tuple[str, bytes]:
+        return "\n".join(counts), np.array(list(counts.values()), np.int64).tobytes()
+
+    grams = model["ngrams"]
+    return {"langs": model["langs"], "words": table(model["words"]),
+            "ngrams": [table({k: v for k, v in grams.items() if len(k) == size}) for size in NGRAMS]}
+
+
 class Predictor:
-    """The model in one worker process, with the scores of the words seen so far."""
+    """The packed model in one worker process, with the scores of the words seen so far."""
 
-    def __init__(self, model: dict):
-        self.langs = model["langs"]
+    def __init__(self, packed: dict):
+        self.langs = packed["langs"]
         n = len(self.langs)
-        self.known = self._logs(model["words"])
-        self.grams = [self._logs({k: v for k, v in model["ngrams"].items() if len(k) == size}) for size in NGRAMS]
-        self.floor = [min((float(v.min()) for v in t.values()), default=math.log(UNSEEN)) for t in self.grams]
+        self.known, self.logs = self._table(packed["words"])
+        self.grams = [self._table(t) for t in packed["ngrams"]]
+        self.floor = [float(t.min()) if len(t) else math.log(UNSEEN) for _, t in self.grams]
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1 << 12, n))
 
-    def _logs(self, counts: dict[str, list[int]]) -> dict[str, np.ndarray]:
-        """Smoothed log frequencies by language."""
-        if not counts:
-            return {}
-        m = np.array(list(counts.values()), float) + UNSEEN
-        return dict(zip(counts, np.log(m / m.sum(axis=0))))
+    def _table(self, packed: tuple[str, bytes]) -> tuple[dict[str, int], np.ndarray]:
+        """Row numbers of the entries, and their smoothed log frequencies by language."""
+        if not packed[0]:
+            return {}, np.zeros((0, len(self.langs)))
+        m = np.frombuffer(packed[1], np.int64).reshape(-1, len(self.langs)) + UNSEEN
+        return {k: i for i, k in enumerate(packed[0].split("\n"))}, np.log(m / m.sum(axis=0))
 
     def word(self, w: str) -> np.ndarray:
         hit = self.known.get(w)
         if hit is not None:
-            return hit
+            return self.logs[hit]
         p, total, places = f"_{w}_", np.zeros(len(self.langs)), 0
         for i in range(max(1, len(p) - NGRAMS[0] + 1)):
             places += 1
-            for step, (size, table) in enumerate(zip(NGRAMS, self.grams)):
+            for step, (size, (table, logs)) in enumerate(zip(NGRAMS, self.grams)):
                 g = table.get(p[i:i + size])
                 if g is not None and i + size <= len(p):
-                    total += g + step * BACKOFF
+                    total += logs[g] + step * BACKOFF
                     break
             else:
                 total += self.floor[-1] + len(NGRAMS) * BACKOFF
@@ -149,21 +159,22 @@ class Predictor:
 _PREDICTORS: dict[str, Predictor] = {}
 
 
-def predictor(model: dict, key: str) -> Predictor:
+def predictor(packed: dict, key: str) -> Predictor:
     if key not in _PREDICTORS:
         _PREDICTORS.clear()
-        _PREDICTORS[key] = Predictor(model)
+        _PREDICTORS[key] = Predictor(packed)
     return _PREDICTORS[key]
 
 
 def language(model: dict):
     """Column function: text -> struct of lang_pred and score."""
     ship()
-    key = hashlib.sha256(repr(sorted(model.items())).encode()).hexdigest()
+    packed = pack(model)
+    key = hashlib.sha256(repr(packed).encode()).hexdigest()
 
     @arrow_udf("struct<lang_pred: string, score: double>")
     def predict(text: pa.Array) -> pa.Array:
-        p = predictor(model, key)
+        p = predictor(packed, key)
         got = [p.predict(t) for t in text.to_pylist()]
         return pa.StructArray.from_arrays(
             [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
