@@ -303,16 +303,14 @@ class Codec:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, np.uint32).tolist()))
 
     def decode_range(self, text_ids: bytes, offsets: np.ndarray, first: int, last: int) -> bytes:
-        """Bytes of the pre-tokens ``first`` to ``last`` (exclusive) alone: the ids whose
-        code points begin within their offsets."""
-        ids = np.frombuffer(text_ids, np.uint32)
-        whole = [self.vocabulary[i] for i in ids.tolist()]
-        # code points begin at bytes that are no continuation bytes
-        begun = np.cumsum([0] + [sum((x & 0xC0) != 0x80 for x in t) for t in whole])
-        lo = offsets[first] if first < len(offsets) else begun[-1]
-        hi = offsets[last] if last < len(offsets) else begun[-1]
-        at = np.searchsorted(begun[:-1], [lo, hi], side="left")
-        return b"".join(whole[at[0]:at[1]])
+        """Bytes of the pre-tokens ``first`` to ``last`` (exclusive) alone."""
+        whole = [self.vocabulary[i] for i in np.frombuffer(text_ids, np.uint32).tolist()]
+        heads = np.array([sum((x & 0xC0) != 0x80 for x in t) for t in whole], np.int64)
+        inside = np.array([(t[0] & 0xC0) == 0x80 for t in whole], np.int64)
+        # twice the code point at which a token begins, less one if it begins inside the one before
+        at = 2 * (np.cumsum(heads) - heads) - inside
+        lo, hi = (np.searchsorted(at, 2 * offsets[k]) if k < len(offsets) else len(whole) for k in (first, last))
+        return b"".join(whole[lo:hi])
 
 
 _CODECS: dict[tuple[int, int], Codec] = {}

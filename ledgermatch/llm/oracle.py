@@ -70,22 +70,23 @@ r as (select *, case when {fits('example.org', '/en/1')} then 'example.org/en/1'
 x as (select *, case when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block' when rule is not null then 'allow' end as said,
    list_filter(string_split(path, '/'), lambda s: s <> '') as every from r),
 t0 as (select page_id, host, path, rule, said, case said when 'block' then 1 when 'allow' then 0 end as bad, '' as template,
-   case when len(every) > {depth} then list_append(every[1:{depth}], '**') else every end as segs from x)"""]
+   case when len(every) > {depth} then list_append(every[1:{depth}], '**') else every end as segs from x),
+g as (select (coalesce(sum(bad), 0) + 1)::double / (count(bad) + 2)::double as p0 from t0)"""]
     for k in range(depth + 1):
         parts.append(f"""
 s{k} as (select host, template, segs[{k + 1}] as seg, count(*) as n, count(bad) as labelled, coalesce(sum(bad), 0) as b from t{k}
    where len(segs) > {k} group by all),
 k{k} as (select * from (select *, sum(n) over (partition by host, template) as all_n from s{k}) where n >= {count} and n >= all_n * {share}),
 a{k} as (select *, sum(labelled) over (partition by host, template) as l_all, sum(b) over (partition by host, template) as b_all from k{k}),
-z{k} as (select host, template, seg, case when labelled > 0 and l_all - labelled > 0 and
-   pow(b * 1.0::double / labelled - (b_all - b) * 1.0::double / (l_all - labelled), 2) >
-   {z * z!r} * (b_all * 1.0::double / l_all) * (1 - b_all * 1.0::double / l_all) * (1.0::double / labelled + 1.0::double / (l_all - labelled))
-   then seg else '~' end as said_as from a{k}),
+z{k} as (select host, template, seg, case when labelled > 0 and case when l_all > labelled then
+   pow(b::double / labelled - (b_all - b)::double / (l_all - labelled), 2) >
+   {z * z!r} * (b_all::double / l_all) * (1 - b_all::double / l_all) * (1.0::double / labelled + 1.0::double / (l_all - labelled))
+   else pow(b::double / labelled - p0, 2) > {z * z!r} * p0 * (1 - p0) / labelled end
+   then seg else '~' end as said_as from a{k}, g),
 t{k + 1} as (select t.* replace (t.template || case when len(t.segs) > {k} then '/' || coalesce(z.said_as, '*') else '' end as template)
    from t{k} t left join z{k} z on z.host = t.host and z.template = t.template and z.seg = t.segs[{k + 1}])""")
     parts.append(f"""
 p as (select host, template, count(bad) as labelled, coalesce(sum(bad), 0) as b from t{depth + 1} group by all),
-g as (select (coalesce(sum(b), 0) + 1)::double / (coalesce(sum(labelled), 0) + 2)::double as p0 from p),
 hp as (select host, (sum(b) + {m} * any_value(p0))::double / (sum(labelled) + {m})::double as ph from p, g group by host),
 pu as (select p.host, template, (b + {m}::double * ph) / (labelled + {m}::double) as purity from p join hp using (host))
 select page_id, host, path, rule, coalesce(said, case when purity >= {reject} then 'block' else 'allow' end) as verdict, template

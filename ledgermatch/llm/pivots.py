@@ -68,7 +68,7 @@ def permutations(pivots: dict[int, np.ndarray], nearest: int = NEAREST):
 
     @pandas_udf("array<int>")
     def nearest_pivots(v: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(v), dtype=object)
+        out: list = [None] * len(v)
         dims = v.map(len).to_numpy()
         for d in np.unique(dims):
             at = np.flatnonzero(dims == d)
@@ -78,8 +78,8 @@ def permutations(pivots: dict[int, np.ndarray], nearest: int = NEAREST):
             part = np.argpartition(-near, k - 1, axis=1)[:, :k]
             order = np.take_along_axis(part, np.argsort(-np.take_along_axis(near, part, 1), axis=1, kind="stable"), 1)
             for i, row in zip(at, order):
-                out.iat[i] = row.astype(np.int32)
-        return out
+                out[i] = row.tolist()
+        return pd.Series(out, dtype=object)
 
     return nearest_pivots
 

@@ -8,7 +8,8 @@ are generalised level by level: below a template prefix a segment stays as it is
 carries at least ``least_share`` of the prefix's urls (and ``least_count`` of them), all
 others become ``*``; segments below ``depth`` levels become one ``**``.  Then branches are
 merged: a branch whose labelled share of bad urls does not differ significantly (two-sided
-z test) from that of its siblings joins the common branch ``~`` of its prefix.  A template
+z test) from that of its siblings, or from the overall share where they have no label,
+joins the common branch ``~`` of its prefix; one without labels does, too.  A template
 is rejected if its smoothed purity, (bad + m p) / (labelled + m), reaches
 ``reject_at``; p is the host's share smoothed by the overall share in the same way.
 
@@ -78,11 +79,17 @@ def segments(path, depth: int = DEPTH) -> Column:
     return F.when(F.size(s) > depth, F.concat(F.slice(s, 1, depth), F.array(F.lit("**")))).otherwise(s)
 
 
+def overall_share(urls: DataFrame) -> float:
+    """Share of bad urls among the labelled ones, smoothed by one of each."""
+    return urls.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.count("bad") + 2)).first()[0]
+
+
 def templates(urls: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE,
               least_count: int = LEAST_COUNT, z: float = Z) -> DataFrame:
     """``urls``: columns host, path and bad (1, 0 or null: no label).  Returns the same rows
     with ``template``, the generalised and merged path (``/`` between segments)."""
     now = urls.withColumn("__lm_s", segments("path", depth)).withColumn("template", F.lit(""))
+    overall = F.lit(overall_share(urls))
     deepest = now.agg(F.max(F.size("__lm_s"))).first()[0] or 0
     for level in range(deepest):
         now = now.withColumn("__lm_x", F.get("__lm_s", F.lit(level)))
@@ -98,10 +105,10 @@ def templates(urls: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SH
             F.sum("labelled").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
         mine, bad = F.col("labelled"), F.coalesce(F.col("bad"), F.lit(0))
         l2, b2 = F.col("l") - mine, F.col("b") - bad
-        pooled = F.col("b") / F.greatest(F.col("l"), F.lit(1))
-        spread = pooled * (1 - pooled) * (1 / F.greatest(mine, F.lit(1)) + 1 / F.greatest(l2, F.lit(1)))
-        gap = F.abs(bad / F.greatest(mine, F.lit(1)) - b2 / F.greatest(l2, F.lit(1)))
-        apart = (mine > 0) & (l2 > 0) & (gap * gap > z * z * spread)
+        pooled = F.when(l2 > 0, F.col("b") / F.greatest(F.col("l"), F.lit(1))).otherwise(overall)
+        spread = pooled * (1 - pooled) * (1 / F.greatest(mine, F.lit(1)) + F.when(l2 > 0, 1 / F.greatest(l2, F.lit(1))).otherwise(F.lit(0.0)))
+        gap = bad / F.greatest(mine, F.lit(1)) - F.when(l2 > 0, b2 / F.greatest(l2, F.lit(1))).otherwise(overall)
+        apart = (mine > 0) & (gap * gap > z * z * spread)
         named = kept.join(around, ["host", "template"]).select(
             F.col("host").alias("__lm_h"), F.col("template").alias("__lm_t"), F.col("seg").alias("__lm_seg"),
             F.when(apart, F.col("seg")).otherwise(F.lit("~")).alias("__lm_as"))
@@ -116,7 +123,7 @@ def purities(templated: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """(host, template, n, labelled, purity): smoothed share of bad urls."""
     t = materialize(templated.groupBy("host", "template").agg(
         F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "url-templates")
-    overall = t.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("p0")).first()["p0"]
+    overall = overall_share(templated)
     m = F.lit(float(smoothing))
     hosts = t.groupBy("host").agg(((F.sum("bad") + m * F.lit(overall)) / (F.sum("labelled") + m)).alias("p"))
     return t.join(hosts, "host").select("host", "template", "n", "labelled", ((F.col("bad") + m * F.col("p")) / (F.col("labelled") + m)).alias("purity"))
