@@ -135,17 +135,18 @@ _RES = _cte(MARKED(), SUPPLIERS, KEYS, EXACT)
 _KW = "[" + ", ".join(f"'{k}'" for k in _S.FALLBACK_KEYWORDS) + "]"
 _WARN = f"'{_S.WARNING_PREFIX}{_S.WARNING_SUFFIX}'"
 
-_DECISION_TYPE = ('[{"vendor":"VARCHAR","supplier":"VARCHAR","match_type":"VARCHAR",'
-                  '"score":"DOUBLE","amount":"DOUBLE"}]')
 _PARSED = f"""
 rt as (select request_id, {LEAD_FENCE('response')} as json_text from match_responses),
-ok as (select request_id, from_json(json_text, '{_DECISION_TYPE}') as arr from rt
-       where json_valid(json_text) and json_type(json_text) = 'ARRAY'),
-el as (select request_id, generate_subscripts(arr, 1) - 1 as idx, unnest(arr) as d from ok),
-parsed as (select request_id, idx, d.vendor as vendor, d.supplier as supplier,
-    coalesce(nullif(d.match_type, ''), 'fuzzy') as match_type,
-    coalesce(case when not isnan(d.score) then d.score end, 0.0) as score,
-    coalesce(case when not isnan(d.amount) then d.amount end, 0.0) as amount from el)"""
+ok as (select request_id, cast(json_text as json) as arr from rt
+       where case when json_valid(json_text) then json_type(json_text) = 'ARRAY' else false end),
+el as (select request_id, unnest(range(json_array_length(arr)::bigint)) as idx, unnest(cast(arr as json[])) as d from ok),
+fields as (select request_id, cast(idx as integer) as idx, json_type(d) as kind, d ->> '$.vendor' as vendor, d ->> '$.supplier' as supplier,
+    coalesce(nullif(d ->> '$.match_type', ''), 'fuzzy') as match_type,
+    case when coalesce(d ->> '$.score', '') = '' then 0.0::double else try_cast(d ->> '$.score' as double) end as score,
+    case when coalesce(d ->> '$.amount', '') = '' then 0.0::double else try_cast(d ->> '$.amount' as double) end as amount from el),
+judged as (select *, case when kind <> 'OBJECT' then 'element is not a JSON object'
+    when score is null or amount is null or not isfinite(score) or not isfinite(amount) then 'score or amount is not a number' end as reason from fields),
+parsed as (select request_id, idx, vendor, supplier, match_type, score, amount from judged where reason is null)"""
 
 _DEC_REPORT = _PARSED + """,
 names as (select supplier, min(row_pos) as supplier_pos from universal where supplier is not null
@@ -201,12 +202,15 @@ _NO_VERDICT = ("false as pv_ok, cast(null as boolean) as pv_off, cast(null as va
 
 _VERDICTS = f"""
 vr as (select text_id, {ANY_FENCE('response')} as t from moderation_responses),
-pv as (select text_id, true as pv_ok,
-    cast(json_extract(t, '$.isOffensive') as boolean) as pv_off,
-    json_extract_string(t, '$.severity') as pv_sev,
-    json_extract_string(t, '$.reason') as pv_reason,
-    from_json(json_extract(t, '$.flaggedWords'), '["VARCHAR"]') as pv_words
-  from vr where starts_with(ltrim(t), '{{') and json_valid(t))"""
+vk as (select text_id, t, coalesce(case when json_valid(t) then json_type(t) end, 'NULL') as kind from vr),
+vo as (select *, case when kind = 'OBJECT' then case json_type(t, '$.isOffensive') when 'BOOLEAN' then json_extract_string(t, '$.isOffensive') = 'true'
+      when 'VARCHAR' then json_extract_string(t, '$.isOffensive') <> '' when 'OBJECT' then true when 'ARRAY' then true
+      when 'NULL' then false else coalesce(json_extract_string(t, '$.isOffensive')::double <> 0, false) end else false end as off from vk),
+pv as (select text_id, true as pv_ok, off as pv_off,
+    case when kind = 'OBJECT' then json_extract_string(t, '$.severity') end as pv_sev,
+    case when kind = 'OBJECT' then json_extract_string(t, '$.reason') end as pv_reason,
+    case when kind = 'OBJECT' then from_json(json_extract(t, '$.flaggedWords'), '["VARCHAR"]') end as pv_words
+  from (select *, row_number() over (partition by text_id order by off desc, t) as n from vo where kind <> 'NULL') where n = 1)"""
 
 _BATCH = 50
 _REQUESTS = f"""
@@ -278,6 +282,11 @@ select supplier, min(row_pos) as supplier_pos from universal group by supplier""
 with {_PARSED.strip()}
 select * from parsed""", "match_responses"),
 
+    "quarantine_decisions": _w(f"""
+with {_PARSED.strip()}
+select request_id, idx, reason from judged where reason is not null
+union all select request_id, null, 'response is not a JSON array' from rt where request_id not in (select request_id from ok)""", "match_responses"),
+
     "ingest_decisions": _w(f"""
 with {_DEC_REPORT.strip()}
 select * from report""", "match_responses"),

@@ -186,6 +186,7 @@ def LEAD_FENCE(x: str) -> str:
 
 
 def ANY_FENCE(x: str) -> str:
+    x = JT(x)
     inner_json = f"split_part(split_part({x}, '```json', 2), '```', 1)"
     inner = f"split_part({x}, '```', 2)"
     return (f"(case when contains({x}, '```json') then {JT(inner_json)} "

@@ -12,26 +12,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgermatch.functions.text import _col, js_trim
 
 FENCE = "```"
 
-DECISION_SCHEMA = T.ArrayType(T.StructType([
-    T.StructField("vendor", T.StringType()),
-    T.StructField("supplier", T.StringType()),
-    T.StructField("match_type", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-    T.StructField("amount", T.DoubleType()),
-]))
 
-VERDICT_SCHEMA = T.StructType([
-    T.StructField("isOffensive", T.BooleanType()),
-    T.StructField("severity", T.StringType()),
-    T.StructField("reason", T.StringType()),
-    T.StructField("flaggedWords", T.ArrayType(T.StringType())),
-])
+def strict_json(c) -> Column:
+    """The text as a VARIANT if all of it is one JSON value, else null.
+
+    Spark's JSON functions stop after the first value.  Put into an object and into an
+    array, a text with anything behind its value breaks one of the two."""
+    t = _col(c)
+    whole = ((F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1)
+             & (F.json_object_keys(F.concat(F.lit('{"v":'), t, F.lit("}"))) == F.array(F.lit("v"))))
+    return F.when(F.coalesce(whole, F.lit(False)), F.try_parse_json(t))
+
+
+def json_kind(v) -> Column:
+    """OBJECT, ARRAY, STRING, BIGINT, BOOLEAN, VOID, ... of a VARIANT."""
+    return F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1)
 
 
 def strip_code_fence(c) -> Column:
@@ -45,18 +45,10 @@ def strip_code_fence(c) -> Column:
 
 def extract_fenced(c) -> Column:
     """Between-first-fences variant (moderation verdicts)."""
-    t = _col(c)
+    t = js_trim(_col(c))
     after_json = F.split_part(t, F.lit("```json"), F.lit(2))
     after_plain = F.split_part(t, F.lit(FENCE), F.lit(2))
     return (F.when(F.contains(t, F.lit("```json")),
                    js_trim(F.split_part(after_json, F.lit(FENCE), F.lit(1))))
             .when(F.contains(t, F.lit(FENCE)), js_trim(after_plain))
             .otherwise(t))
-
-
-def is_json_array_text(c) -> Column:
-    return F.startswith(js_trim(_col(c)), F.lit("["))
-
-
-def is_json_object_text(c) -> Column:
-    return F.startswith(js_trim(_col(c)), F.lit("{"))

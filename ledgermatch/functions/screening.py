@@ -31,7 +31,8 @@ FLAGGED_PREFIX = "\nFlagged words: "
 
 def flag_keywords(text, keywords=None) -> Column:
     """Keywords (in list order) that occur as lower-case substrings of the text."""
-    kws = F.array(*[F.lit(k) for k in (keywords or FALLBACK_KEYWORDS)])
+    chosen = FALLBACK_KEYWORDS if keywords is None else keywords
+    kws = F.array(*[F.lit(k) for k in chosen]).cast("array<string>")
     lowered = F.lower(_col(text))
     return F.filter(kws, lambda k: F.contains(lowered, k))
 

@@ -8,18 +8,36 @@ unparseable verdict falls back to the keyword screen.  Texts are processed whole
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermatch.functions.responses import VERDICT_SCHEMA, extract_fenced
+from ledgermatch.functions.responses import extract_fenced, json_kind, strict_json
 from ledgermatch.functions.screening import screen_verdict, warning_message
 
 
+def _truthy(v) -> Column:
+    """What a script takes for true: true, a number but 0, a text but the empty one, any
+    object or array; null and a missing field are false."""
+    kind = json_kind(v)
+    number = F.try_variant_get(v, "$", "double")
+    return F.coalesce(F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+                      .when(kind == "STRING", F.try_variant_get(v, "$", "string") != "")
+                      .when(kind.isin("OBJECT", "ARRAY"), F.lit(True)).otherwise(number != 0), F.lit(False))
+
+
 def parse_verdicts(responses: DataFrame, id_col: str = "text_id") -> DataFrame:
-    """``id, parsed`` where ``parsed`` is null unless the text is a JSON object."""
-    t = extract_fenced("response")
-    valid = F.startswith(F.ltrim(t), F.lit("{")) & F.get_json_object(t, "$").isNotNull()
-    return responses.select(id_col, F.when(valid, F.from_json(t, VERDICT_SCHEMA)).alias("parsed"))
+    """One row per id: ``id, parsed``.  ``parsed`` is null unless the whole text (trimmed, out
+    of its fence) is JSON other than null; JSON that is no object has no fields and so counts
+    as clean.  Of several verdicts for one id a usable one goes before others, then an
+    offensive one, then the smallest text."""
+    v = responses.select(id_col, "response", strict_json(extract_fenced("response")).alias("v"))
+    field = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind).alias(name)
+    usable = F.coalesce(json_kind("v") != "VOID", F.lit(False))
+    offensive = _truthy(F.try_variant_get("v", "$.isOffensive", "variant"))
+    parsed = F.when(usable, F.struct(offensive.alias("isOffensive"), field("severity", "string"),
+                                     field("reason", "string"), field("flaggedWords", "array<string>")))
+    ranked = F.struct((~usable).alias("unusable"), (~offensive).alias("clean"), "response", parsed.alias("parsed"))
+    return v.groupBy(id_col).agg(F.min(ranked)["parsed"].alias("parsed"))
 
 
 def screen_texts(texts: DataFrame, text_col: str = "text", keywords=None,

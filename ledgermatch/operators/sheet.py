@@ -35,37 +35,39 @@ def mark_rows(sheet: DataFrame, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) ->
     """Per row: parsed ``amount``, ``filled_vendor``, ``is_total``, ``vendor_norm`` (named
     rows only) and ``subtotal_after`` (stated subtotal if this row ends a vendor).
 
-    Plan: one shuffle of the rows on ``(sheet_id, block)``; the block summary is
-    aggregated from the windowed rows (already clustered and sorted, so no second
-    shuffle or sort of the big side); the carry window runs on the summary (one row
-    per block) and is joined back on ``(sheet_id, block)``.
+    Plan: one shuffle of the rows on ``(sheet, block)``; the block summary is a partial
+    aggregate over a second, pruned scan (one summary row per task and block is shuffled,
+    no rows); the carry window runs on the summary and is joined back on the same key.
     """
     base = sheet.select(
         "sheet_id", "row_pos", "vendor", "invoice_amount",
         parse_amount("invoice_amount").alias("amount"),
         is_blank("vendor").alias("blank"),
         F.expr(f"row_pos div {int(rows_per_block)}").alias("blk"),
+        # joins and windows go by a key that is never null: a null sheet id is a sheet, too
+        F.when(F.col("sheet_id").isNull(), F.lit("n"))
+        .otherwise(F.concat(F.lit("s"), F.col("sheet_id").cast("string"))).alias("sheet_key"),
     )
-    w = Window.partitionBy("sheet_id", "blk").orderBy("row_pos")
+    w = Window.partitionBy("sheet_key", "blk").orderBy("row_pos")
     local = base.select(
         "*",
         F.last(F.when(~F.col("blank"), F.col("vendor")), ignorenulls=True)
         .over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("local_vendor"),
         F.lead(F.struct("blank", "amount")).over(w).alias("local_next"),
     )
-    summary = local.groupBy("sheet_id", "blk").agg(
-        F.max(F.struct("row_pos", "local_vendor")).alias("last_row"),
+    summary = base.groupBy("sheet_key", "blk").agg(
+        F.max(F.when(~F.col("blank"), F.struct("row_pos", "vendor"))).alias("last_row"),
         F.min(F.struct("row_pos", "blank", "amount")).alias("first_row"),
     )
-    wb = Window.partitionBy("sheet_id").orderBy("blk")
+    wb = Window.partitionBy("sheet_key").orderBy("blk")
     carry = summary.select(
-        "sheet_id", "blk",
-        F.last(F.col("last_row.local_vendor"), ignorenulls=True)
+        "sheet_key", "blk",
+        F.last(F.col("last_row.vendor"), ignorenulls=True)
         .over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_vendor"),
         F.lead(F.struct(F.col("first_row.blank").alias("blank"),
                         F.col("first_row.amount").alias("amount"))).over(wb).alias("next_first"),
     )
-    rows = local.join(carry, ["sheet_id", "blk"], "inner").select(
+    rows = local.join(carry, ["sheet_key", "blk"], "inner").select(
         "sheet_id", "row_pos", "vendor", "invoice_amount", "amount", "blank",
         F.coalesce("local_vendor", "carry_vendor").alias("current_vendor"),
         F.coalesce("local_next", "next_first").alias("next_row"))

@@ -9,6 +9,7 @@ reference code never reads it (SURVEY D1).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -60,6 +61,7 @@ def process(master: DataFrame, sheets: DataFrame | None = None, method: str = "f
         return ProcessResult(r.updated_master, r.match_report, r.quarantine)
     if sheets is None:
         raise ValueError("method 'fuzzy' needs a sheets table")
-    min_score = int(threshold) if apply_threshold else None
+    # scores are whole numbers: the least one that reaches the threshold
+    min_score = math.ceil(threshold) if apply_threshold else None
     r = reconcile(master, sheets, tiers=tiers, min_score=min_score)
     return ProcessResult(r.updated_master, r.match_report)

@@ -4,7 +4,6 @@ same names as in the DuckDB oracle SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermatch.functions.amounts import parse_amount
@@ -229,6 +228,10 @@ def parse_responses(spark, sf):
     return D.parse_decisions(_t(spark, sf, "match_responses"))
 
 
+def quarantine_decisions(spark, sf):
+    return D.quarantined_responses(_t(spark, sf, "match_responses")).select("request_id", "idx", "reason")
+
+
 def ingest_decisions(spark, sf):
     return D.decisions_report(D.parse_decisions(_t(spark, sf, "match_responses")), _t(spark, sf, "universal"))
 
@@ -302,6 +305,7 @@ QUERIES.update({
     "unmatched_vendors": unmatched_vendors,
     "distinct_suppliers": distinct_suppliers,
     "parse_responses": parse_responses,
+    "quarantine_decisions": quarantine_decisions,
     "ingest_decisions": ingest_decisions,
     "apply_decisions": apply_decisions_q,
     "match_request_batches": match_request_batches,
@@ -314,7 +318,3 @@ QUERIES.update({
     "csv_render": csv_render,
     "sheet_head": sheet_head,
 })
-
-
-def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
-    return QUERIES[name](spark, sf_dir)

@@ -56,29 +56,39 @@ from r join vendor_names v on v.k = r.k
 """
 
 # Externally produced match decisions: supplier null (0) / wrong case (1) / no match_type (2)
-# / fenced (3) / no vendor (4).
+# / fenced (3) / no vendor (4); amounts as text (k%10=5) or unreadable (k%10=6), score as
+# text (k%10=7), further elements that are no objects (k%17=0), text behind the array (k%23=0),
+# an object instead of an array (k%29=0).
 MATCH_RESPONSES_SQL = """
-select k as request_id, case when k % 9 = 3 then '```json' || chr(10) else '' end
+select k as request_id, case when k % 29 = 0 then '{"vendor":"x"}' else case when k % 9 = 3 then '```json' || chr(10) else '' end
  || '[{' || case when k % 9 = 4 then '' else '"vendor":"' || vendor || '",' end
  || '"supplier":' || case when k % 9 = 0 then 'null' when k % 9 = 1 then '"' || lower(supplier) || '"'
       else '"' || supplier || '"' end
  || case when k % 9 = 2 then '' else ',"match_type":"fuzzy"' end
- || ',"score":' || cast(70 + k % 30 as varchar(10)) || ',"amount":' || cast(k as varchar(20)) || '.25}]'
- || case when k % 9 = 3 then chr(10) || '```' else '' end as response
+ || ',"score":' || case when k % 10 = 7 then '"' || cast(70 + k % 30 as varchar(10)) || '"' else cast(70 + k % 30 as varchar(10)) end
+ || ',"amount":' || case when k % 10 = 5 then '"' || cast(k as varchar(20)) || '.25"' when k % 10 = 6 then '"abc"'
+      when k % 10 = 8 then 'null' else cast(k as varchar(20)) || '.25' end || '}'
+ || case when k % 17 = 0 then ',"x",7' else '' end || ']' || case when k % 23 = 0 then ' thanks' else '' end
+ || case when k % 9 = 3 then chr(10) || '```' else '' end end as response
 from vendor_names join universal on row_pos = k
 """
 
 # Externally produced moderation verdicts, one per labelled document: fenced (id%5=0),
-# severity missing (id%3=0), unparseable (id%11=0); unlabelled documents have none.
+# severity missing (id%3=0), unparseable (id%11=0); blank lines around (id%7=0), text behind
+# (id%13=0), flag as text (id%17=0) or number (id%19=0), no object (id%23=0), a second verdict
+# (id%10=0); unlabelled documents have none.
 MODERATION_RESPONSES_SQL = """
-select doc_id as text_id, case when doc_id % 11 = 0 then 'model unavailable' else
+select doc_id as text_id, '{"isOffensive": true, "reason": "second"}' as response from labels where doc_id % 10 = 0
+union all select doc_id as text_id, case when doc_id % 23 = 0 then '[1]' when doc_id % 11 = 0 then 'model unavailable' else
   case when doc_id % 5 = 0 then 'Verdict:' || chr(10) || '```json' || chr(10) else '' end
-  || '{"isOffensive": ' || case when toxic = 1 then 'true' else 'false' end
+  || case when doc_id % 7 = 0 then chr(10) || ' ' else '' end
+  || '{"isOffensive": ' || case when doc_id % 17 = 0 then '"true"' when doc_id % 19 = 0 then cast(toxic as varchar(10))
+       when toxic = 1 then 'true' else 'false' end
   || case when doc_id % 3 = 0 then '' else ', "severity": "'
        || case when quality = 0 then 'high' else 'low' end || '"' end
   || ', "reason": "quality ' || cast(quality as varchar(10)) || '"'
   || ', "flaggedWords": ' || case when toxic = 1 then '["w' || cast(doc_id % 7 as varchar(10)) || '"]'
-       else '[]' end || '}'
+       else '[]' end || '}' || case when doc_id % 7 = 0 then chr(10) when doc_id % 13 = 0 then ' hope this helps' else '' end
   || case when doc_id % 5 = 0 then chr(10) || '```' else '' end end as response
 from labels
 """

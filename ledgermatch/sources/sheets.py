@@ -82,11 +82,14 @@ def read_sheet_csv(spark: SparkSession, path: str, multiline: bool = False) -> D
     return with_canonical_names(out)
 
 
-def select_sheet(sheets: DataFrame, sheet, check: bool = True) -> DataFrame:
-    """One sheet of a table of sheets; unknown names raise listing the available ones."""
+def select_sheet(sheets: DataFrame, sheet=None, check: bool = True) -> DataFrame:
+    """One sheet of a table of sheets, the first when none is named; unknown names raise
+    listing all available ones."""
+    if sheet is None:
+        sheet = sheets.agg(F.min("sheet_id")).first()[0]
     out = sheets.where(F.col("sheet_id") == F.lit(sheet))
     if check and out.isEmpty():
-        names = [str(r[0]) for r in sheets.select("sheet_id").distinct().orderBy("sheet_id").limit(50).collect()]
+        names = [str(r[0]) for r in sheets.select("sheet_id").distinct().orderBy("sheet_id").collect()]
         raise ValueError(f'Sheet "{sheet}" not found. Available sheets: {", ".join(names)}')
     return out
 

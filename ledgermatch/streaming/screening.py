@@ -1,19 +1,10 @@
 """Text screening on a streaming DataFrame.
 
-The reference has no stream processing.  Screening is row-local (no state, no
-windows), so the same Column expressions apply unchanged to ``readStream`` input;
-verdicts joined from a static table use a stream-static left join.
+The reference has no stream processing.  Screening is row-local (no state, no windows),
+so the batch plan applies unchanged to ``readStream`` input; verdicts joined from a
+static table use a stream-static left join.
 """
 
-from __future__ import annotations
+from ledgermatch.plans.screening import screen_text as screen_stream
 
-from pyspark.sql import DataFrame
-
-from ledgermatch.operators.screening import parse_verdicts, screen_texts
-
-
-def screen_stream(texts: DataFrame, text_col: str = "text", keywords=None,
-                  responses: DataFrame | None = None, id_col: str = "text_id") -> DataFrame:
-    """``texts`` may be a streaming DataFrame; ``responses`` (optional) a static one."""
-    verdicts = None if responses is None else parse_verdicts(responses, id_col)
-    return screen_texts(texts, text_col, keywords, verdicts, id_col if responses is not None else None)
+__all__ = ["screen_stream"]
