@@ -201,8 +201,8 @@ _NO_VERDICT = ("false as pv_ok, cast(null as boolean) as pv_off, cast(null as va
                "cast(null as varchar) as pv_reason, cast(null as varchar[]) as pv_words")
 
 _VERDICTS = f"""
-vr as (select text_id, {ANY_FENCE('response')} as t from moderation_responses),
-vk as (select text_id, t, coalesce(case when json_valid(t) then json_type(t) end, 'NULL') as kind from vr),
+vr as (select text_id, response, {ANY_FENCE('response')} as t from moderation_responses),
+vk as (select text_id, response, t, coalesce(case when json_valid(t) then json_type(t) end, 'NULL') as kind from vr),
 vo as (select *, case when kind = 'OBJECT' then case json_type(t, '$.isOffensive') when 'BOOLEAN' then json_extract_string(t, '$.isOffensive') = 'true'
       when 'VARCHAR' then json_extract_string(t, '$.isOffensive') <> '' when 'OBJECT' then true when 'ARRAY' then true
       when 'NULL' then false else coalesce(json_extract_string(t, '$.isOffensive')::double <> 0, false) end else false end as off from vk),
@@ -210,7 +210,7 @@ pv as (select text_id, true as pv_ok, off as pv_off,
     case when kind = 'OBJECT' then json_extract_string(t, '$.severity') end as pv_sev,
     case when kind = 'OBJECT' then json_extract_string(t, '$.reason') end as pv_reason,
     case when kind = 'OBJECT' then from_json(json_extract(t, '$.flaggedWords'), '["VARCHAR"]') end as pv_words
-  from (select *, row_number() over (partition by text_id order by off desc, t) as n from vo where kind <> 'NULL') where n = 1)"""
+  from (select *, row_number() over (partition by text_id order by off desc, response) as n from vo where kind <> 'NULL') where n = 1)"""
 
 _BATCH = 50
 _REQUESTS = f"""
