@@ -12,10 +12,14 @@ cells are read as text; parsing happens in the operators.
 
 from __future__ import annotations
 
+import csv
 import uuid
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgermatch.functions.render import csv_header, csv_line
 from ledgermatch.session import ensure_checkpoint_dir
@@ -53,33 +57,67 @@ def with_header_names(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(COLUMN_TO_HEADER.get(c, c)) for c in df.columns])
 
 
-def read_sheet_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def _layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> the files that begin with it (one row a file reaches the driver)."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")).collect()
+    found: dict[str, list[str]] = {}
+    for r in first:
+        found.setdefault(r["header"].lstrip("\ufeff"), []).append(r["file"])
+    return found
+
+
+def _header_names(line: str) -> list[str]:
+    names = next(csv.reader([line]))
+    repeated = sorted({n for n in names if names.count(n) > 1})
+    if repeated:
+        raise ValueError(f"repeated headers: {', '.join(repeated)}")
+    return names
+
+
+def read_sheet_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """CSV sheets (header row, UTF-8, all cells text) with file order as ``row_pos``.
 
-    ``sheet_id`` is the partition column of a ``sheet_id=...`` directory layout, else the
-    file path.  ``row_pos`` (1-based within a sheet) follows (file, split, line): per
-    split one small aggregate gives the line offset, so no task sees a whole file.
+    Every file is read by its own header row; files that share a header are read together.
+    Repeated headers raise.  ``sheet_id`` is the text behind ``sheet_id=`` in the path, else
+    the file path.  ``row_pos`` (1-based within a sheet) follows (file, split, line): per
+    split one small aggregate gives the line offset.  Quoted line feeds are part of a cell;
+    ``multiline=False`` gives that up for files that may be split over tasks.
     """
-    raw = (spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .option("inferSchema", False).csv(path))
-    data_cols = [c for c in raw.columns if c != "sheet_id"]
-    df = raw.select(
-        *[F.col(f"`{c}`") for c in raw.columns],
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_mono"))
-    if "sheet_id" not in raw.columns:
-        df = df.withColumn("sheet_id", F.col("_file"))
+    parts = []
+    for header, files in sorted(_layouts(spark, path).items()):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in _header_names(header)])
+        read = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"')
+                .option("multiLine", multiline).option("recursiveFileLookup", True)
+                .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+                .csv([_decoded(f) for f in files]))
+        parts.append(with_canonical_names(read.select("*", F.col("_metadata.file_path").alias("_file"),
+                                                      F.col("_metadata.file_block_start").alias("_split"))))
+    if not parts:
+        raise ValueError(f"no sheets below {path}")
+    raw = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    data_cols = [c for c in raw.columns if c not in ("_file", "_split", "sheet_id")]
+    # a partition folder escapes its value, and a path as a URI escapes that once more
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    part = F.regexp_extract("_file", r"/sheet_id=([^/]*)/", 1)
+    named = F.when(part == "__HIVE_DEFAULT_PARTITION__", F.lit(None)).when(part != "", plain(plain(part))).otherwise(F.col("_file"))
+    df = raw.select(*[F.col(f"`{c}`") for c in data_cols], "_file", "_split", named.alias("sheet_id"),
+                    F.monotonically_increasing_id().alias("_mono"))
     splits = df.groupBy("sheet_id", "_file", "_split").agg(
         F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("sheet_id").orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("sheet_id", "_file", "_split", "_first",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
-    j = df.join(offsets, ["sheet_id", "_file", "_split"])
+    j = df.join(offsets.drop("sheet_id"), ["_file", "_split"])
     row_pos = (F.col("_offset") + (F.col("_mono") - F.col("_first")) + 1).alias("row_pos")
-    out = j.select("sheet_id", row_pos, *[F.col(f"`{c}`") for c in data_cols])
-    return with_canonical_names(out)
+    return j.select("sheet_id", row_pos, *[F.col(f"`{c}`") for c in data_cols])
+
+
+def _decoded(uri: str) -> str:
+    """A path as Spark's readers take it, from the URI in the file metadata."""
+    return unquote(uri)
 
 
 def select_sheet(sheets: DataFrame, sheet=None, check: bool = True) -> DataFrame:
@@ -110,10 +148,14 @@ def write_sheets_csv(sheets: DataFrame, path: str) -> None:
 def write_master(master: DataFrame, path: str, sheet_name: str | None = None,
                  fmt: str = "parquet") -> str:
     """Write the updated master into ``<path>/<sheet name>`` (default sheet name as in
-    the reference).  Returns the folder written."""
+    the reference).  Returns the folder written.  CSV files carry the sheet's own headers
+    and hold the rows in master order; other formats keep the canonical columns."""
     target = f"{path.rstrip('/')}/{sheet_name or DEFAULT_MASTER_SHEET}"
     w = master.write.mode("overwrite")
     if fmt == "csv":
+        if "row_pos" in master.columns:
+            master = master.repartitionByRange("row_pos").sortWithinPartitions("row_pos").drop("row_pos")
+        w = with_header_names(master).write.mode("overwrite")
         w.option("header", True).option("escape", '"').option("emptyValue", "").csv(target)
     else:
         w.format(fmt).save(target)

@@ -69,3 +69,27 @@ def test_sheet_scan_shuffles_rows_once(spark):
     plan = mark_rows(d)._jdf.queryExecution().executedPlan().toString()
     # the carry window's summary is partially aggregated; only one exchange carries rows to a window by block
     assert plan.count("hashpartitioning(sheet_key") <= 4 and "CartesianProduct" not in plan
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    from ledgermatch.sources.sheets import read_sheet_csv
+
+    for name, text in (("sheet_id=1", 'Vendor,Invoice Amount\nAlpha,"1\n2"\n'), ("sheet_id=01", "Invoice Amount,Vendor\n77,Beta\n\"8,5\",Ga\"\"mma\n")):
+        (tmp_path / "s" / name).mkdir(parents=True)
+        (tmp_path / "s" / name / "a.csv").write_text(text)
+    got = sorted((r.sheet_id, r.row_pos, r.vendor, r.invoice_amount) for r in read_sheet_csv(spark, str(tmp_path / "s")).collect())
+    assert got == [("01", 1, "Beta", "77"), ("01", 2, 'Ga""mma', "8,5"), ("1", 1, "Alpha", "1\n2")]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text("Vendor,Vendor\na,b\n")
+    with pytest.raises(ValueError, match="repeated headers: Vendor"):
+        read_sheet_csv(spark, str(tmp_path / "t"))
+
+
+def test_master_csv_has_its_headers_and_order(spark, tmp_path):
+    from ledgermatch.sources.sheets import write_master
+
+    d = spark.range(50).selectExpr("50 - id as row_pos", "cast(50 - id as string) as supplier", "'ACH' as default_payment_method", "1.0D as invoice_total", "id as Note")
+    target = write_master(d, str(tmp_path), fmt="csv")
+    lines = [x for f in sorted((tmp_path / target.rsplit("/", 1)[1]).glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[0] == "Supplier,Default payment method,Invoice Total,Note"
+    assert [int(x.split(",")[0]) for x in lines if not x.startswith("Supplier")] == list(range(1, 51))
