@@ -36,7 +36,7 @@ NGRAMS = (4, 3, 2, 1)
 BACKOFF = math.log(0.4)
 UNSEEN = 0.5
 #: Words a worker keeps; beyond it the cache starts anew (results do not change).
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -105,8 +105,17 @@ class Predictor:
         self.langs = packed["langs"]
         n = len(self.langs)
         self.known, self.logs = self._table(packed["words"])
-        self.grams = [self._table(t) for t in packed["ngrams"]]
-        self.floor = [float(t.min()) if len(t) else math.log(UNSEEN) for _, t in self.grams]
+        # one table for the n-grams of all lengths, the cost of backing off included; its last
+        # row stands for places where no n-gram is known
+        self.grams: dict[str, int] = {}
+        logs = []
+        for step, t in enumerate(packed["ngrams"]):
+            rows, log = self._table(t)
+            before = len(self.grams)
+            self.grams.update((g, before + i) for g, i in rows.items())
+            logs.append(log + step * BACKOFF)
+        floor = logs[-1].min() + BACKOFF if len(logs[-1]) else math.log(UNSEEN) + len(NGRAMS) * BACKOFF
+        self.gram_logs = np.concatenate([*logs, np.full((1, n), floor)])
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1 << 12, n))
 
@@ -121,17 +130,16 @@ class Predictor:
         hit = self.known.get(w)
         if hit is not None:
             return self.logs[hit]
-        p, total, places = f"_{w}_", np.zeros(len(self.langs)), 0
+        p, get, at = f"_{w}_", self.grams.get, []
         for i in range(max(1, len(p) - NGRAMS[0] + 1)):
-            places += 1
-            for step, (size, (table, logs)) in enumerate(zip(NGRAMS, self.grams)):
-                g = table.get(p[i:i + size])
-                if g is not None and i + size <= len(p):
-                    total += logs[g] + step * BACKOFF
+            for size in NGRAMS:
+                g = get(p[i:i + size]) if i + size <= len(p) else None
+                if g is not None:
+                    at.append(g)
                     break
             else:
-                total += self.floor[-1] + len(NGRAMS) * BACKOFF
-        return total / places
+                at.append(-1)
+        return self.gram_logs[at].mean(axis=0)
 
     def row(self, w: str) -> int:
         k = len(self.rows)
