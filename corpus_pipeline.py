@@ -38,7 +38,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("neardup", neardup), ("mixture", mixture), ("tokens", tokens)]
-#: SQL expresses neither the language model nor the token ids; tests/llm compares run() with plain Python.
+#: SQL expresses neither the language model nor the token ids; tests/llm compares each stage's operator with plain Python.
 ORACLE_SQL = None
 
 
