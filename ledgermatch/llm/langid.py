@@ -66,16 +66,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
              .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("entry"))
              .groupBy("lang", "entry").agg(F.count(F.lit(1)).alias("n")).persist())
     padded = F.concat(F.lit("_"), F.col("entry"), F.lit("_"))
-    grams = found.select("lang", "n", F.explode(F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(0), F.length(padded) - (k - 1)), F.lit(1)),
-                    lambda i, k=k: F.struct(F.lit(k).alias("k"), F.substring(padded, i, F.lit(k)).alias("entry")))
-        if k <= 3 else
-        F.when(F.length(padded) >= k, F.transform(
-            F.sequence(F.lit(1), F.length(padded) - (k - 1)),
-            lambda i, k=k: F.struct(F.lit(k).alias("k"), F.substring(padded, i, F.lit(k)).alias("entry"))))
-        .otherwise(F.array().cast("array<struct<k:int,entry:string>>"))
-        for k in NGRAMS]))).alias("g")).select("lang", "n", "g.k", "g.entry") \
-        .groupBy("lang", "k", "entry").agg(F.sum("n").alias("n"))
+
+    def of_length(k: int) -> Column:
+        # a lambda with a second parameter would be handed the position there
+        last = F.length(padded) - (k - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(
+            F.lit(k).alias("k"), F.substring(padded, i, F.lit(k)).alias("entry")))).otherwise(
+            F.array().cast("array<struct<k:int,entry:string>>"))
+
+    grams = (found.select("lang", "n", F.explode(F.flatten(F.array(*[of_length(k) for k in NGRAMS]))).alias("g"))
+             .select("lang", "n", "g.k", "g.entry").groupBy("lang", "k", "entry").agg(F.sum("n").alias("n")))
     words = _top(found, ["lang"], words_per_language).collect()
     ngrams = _top(grams, ["lang", "k"], ngrams_per_language).collect()
     found.unpersist()

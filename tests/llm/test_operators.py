@@ -183,6 +183,18 @@ def test_language(spark, docs, empty):
     assert {r["__lm_lang"]["lang_pred"] for r in rows(langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))))} == {"und"}
 
 
+def test_language_ngrams_of_all_lengths(spark):
+    d = spark.createDataFrame([(1, "river Riverbed a", "en"), (2, "fluss", "de")], "doc_id bigint, text string, lang string")
+    model = langid.fit(d)
+    want = {}
+    for w, at in (("river", 1), ("riverbed", 1), ("a", 1), ("fluss", 0)):  # languages in order: de, en
+        p = f"_{w}_"
+        for k in langid.NGRAMS:
+            for i in range(len(p) - k + 1):
+                want.setdefault(p[i:i + k], [0, 0])[at] += 1
+    assert model["langs"] == ["de", "en"] and model["ngrams"] == want
+
+
 def plain_sketch(text):
     w = [x for x in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode()) if x]
     xx = lambda v, s: xxhash.xxh64(v, seed=s).intdigest()
