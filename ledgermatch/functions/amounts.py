@@ -8,7 +8,9 @@
   ``1e5`` -> 15, ``1.234,56`` -> 1.23456, ``N/A`` -> null.
 
 Sums are taken as DECIMAL so results do not depend on row order; the value is
-converted back to DOUBLE once at the end.
+converted back to DOUBLE once at the end.  Amounts that the DECIMAL does not hold (very
+large ones, or with more than ten decimals) are summed as DOUBLE beside it: one odd cell
+neither fails the job nor turns into 0.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from ledgermatch.functions.text import JS_SPACE_CLASS, _col, is_blank
 # Exact accumulator type for amounts (10 fractional digits keep inputs such as
 # ``1.234,56`` -> 1.23456 exact).
 SUM_TYPE = "decimal(38,10)"
+# Larger amounts are added as DOUBLE; below, 10**13 rows fit the accumulator.
+EXACT_BELOW = 1e15
 
 _NUMERIC_PREFIX = r"^(-?(?:[0-9]+\.?[0-9]*|\.[0-9]+))"
 # "(...)" after trimming: optional spaces, "(", anything, ")", optional spaces.
@@ -43,8 +47,23 @@ def has_amount(amount) -> Column:
     return F.coalesce(a != 0, F.lit(False))
 
 
-def to_sum_type(amount) -> Column:
-    return _col(amount).cast(SUM_TYPE)
+def exact_decimal(amount, below: float = EXACT_BELOW) -> Column:
+    """The amount as DECIMAL if that is its very value, else null."""
+    a = _col(amount)
+    d = F.when(F.abs(a) < below, a.cast(SUM_TYPE))
+    return F.when(d.cast("double") == a, d)
+
+
+def exact_sum(amount) -> Column:
+    """Sum of a group's amounts as DOUBLE (null if it has none)."""
+    d = exact_decimal(amount)
+    whole, rest = F.sum(d).cast("double"), F.sum(F.when(d.isNull(), _col(amount)))
+    return F.when(rest.isNull(), whole).otherwise(F.coalesce(whole, F.lit(0.0)) + rest)
+
+
+def exact_difference(a, b) -> Column:
+    """``a - b`` as DOUBLE, by DECIMAL where both are held exactly."""
+    return F.coalesce((exact_decimal(a) - exact_decimal(b)).cast("double"), _col(a) - _col(b))
 
 
 def null_preserving_total(original_text, total) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgermatch.functions.amounts import exact_decimal
 from ledgermatch.functions.text import _col
 
 
@@ -28,15 +29,10 @@ def csv_header(names) -> str:
     return ",".join(names)
 
 
-def truncate_text(c, max_chars: int, marker: str) -> Column:
-    """First ``max_chars`` characters, plus ``marker`` when the text was longer."""
-    s = _col(c)
-    return F.when(F.length(s) > max_chars, F.concat(F.substring(s, 1, max_chars), F.lit(marker))
-                  ).otherwise(s)
-
-
 def display_number(c) -> Column:
     """JavaScript-style text of an amount: plain digits, no trailing zeros, integers
-    without a decimal point (``12345.67``, ``-5``, ``0``).  Exact to 10 decimals."""
-    plain = _col(c).cast("decimal(38,10)").cast("string")
-    return F.regexp_replace(plain, r"(\.[0-9]*[1-9])0+$|\.0+$", "$1")
+    without a decimal point (``12345.67``, ``-5``, ``0``).  From 1e21, and where ten decimals
+    do not hold the amount, the shortest text with an exponent (``1e+30``, ``1e-11``)."""
+    plain = F.regexp_replace(exact_decimal(c, 1e21).cast("string"), r"(\.[0-9]*[1-9])0+$|\.0+$", "$1")
+    short = F.regexp_replace(_col(c).cast("string"), r"\.0(?=E|$)", "")
+    return F.coalesce(plain, F.replace(F.replace(short, F.lit("E-"), F.lit("e-")), F.lit("E"), F.lit("e+")))

@@ -48,7 +48,3 @@ def similarity(a, b) -> Column:
 def max_edits(longest, min_score: int) -> Column:
     """Largest edit distance d with ratio >= min_score for longer length ``longest``."""
     return ((_col(longest) * F.lit(201 - 2 * min_score)) / F.lit(200)).cast("long").cast("int")
-
-
-def max_edits_py(longest: int, min_score: int) -> int:
-    return (longest * (201 - 2 * min_score)) // 200

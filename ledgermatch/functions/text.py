@@ -81,22 +81,29 @@ def common_words(left_words, right_words) -> Column:
     return F.filter(_col(left_words), lambda w: F.array_contains(r, w))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, not at each of its places in the lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _in_order(text_words: Column, search_words: Column) -> Column:
+    """All search words occur among the text's words, in order, gaps allowed: one pass over
+    the text's words counts how many search words were met."""
+    met = F.aggregate(text_words, F.lit(0), lambda n, w: F.when(w == F.get(search_words, n), n + 1).otherwise(n))
+    return met == F.size(search_words)
+
+
 def contains_as_word(text_norm, search_norm) -> Column:
     """Ordered whole-word containment of ``search`` in ``text`` (both normalised).
 
     False when either is empty, ``search`` is shorter than 4 characters or any search
     word is shorter than 4.  One word: a whole-word hit.  Several: all words, in order,
-    gaps allowed.  Norms only contain ``[a-z0-9 ]`` so no regex escaping is needed.
+    gaps allowed.
     """
     t, s = _col(text_norm), _col(search_norm)
-    sw = words(s)
-    pattern = F.concat(F.lit("(^| )"), F.array_join(sw, "( | .* )"), F.lit("( |$)"))
-    ok = (
-        t.isNotNull() & s.isNotNull() & (t != "") & (s != "")
-        & (F.length(s) >= MIN_WORD_LEN)
-        & F.forall(sw, lambda w: F.length(w) >= MIN_WORD_LEN)
-    )
-    return F.coalesce(ok & F.rlike(t, pattern), F.lit(False))
+    held = _once(F.struct(words(t).alias("t"), words(s).alias("s")), lambda x: (
+        F.forall(x["s"], lambda w: F.length(w) >= MIN_WORD_LEN) & _in_order(x["t"], x["s"])))
+    return F.coalesce((t != "") & (F.length(s) >= MIN_WORD_LEN) & held, F.lit(False))
 
 
 def smart_substring_match(vendor_norm, supplier_norm) -> Column:
@@ -109,18 +116,23 @@ def smart_substring_match(vendor_norm, supplier_norm) -> Column:
     (d) both 8+ characters and equal first 8 or last 8 characters.
     """
     v, s = _col(vendor_norm), _col(supplier_norm)
-    vw, sw = qualifying_words(v), qualifying_words(s)
+    vq, sq = qualifying_words(v), qualifying_words(s)
+    lists = F.struct(words(v).alias("v"), words(s).alias("s"), vq.alias("vq"), sq.alias("sq"),
+                     drop_stop_words(vq).alias("vm"), drop_stop_words(sq).alias("sm"))
     lv, ls = F.length(v), F.length(s)
-    mv, ms = drop_stop_words(vw), drop_stop_words(sw)
     span = 2 * MIN_WORD_LEN
-    gate = (lv >= MIN_WORD_LEN) & (ls >= MIN_WORD_LEN) & (F.size(vw) > 0) & (F.size(sw) > 0)
-    vendor_contains = (lv > ls) & contains_as_word(v, F.array_join(sw, " "))
-    supplier_contains = (ls > lv) & contains_as_word(s, F.array_join(vw, " "))
-    shared = (F.size(common_words(mv, ms)) >= 2) & (F.size(mv) >= 2) & (F.size(ms) >= 2)
     affix = (F.least(lv, ls) >= span) & (
         (F.substring(v, 1, span) == F.substring(s, 1, span))
         | (F.substring(v, -span, span) == F.substring(s, -span, span)))
-    return F.coalesce(gate & (vendor_contains | supplier_contains | shared | affix), F.lit(False))
+
+    def holds(x: Column) -> Column:
+        gate = (lv >= MIN_WORD_LEN) & (ls >= MIN_WORD_LEN) & (F.size(x["vq"]) > 0) & (F.size(x["sq"]) > 0)
+        shared = ((F.size(x["vm"]) >= 2) & (F.size(x["sm"]) >= 2)
+                  & (F.size(common_words(x["vm"], x["sm"])) >= 2))
+        return gate & (affix | shared | ((lv > ls) & _in_order(x["v"], x["sq"]))
+                       | ((ls > lv) & _in_order(x["s"], x["vq"])))
+
+    return F.coalesce(_once(lists, holds), F.lit(False))
 
 
 def ngrams(norm, n: int = 3) -> Column:

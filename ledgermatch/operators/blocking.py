@@ -14,13 +14,20 @@ Fuzzy tier, ``score >= c`` (edit ratio, plain or token-sorted)
 
 Fuzzy tier, code parity (best candidate whatever the score)
     A candidate must share a 3-character run; pairs are produced by an equi-join on
-    distinct 3-grams and each pair is kept once, at its smallest shared 3-gram.
+    distinct 3-grams and each pair is kept once.
 
 Substring tier
     Prefix filtering on words ordered by (document frequency, word): containment needs
     the contained side's rarest qualifying word; two shared words need a shared word
     outside each side's most frequent one (vendors with a repeated word use all their
-    words); the affix rule joins on the first / last 8 characters.
+    words); the affix rule needs the same first / last 8 characters.  All rules give keys of
+    one kind, a rule letter and a text, so that one equi-join serves them all.
+
+Hot keys
+    A key held by v vendors and s suppliers makes v * s pairs, however few bytes that is, so
+    adaptive execution does not split it.  ``keyed_pairs`` cuts such a key into a grid of
+    cells of at most ``PAIRS_PER_CELL`` pairs, each a join key of its own; the pairs are the
+    same.
 """
 
 from __future__ import annotations
@@ -30,10 +37,13 @@ from pyspark.sql import functions as F
 
 from ledgermatch.functions.text import (MIN_WORD_LEN, drop_stop_words, ngrams, qualifying_words,
                                         words)
+from ledgermatch.session import materialize
 
 # Below this threshold segments get short (2-3 characters) and the probe count grows, so
 # the 3-gram join (also lossless: a shared 3-character run is required) is cheaper.
 SEGMENT_MIN_SCORE = 75
+# Pairs that one join key may make before it is cut into cells.
+PAIRS_PER_CELL = 1 << 22
 
 
 def _k(length_sql: str, c: int) -> str:
@@ -106,19 +116,46 @@ def threshold_candidates(vendors: DataFrame, suppliers: DataFrame, c: int) -> Da
         _segment_pairs(vendors, suppliers, "vendor_sorted", "supplier_sorted", c))
 
 
-def ngram_candidates(vendors: DataFrame, suppliers: DataFrame, n: int = 3) -> DataFrame:
-    """All pairs sharing a character n-gram, each pair once.
-
-    Equi-join on distinct n-grams (AQE splits a hot n-gram's partition), then a hash
-    de-duplication whose partial aggregation runs map-side."""
+def keyed_pairs(vendor_keys: DataFrame, supplier_keys: DataFrame,
+                pairs_per_cell: int | None = None) -> DataFrame:
+    """All (vendor_norm, supplier_norm) that have a key ``g`` in common; pairs may repeat.
+
+    A key of more than ``pairs_per_cell`` pairs is cut into vendor parts times supplier
+    parts by hash; each row goes to every cell of its part."""
+    pairs_per_cell = PAIRS_PER_CELL if pairs_per_cell is None else pairs_per_cell
+    side = max(1, int(pairs_per_cell ** 0.5))
+    sizes = (vendor_keys.groupBy("g").agg(F.count(F.lit(1)).alias("nv"))
+             .join(supplier_keys.groupBy("g").agg(F.count(F.lit(1)).alias("ns")), "g"))
+    hot = materialize(sizes.where(F.col("nv") * F.col("ns") > pairs_per_cell).select(
+        "g", F.ceil(F.col("nv") / side).cast("int").alias("pv"), F.ceil(F.col("ns") / side).cast("int").alias("ps")),
+        "hot-keys")
+    if hot.isEmpty():
+        return vendor_keys.join(supplier_keys, "g").select("vendor_norm", "supplier_norm")
+
+    def cells(keys: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        parts = lambda c: F.coalesce(F.col(c), F.lit(1))
+        return (keys.join(hot, "g", "left")
+                .withColumn(f"c_{own}", F.pmod(F.xxhash64(name), parts(own)).cast("int"))
+                .withColumn(f"c_{other}", F.explode(F.sequence(F.lit(0), parts(other) - 1)))
+                .select("g", name, "c_pv", "c_ps"))
+
+    return (cells(vendor_keys, "vendor_norm", "pv", "ps").join(cells(supplier_keys, "supplier_norm", "ps", "pv"),
+                                                               ["g", "c_pv", "c_ps"])
+            .select("vendor_norm", "supplier_norm"))
+
+
+def ngram_candidates(vendors: DataFrame, suppliers: DataFrame, n: int = 3,
+                     pairs_per_cell: int | None = None) -> DataFrame:
+    """All pairs sharing a character n-gram, each pair once: a join on distinct n-grams, then
+    a hash de-duplication whose partial aggregation runs map-side."""
     ve = vendors.select("vendor_norm", F.explode(ngrams("vendor_norm", n)).alias("g"))
     se = suppliers.select("supplier_norm", F.explode(ngrams("supplier_norm", n)).alias("g"))
-    return ve.join(se, "g").select("vendor_norm", "supplier_norm").dropDuplicates()
+    return keyed_pairs(ve, se, pairs_per_cell).dropDuplicates()
 
 
 # ---------------------------------------------------------------- substring tier
 
-def _word_table(vendors: DataFrame, suppliers: DataFrame) -> DataFrame:
+def word_frequencies(vendors: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Document frequency of every word over the distinct vendor and supplier names."""
     names = (vendors.select(F.col("vendor_norm").alias("name"))
              .unionByName(suppliers.select(F.col("supplier_norm").alias("name"))).distinct())
@@ -126,59 +163,45 @@ def _word_table(vendors: DataFrame, suppliers: DataFrame) -> DataFrame:
             .groupBy("w").agg(F.count(F.lit(1)).alias("df")))
 
 
-def _rarest(df: DataFrame, key: str, wf: DataFrame, col: str) -> DataFrame:
-    """The rarest word of ``col`` per record, by (document frequency, word)."""
-    ex = df.select(key, F.explode(F.array_distinct(col)).alias("w")).join(wf, "w")
-    return ex.groupBy(key).agg(F.min(F.struct("df", "w")).alias("m")).select(key, F.col("m.w").alias("w"))
-
-
-def _without_most_frequent(df: DataFrame, key: str, wf: DataFrame, col: str) -> DataFrame:
-    """Distinct words of ``col`` per record except the most frequent one (the prefix for
-    an overlap of two).  Groups are single records, so the word lists stay small."""
-    ex = df.select(key, F.explode(F.array_distinct(col)).alias("w")).join(wf, "w")
-    g = ex.groupBy(key).agg(F.max(F.struct("df", "w")).alias("top"), F.collect_list("w").alias("ws"))
-    return g.select(key, F.explode(F.filter("ws", lambda x: x != F.col("top.w"))).alias("w"))
-
-
-def substring_candidates(vendors: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Lossless candidate pairs for the substring-tier predicate (pairs may repeat)."""
-    wf = _word_table(vendors, suppliers)
-    v = vendors.select("vendor_norm", words("vendor_norm").alias("tok"),
-                       qualifying_words("vendor_norm").alias("q"))
-    v = v.select("*", drop_stop_words("q").alias("mw"))
-    s = suppliers.select("supplier_norm", words("supplier_norm").alias("tok"),
-                         qualifying_words("supplier_norm").alias("q"))
-    s = s.select("*", drop_stop_words("q").alias("mw"))
-    v_tok = v.select("vendor_norm", F.explode(F.array_distinct("tok")).alias("w"))
-    s_tok = s.select("supplier_norm", F.explode(F.array_distinct("tok")).alias("w"))
-
-    # (a)/(b) containment: rarest qualifying word of the contained side
-    s_rare = _rarest(s, "supplier_norm", wf, "q")
-    v_rare = _rarest(v, "vendor_norm", wf, "q")
-    contain = (s_rare.join(v_tok, "w").select("vendor_norm", "supplier_norm")
-               .unionByName(v_rare.join(s_tok, "w").select("vendor_norm", "supplier_norm")))
-
-    # (c) two shared meaningful words: drop each side's most frequent word
-    v_dup = v.where(F.size(F.array_distinct("mw")) < F.size("mw"))
-    v_nodup = v.where((F.size(F.array_distinct("mw")) == F.size("mw")) & (F.size("mw") >= 2))
-    s_multi = s.where(F.size("mw") >= 2)
-    v_prefix = _without_most_frequent(v_nodup, "vendor_norm", wf, "mw")
-    s_prefix = _without_most_frequent(s_multi, "supplier_norm", wf, "mw")
-    s_all = s_multi.select("supplier_norm", F.explode(F.array_distinct("mw")).alias("w"))
-    v_all_dup = v_dup.select("vendor_norm", F.explode(F.array_distinct("mw")).alias("w"))
-    shared = (v_prefix.join(s_prefix, "w").select("vendor_norm", "supplier_norm")
-              .unionByName(v_all_dup.join(s_all, "w").select("vendor_norm", "supplier_norm")))
-
-    # (d) first / last 8 characters
+def _rules(df: DataFrame, key: str, wf: DataFrame, contained: str, holds: str, shared) -> DataFrame:
+    """(key, g): the keys of each name.  ``contained`` and ``holds`` are the rule letters for
+    its rarest qualifying word and for all its words; ``shared`` gives (letter, words) of
+    the shared-words rule from the meaningful words, rarest first, and from those in text
+    order.  A group is one name, so its word list stays small."""
+    ex = df.select(key, F.explode(F.array_distinct(words(key))).alias("w")).join(wf, "w")
+    one = ex.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "w")))["w"].alias("ws"))
+    qualifying = F.filter("ws", lambda w: F.length(w) >= MIN_WORD_LEN)
+    ranked, in_text = drop_stop_words(qualifying), drop_stop_words(qualifying_words(key))
     span = 2 * MIN_WORD_LEN
-    v8 = vendors.where(F.length("vendor_norm") >= span).select(
-        "vendor_norm", F.substring("vendor_norm", 1, span).alias("head"),
-        F.substring("vendor_norm", -span, span).alias("tail"))
-    s8 = suppliers.where(F.length("supplier_norm") >= span).select(
-        "supplier_norm", F.substring("supplier_norm", 1, span).alias("head"),
-        F.substring("supplier_norm", -span, span).alias("tail"))
-    affix = (v8.select("vendor_norm", "head").join(s8.select("supplier_norm", "head"), "head")
-             .select("vendor_norm", "supplier_norm")
-             .unionByName(v8.select("vendor_norm", "tail").join(s8.select("supplier_norm", "tail"), "tail")
-                          .select("vendor_norm", "supplier_norm")))
-    return contain.unionByName(shared).unionByName(affix)
+    ends = F.when(F.length(key) >= span, F.array(
+        F.concat(F.lit("h"), F.substring(key, 1, span)), F.concat(F.lit("t"), F.substring(key, -span, span))))
+    none = F.array().cast("array<string>")
+
+    def tag(letter: str, ws):
+        return F.transform(F.coalesce(ws, none), lambda x: F.concat(F.lit(letter), x))
+
+    tagged = [tag(t, w) for t, w in [(holds, F.col("ws")), (contained, F.slice(qualifying, 1, 1)),
+                                     *shared(ranked, in_text)]]
+    return one.select(key, F.explode(F.concat(*tagged, F.coalesce(ends, none))).alias("g"))
+
+
+def substring_candidates(vendors: DataFrame, suppliers: DataFrame, wf: DataFrame | None = None,
+                         pairs_per_cell: int | None = None) -> DataFrame:
+    """Lossless candidate pairs for the substring-tier predicate (pairs may repeat).  Any
+    word frequencies that cover both sides are right; ``wf`` hands over known ones."""
+    if wf is None:
+        wf = word_frequencies(vendors, suppliers)
+
+    def of_vendor(ranked, in_text):
+        several = F.size(F.array_distinct(in_text)) < F.size(in_text)
+        return [("p", F.when(~several & (F.size(in_text) >= 2), F.slice(ranked, 1, F.size(ranked) - 1))),
+                ("d", F.when(several, ranked))]
+
+    def of_supplier(ranked, in_text):
+        two = F.size(in_text) >= 2
+        return [("p", F.when(two, F.slice(ranked, 1, F.size(ranked) - 1))), ("d", F.when(two, ranked))]
+
+    # "v": the vendor's rarest word among the supplier's words, "s": the other way round
+    ve = _rules(vendors.select("vendor_norm"), "vendor_norm", wf, "v", "s", of_vendor)
+    se = _rules(suppliers.select("supplier_norm"), "supplier_norm", wf, "s", "v", of_supplier)
+    return keyed_pairs(materialize(ve, "vendor-word-keys"), materialize(se, "supplier-word-keys"), pairs_per_cell)

@@ -24,8 +24,9 @@ from ledgermatch.session import materialize
 
 DECISION_COLS = ["vendor_norm", "supplier_norm", "supplier_pos", "supplier", "match_type", "score"]
 TIERS = ("exact", "substring", "fuzzy")
-# Default first pass of the code-parity fuzzy search (any threshold keeps it exact).
-PARITY_CASCADE_SCORE = 90
+# Thresholds of the selective passes before a search for the best partner at any score (any
+# falling thresholds keep it exact).
+PARITY_STEPS = (90, 75)
 
 
 def supplier_index(master: DataFrame) -> DataFrame:
@@ -107,12 +108,13 @@ def _score_full(pairs: DataFrame, v: DataFrame, s: DataFrame) -> DataFrame:
 
 def match_fuzzy(keys: DataFrame, suppliers: DataFrame, min_score: int | None = None,
                 scorer: Scorer = similarity, min_shared_run: int = 3,
-                cascade_score: int = PARITY_CASCADE_SCORE) -> DataFrame:
+                steps=PARITY_STEPS) -> DataFrame:
     """Best fuzzy candidate per vendor norm.
 
     ``min_score=None`` (code parity): the best candidate sharing a ``min_shared_run``
-    run is accepted whatever its score; vendors with a candidate at ``>= cascade_score``
-    are settled by the selective segment join, only the rest go through the 3-gram join.
+    run is accepted whatever its score; vendors with a candidate at or above one of the falling
+    thresholds ``steps`` are settled by the selective segment join, only the rest go through
+    the 3-gram join.
     ``min_score=c``: only candidates scoring ``>= c`` (the documented 85 % contract).
     Segment blocking assumes the default edit-ratio scorer; another ``scorer`` uses the
     3-gram join, which is lossless for any scorer.
@@ -133,34 +135,44 @@ def match_fuzzy(keys: DataFrame, suppliers: DataFrame, min_score: int | None = N
     if not segmentable:
         return _best(_score(blocking.ngram_candidates(v, s, min_shared_run), s, scorer, None,
                             min_shared_run), "fuzzy")
-    first = materialize(_best(_score_banded(blocking.threshold_candidates(v, s, cascade_score), v, s,
-                                            cascade_score), "fuzzy"), "fuzzy-first-pass")
-    rest = v.join(first.select("vendor_norm"), "vendor_norm", "left_anti")
-    second = _best(_score_full(blocking.ngram_candidates(rest, s, 3), v, s), "fuzzy")
-    return first.unionByName(second)
+    done, rest = _settled(v, s, steps)
+    return reduce(DataFrame.unionByName, [*done, _best(_score_full(blocking.ngram_candidates(rest, s, 3), rest, s), "fuzzy")])
+
+
+def _settled(v: DataFrame, s: DataFrame, steps, match_type: str = "fuzzy", holds=None) -> tuple[list[DataFrame], DataFrame]:
+    """The best partners of the vendors that have one at or above a threshold of ``steps``
+    (``holds``: a further condition on the pair), a table for each step, and the vendors left.
+
+    The segment join finds every pair at or above its threshold, so the best of them is the
+    best of all."""
+    done, rest = [], v
+    for c in steps:
+        scored = _score_banded(blocking.threshold_candidates(rest, s, c), rest, s, c)
+        found = materialize(_best(scored if holds is None else scored.where(holds), match_type), f"{match_type}-at-{c}")
+        done.append(found)
+        rest = materialize(rest.join(found.select("vendor_norm"), "vendor_norm", "left_anti"), f"{match_type}-below-{c}")
+    return done, rest
 
 
 def substring_pairs(keys: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Every (vendor norm, supplier norm) pair for which the substring predicate holds.
+    """Every (vendor norm, supplier norm) pair for which the substring predicate holds."""
+    cand = blocking.substring_candidates(keys.select("vendor_norm"), suppliers.select("supplier_norm"))
+    return cand.dropDuplicates(["vendor_norm", "supplier_norm"]).where(smart_substring_match("vendor_norm", "supplier_norm"))
 
-    The candidate union is written once (``materialize``) before the predicate runs: the
-    blocking branches are structurally alike, and keeping them out of the downstream
-    aggregation plan avoids exchange-reuse mix-ups seen with Spark 4.1 on this shape.
-    """
-    cand = materialize(
-        blocking.substring_candidates(keys.select("vendor_norm"), suppliers.select("supplier_norm"))
-        .where(smart_substring_match("vendor_norm", "supplier_norm")), "substring-pairs")
-    return cand.dropDuplicates(["vendor_norm", "supplier_norm"])
 
+def match_substring(keys: DataFrame, suppliers: DataFrame, scorer: Scorer = similarity, steps=(90,)) -> DataFrame:
+    """J5 top-1: among substring-predicate partners, highest score then first supplier.
 
-def match_substring(keys: DataFrame, suppliers: DataFrame, scorer: Scorer = similarity) -> DataFrame:
-    """J5 top-1: among substring-predicate partners, highest score then first supplier."""
-    pairs = substring_pairs(keys, suppliers)
+    With the default scorer, vendors with such a partner at or above a threshold of ``steps``
+    are settled by the segment join (names that fulfil the predicate always share a
+    3-character run); only the rest go through the word blocking."""
     if scorer is similarity:
         v = keys.select("vendor_norm", token_sort("vendor_norm").alias("vendor_sorted"))
         s = suppliers.select("supplier_norm", token_sort("supplier_norm").alias("supplier_sorted"),
                              "supplier_pos", "supplier")
-        return _best(_score_full(pairs, v, s), "substring")
+        done, rest = _settled(v, s, steps, "substring", smart_substring_match("vendor_norm", "supplier_norm"))
+        return reduce(DataFrame.unionByName, [*done, _best(_score_full(substring_pairs(rest, s), rest, s), "substring")])
+    pairs = substring_pairs(keys, suppliers)
     p = pairs.join(suppliers.select("supplier_norm", "supplier_pos", "supplier"), "supplier_norm")
     p = p.select("*", scorer(F.col("vendor_norm"), F.col("supplier_norm")).alias("score"))
     return _best(p, "substring")
@@ -185,8 +197,9 @@ def match_decisions(blocks: DataFrame, suppliers: DataFrame, tiers=("exact", "fu
             d = match_substring(todo, suppliers, scorer)
         else:
             d = match_fuzzy(todo, suppliers, min_score, scorer, min_shared_run)
-        decided.append(d.select(DECISION_COLS))
-        todo = residual(todo, d)
+        # staged: the report and the tiers that follow read them, some in several branches
+        decided.append(materialize(d.select(DECISION_COLS), f"matched-{tier}"))
+        todo = materialize(residual(todo, decided[-1]), f"left-by-{tier}")
     if not decided:
         return keys.select("vendor_norm", *[F.lit(None).alias(c) for c in DECISION_COLS[1:]]).limit(0)
     return reduce(DataFrame.unionByName, decided)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgermatch.functions.amounts import exact_sum
 from ledgermatch.operators.ordering import with_row_index
 
 
@@ -26,7 +27,7 @@ def match_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("match_type").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct("vendor_norm").alias("n_vendors"),
-        F.sum(F.col("amount_added").cast("decimal(38,10)")).cast("double").alias("amount"))
+        exact_sum("amount_added").alias("amount"))
 
 
 def unmatched_vendors(report: DataFrame) -> DataFrame:

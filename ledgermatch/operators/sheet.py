@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermatch.functions.amounts import has_amount, parse_amount, to_sum_type
+from ledgermatch.functions.amounts import exact_difference, exact_sum, has_amount, parse_amount
 from ledgermatch.functions.text import is_blank, js_trim, normalize_name
 
 DEFAULT_ROWS_PER_BLOCK = 1 << 20
@@ -122,12 +122,12 @@ def vendor_blocks(marked: DataFrame) -> DataFrame:
     agg = named.groupBy("sheet_id", "vendor_norm").agg(
         F.min("row_pos").alias("first_pos"),
         F.max(F.struct("row_pos", "vendor_display", "subtotal_after")).alias("last"),
-        F.sum(to_sum_type(F.coalesce(F.col("amount"), F.lit(0.0)))).alias("detail_sum"),
+        exact_sum(F.coalesce(F.col("amount"), F.lit(0.0))).alias("detail_total"),
     )
     return agg.select(
         "sheet_id", "vendor_norm", F.col("last.vendor_display").alias("vendor"), "first_pos",
         F.col("last.row_pos").alias("last_pos"), F.col("last.subtotal_after").alias("amount"),
-        F.col("detail_sum").cast("double").alias("detail_total"),
+        "detail_total",
     )
 
 
@@ -146,7 +146,7 @@ def vendor_subtotals(sheet: DataFrame, rows_per_block: int = DEFAULT_ROWS_PER_BL
 def section_totals(sheet: DataFrame, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
     """Detail sum of each vendor's rows next to its stated subtotal."""
     b = vendor_blocks(mark_rows(sheet, rows_per_block))
-    diff = (to_sum_type("detail_total") - to_sum_type("amount")).cast("double")
+    diff = exact_difference("detail_total", "amount")
     return b.select("sheet_id", "vendor_norm", "detail_total",
                     F.col("amount").alias("stated_subtotal"),
                     diff.alias("difference"), (diff == 0).alias("is_consistent"))

@@ -1,7 +1,8 @@
 """Reconcile invoice sheets against the supplier master.
 
-One lazy plan: scan -> blocked sheet scan -> vendor blocks -> supplier index -> tier
-cascade on distinct vendor norms -> report -> per-supplier sums -> master update.
+Scan -> blocked sheet scan -> vendor blocks -> supplier index -> tier cascade on distinct
+vendor norms -> report -> per-supplier sums -> master update.  Building runs jobs: the vendor
+blocks, the index and each tier's decisions are staged; report and update stay lazy.
 """
 
 from __future__ import annotations
@@ -33,8 +34,6 @@ def reconcile(master: DataFrame, sheets: DataFrame, tiers=("exact", "fuzzy"),
     require_columns(sheets, SHEET_COLUMNS + ["sheet_id", "row_pos"], "Vendor sheet")
     blocks = materialize(vendor_blocks(mark_rows(sheets, rows_per_block)), "vendor-blocks")
     suppliers = materialize(supplier_index(master), "supplier-index")
-    # one row per distinct vendor norm; staged because the report and the totals both read it
-    decisions = materialize(match_decisions(blocks, suppliers, tiers, min_score, scorer, min_shared_run),
-                            "match-decisions")
+    decisions = match_decisions(blocks, suppliers, tiers, min_score, scorer, min_shared_run)
     report = match_report(blocks, decisions)
     return Reconciliation(update_master(master, supplier_totals(report)), report)

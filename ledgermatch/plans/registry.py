@@ -132,9 +132,8 @@ def residual_vendors(spark, sf):
 
 
 def match_fuzzy_best(spark, sf):
-    keys = M.vendor_keys(_blocks(spark, sf))
-    sup = _suppliers(spark, sf)
-    return M.match_fuzzy(M.residual(keys, M.match_exact(keys, sup)), sup, min_score=None)
+    res, sup = _residual(spark, sf)
+    return M.match_fuzzy(res, sup, min_score=None)
 
 
 def matched_at_threshold(spark, sf):
@@ -191,7 +190,7 @@ QUERIES = {
 def _residual(spark, sf):
     keys = M.vendor_keys(_blocks(spark, sf))
     sup = _suppliers(spark, sf)
-    return M.residual(keys, M.match_exact(keys, sup)), sup
+    return materialize(M.residual(keys, M.match_exact(keys, sup)), "residual"), sup
 
 
 def match_substring_pairs(spark, sf):
