@@ -161,10 +161,10 @@ report as (select request_id, idx, vendor, case when nomatch then null else supp
     case when nomatch then null else supplier_pos end as supplier_pos from dj)"""
 
 
-def _screen(text: str, fallback_only: bool) -> str:
+def _screen(text: str, fallback_only: bool, keywords: str = _KW) -> str:
     """Verdict columns for texts; ``pv`` (parsed verdict) columns are used when present."""
-    hit = f"len(list_filter({_KW}, lambda k: contains(lower({text}), k)))"
-    flagged = f"array_to_string(list_filter({_KW}, lambda k: contains(lower({text}), k)), ', ')"
+    hit = f"len(list_filter({keywords}, lambda k: contains(lower({text}), k)))"
+    flagged = f"array_to_string(list_filter({keywords}, lambda k: contains(lower({text}), k)), ', ')"
     if fallback_only:
         use_parsed = "false"
     else:
@@ -212,6 +212,8 @@ pv as (select text_id, true as pv_ok, off as pv_off,
     case when kind = 'OBJECT' then from_json(json_extract(t, '$.flaggedWords'), '["VARCHAR"]') end as pv_words
   from (select *, row_number() over (partition by text_id order by off desc, response) as n from vo where kind <> 'NULL') where n = 1)"""
 
+_GIVEN = "['data', 'river', 'xyzzy', 'the']"
+
 _BATCH = 50
 _REQUESTS = f"""
 with {MARKED().strip()},
@@ -259,6 +261,17 @@ select vendor_norm, supplier_norm, supplier_pos, supplier, 'substring' as match_
   (select *, row_number() over (partition by vendor_norm order by score desc, supplier_pos) as rn from sp)
 where rn = 1"""),
 
+    "match_report_three_tier": _w(f"""
+with {_RES},
+sp as (select r.vendor_norm, s.supplier_norm, s.supplier_pos, s.supplier,
+         {SIM('r.vendor_norm', 's.supplier_norm')} as score
+       from resid r join sup s on {SUBSTRING_MATCH('r.vendor_norm', 's.supplier_norm')}),
+sub as (select vendor_norm, supplier_norm, supplier_pos, supplier, 'substring' as match_type, score from
+  (select *, row_number() over (partition by vendor_norm order by score desc, supplier_pos) as rn from sp) where rn = 1),
+resid2 as (select vendor_norm from resid where vendor_norm not in (select vendor_norm from sub)),
+{_cte(FUZZY(None, "resid2"), REPORT("select * from exact union all select * from sub union all select * from fuzzy"))}
+select * from report"""),
+
     "ranked_report": _w(f"""
 with {RECONCILE_DEFAULT}
 select row_number() over (order by case when match_type = 'exact' then 0 else 1 end, score desc,
@@ -302,6 +315,13 @@ with {_DEC_REPORT.strip()},
 select doc_id, array_to_string(list_filter({_KW}, lambda k: contains(lower(text), k)), ', ') as flagged_text,
   len(list_filter({_KW}, lambda k: contains(lower(text), k))) as n_flagged from documents""",
 
+    "flag_given_keywords": f"""
+select doc_id, array_to_string(list_filter({_GIVEN}, lambda k: contains(lower(text), k)), ', ') as flagged_text,
+  len(list_filter({_GIVEN}, lambda k: contains(lower(text), k))) as n_flagged from documents""",
+
+    "screen_given_keywords": _w(_with_warning(f"select text_id, {_screen('text', True, _GIVEN)} from (select *, {_NO_VERDICT} from screen_texts)",
+                                              "text_id"), "screen_texts"),
+
     "screen_text": _with_warning(f"select conv_id, turn, {_screen('text', True)} from (select *, {_NO_VERDICT} from conversations)",
                                  "conv_id, turn"),
 

@@ -145,6 +145,11 @@ def match_report(spark, sf):
     return reconcile(_t(spark, sf, "universal"), _t(spark, sf, "vendor_sheet")).match_report
 
 
+def match_report_three_tier(spark, sf):
+    return reconcile(_t(spark, sf, "universal"), _t(spark, sf, "vendor_sheet"),
+                     tiers=("exact", "substring", "fuzzy")).match_report
+
+
 def supplier_totals_q(spark, sf):
     return supplier_totals(match_report(spark, sf))
 
@@ -178,6 +183,7 @@ QUERIES = {
     "match_fuzzy_best": match_fuzzy_best,
     "matched_at_threshold": matched_at_threshold,
     "match_report": match_report,
+    "match_report_three_tier": match_report_three_tier,
     "supplier_totals": supplier_totals_q,
     "update_master": update_master_q,
     "reconcile_master": reconcile_master,
@@ -268,6 +274,20 @@ def warning_messages(spark, sf):
     return screen_text(d).select("doc_id", "warning")
 
 
+# Words that occur in the texts (the default list has none of them).
+GIVEN_KEYWORDS = ["data", "river", "xyzzy", "the"]
+
+
+def flag_given_keywords(spark, sf):
+    f = SC.flag_keywords("text", GIVEN_KEYWORDS)
+    return _t(spark, sf, "documents").select("doc_id", F.array_join(f, ", ").alias("flagged_text"), F.size(f).alias("n_flagged"))
+
+
+def screen_given_keywords(spark, sf):
+    """Documents, blank and missing texts by a caller's keywords."""
+    return _verdict_cols(screen_text(_t(spark, sf, "screen_texts"), keywords=GIVEN_KEYWORDS), ["text_id"])
+
+
 def screen_text_with_responses(spark, sf):
     d = _t(spark, sf, "documents").withColumnRenamed("doc_id", "text_id")
     out = screen_text(d, responses=_t(spark, sf, "moderation_responses"), id_col="text_id")
@@ -309,6 +329,8 @@ QUERIES.update({
     "apply_decisions": apply_decisions_q,
     "match_request_batches": match_request_batches,
     "flag_keywords": flag_keywords,
+    "flag_given_keywords": flag_given_keywords,
+    "screen_given_keywords": screen_given_keywords,
     "screen_text": screen_text_q,
     "warning_messages": warning_messages,
     "screen_text_with_responses": screen_text_with_responses,

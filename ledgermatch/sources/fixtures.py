@@ -93,22 +93,31 @@ union all select doc_id as text_id, case when doc_id % 23 = 0 then '[1]' when do
 from labels
 """
 
+# Texts to screen: every document, and blank or missing texts beside them.
+SCREEN_TEXTS_SQL = """
+select doc_id as text_id, text from documents
+union all select -1 - doc_id as text_id, case when doc_id % 20 = 0 then chr(9) || ' ' || chr(10) end as text
+from labels where doc_id % 10 = 0
+"""
+
 FIXTURES = {
     "universal": UNIVERSAL_SQL,
     "vendor_names": VENDOR_NAMES_SQL,
     "vendor_sheet": VENDOR_SHEET_SQL,
     "match_responses": MATCH_RESPONSES_SQL,
     "moderation_responses": MODERATION_RESPONSES_SQL,
+    "screen_texts": SCREEN_TEXTS_SQL,
 }
 
 # dependency order for CTE inlining
-_ORDER = ["universal", "vendor_names", "vendor_sheet", "match_responses", "moderation_responses"]
+_ORDER = ["universal", "vendor_names", "vendor_sheet", "match_responses", "moderation_responses", "screen_texts"]
 _DEPS = {
     "universal": [],
     "vendor_names": ["universal"],
     "vendor_sheet": ["vendor_names", "universal"],
     "match_responses": ["vendor_names", "universal"],
     "moderation_responses": [],
+    "screen_texts": [],
 }
 
 

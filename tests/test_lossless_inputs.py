@@ -64,6 +64,33 @@ def test_fractional_threshold_is_not_cut(spark, monkeypatch):
     assert seen["m"] == 86
 
 
+def test_amounts_beyond_the_decimal_range_neither_fail_nor_vanish(spark):
+    from ledgermatch.functions.amounts import exact_sum
+    from ledgermatch.functions.render import display_number
+    from ledgermatch.plans.reconcile import reconcile
+
+    sheet = [("big", "1"), (None, "9" * 30), ("small", "1"), (None, "0.00000000001"), ("plain", "1"), (None, "0.1"), ("huge", "1"), (None, "9" * 400)]
+    s = spark.createDataFrame([(1, i, v, a) for i, (v, a) in enumerate(sheet)], "sheet_id long, row_pos long, vendor string, invoice_amount string")
+    m = spark.createDataFrame([(i, n, "ACH", None) for i, n in enumerate(["big", "small", "plain", "huge"])],
+                              "row_pos long, supplier string, default_payment_method string, invoice_total string")
+    got = {r.supplier: r.invoice_total for r in reconcile(m, s, tiers=("exact",)).updated_master.collect()}
+    assert got == {"big": 1e30, "small": 1e-11, "plain": 0.1, "huge": float("inf")}
+    sums = spark.createDataFrame([(1, 0.1), (1, 0.2), (1, None), (2, None), (3, 1e30), (3, 1.0)], "k int, a double")
+    assert {r.k: r.s for r in sums.groupBy("k").agg(exact_sum("a").alias("s")).collect()} == {1: 0.3, 2: None, 3: 1e30}
+    shown = spark.createDataFrame([(12345.67,), (-5.0,), (0.0,), (1e20,), (1e30,), (1e-11,), (None,)], "a double")
+    assert [r[0] for r in shown.select(display_number("a")).collect()] == ["12345.67", "-5", "0", "1" + "0" * 20, "1e+30", "1e-11", None]
+
+
+def test_hot_keys_cut_into_cells_give_the_same_pairs(spark):
+    from ledgermatch.operators.blocking import ngram_candidates, substring_candidates
+
+    v = spark.range(40).selectExpr("concat('vendor ', id % 7, ' foods company') as vendor_norm").distinct()
+    s = spark.range(60).selectExpr("concat('acme ', id, ' company') as supplier_norm")
+    for pairs in (ngram_candidates, substring_candidates):
+        whole = set(map(tuple, pairs(v, s).collect()))
+        assert len(whole) == 7 * 60 and whole == set(map(tuple, pairs(v, s, pairs_per_cell=9).collect()))
+
+
 def test_sheet_scan_shuffles_rows_once(spark):
     d = spark.range(1000).selectExpr("id % 3 as sheet_id", "id as row_pos", "cast(id as string) as vendor", "'1' as invoice_amount")
     plan = mark_rows(d)._jdf.queryExecution().executedPlan().toString()
