@@ -5,7 +5,8 @@ Pivots (reference points) are chosen from a bounded sample of the vectors: at mo
 (cosine below ``APART``), about ``2 * sqrt(n)`` and at most ``most_pivots``.  Every vector
 is described by the ordered list of its ``nearest`` nearest pivots.  Inverted lists hold,
 for each label and pivot, the vectors that have the pivot in their list.  Two vectors are
-candidates if they share at least ``shared`` pivots; a candidate pair is linked if its
+candidates if they share at least ``shared`` pivots, or every pivot where a dimension has
+fewer (vectors that all point one way leave one pivot); a candidate pair is linked if its
 cosine, in double precision, reaches ``least``.
 
 Equal vectors of a label are one entry with its number of copies, so copies are never
@@ -115,7 +116,7 @@ def links_of_group(group: pd.DataFrame, least: float, shared: int) -> pd.DataFra
     has = np.zeros((len(g), len(ids)), np.float32)
     has[np.repeat(np.arange(len(g)), lists.shape[1]), at.ravel()] = 1
     lower = has[:, ids < pivot]
-    linked &= (has @ has.T >= shared) & (lower @ lower.T == 0)
+    linked &= (has @ has.T >= min(shared, lists.shape[1])) & (lower @ lower.T == 0)
     rep = g["rep"].to_numpy()
     found = pd.DataFrame({"rep": rep, "links": linked @ g["copies"].to_numpy(), "root": rep[_local_roots(linked)]})
     return found[linked.any(axis=1)]

@@ -358,6 +358,25 @@ def test_vectors(spark):
     assert pivots.near_vectors(d.limit(0)).count() == 0
 
 
+def test_pivots_of_one_cluster(spark):
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=16)
+    x = centre + 0.3 * rng.normal(size=(120, 16)) * np.linalg.norm(centre) / 4
+    x[:40] = x[40:80] + 0.05 * rng.normal(size=(40, 16))
+    pair = [[1.0, 2.0], [1.0, 2.2]]
+    data = [(i, [float(a) for a in v], 0) for i, v in enumerate(x)] + [(900 + i, v, 0) for i, v in enumerate(pair)]
+    d = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int")
+    assert {k: len(p) for k, p in pivots.choose_pivots(pivots.entries_of(d, "vec_id", "embedding", "label").withColumn(
+        "dim", F.size("embedding"))).items()} == {16: 1, 2: 1}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert links.sum() > 100
+    for block in (16, 2048):
+        got = {r["vec_id"]: r for r in rows(pivots.near_vectors(d, block=block))}
+        assert [got[i]["n_links"] for i in range(len(x))] == links.tolist()
+        assert [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in (900, 901)] == [(1, 900, True), (1, 900, False)]
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 10, 1000, 4097):
         for key in (0, 5, 1 << 70):
