@@ -246,6 +246,35 @@ select b.sheet_id, b.batch_no, b.first_n, b.n_vendors, vt.n_unique_vendors, b.ve
 from batches b join vt on b.sheet_id = vt.sheet_id join scsv on b.sheet_id = scsv.sheet_id
   cross join nsup cross join sl cross join mcsv"""
 
+_REQUESTS_WHOLE = f"""
+with {MARKED().strip()},
+num as (select sheet_id, first_pos, vendor, amount,
+          row_number() over (partition by sheet_id order by first_pos) as n from blocks),
+lines as (select sheet_id, (n - 1) // {_BATCH} as batch_no, n,
+            format('{{}}. "{{}}" (Amount: {{}})', n, vendor, {NUMTEXT('amount')}) as line from num),
+batches as (select sheet_id, batch_no, count(*) as n_vendors, min(n) as first_n,
+              string_agg(line, chr(10) order by n) as text from lines group by sheet_id, batch_no),
+vt as (select sheet_id, count(*) as n_unique_vendors from blocks group by sheet_id),
+names as (select supplier, min(row_pos) as supplier_pos from universal group by supplier),
+context as (
+  select 'suppliers' as part, null as scope, row_number() over (order by supplier_pos) as n,
+    format('{{}}. "{{}}"', row_number() over (order by supplier_pos), coalesce(supplier, 'null')) as line, '' as header from names
+  union all select 'master', null, row_number() over (order by row_pos),
+    {CSVLINE('supplier', 'default_payment_method', 'invoice_total')},
+    'Supplier,Default payment method,Invoice Total' || chr(10) from universal
+  union all select 'sheet', sheet_id, row_number() over (partition by sheet_id order by row_pos),
+    {CSVLINE('vendor', 'invoice_amount')}, 'Vendor,Invoice Amount' || chr(10) from vendor_sheet),
+chunks as (select part, scope, (n - 1) // 100 as chunk_no,
+    case when (n - 1) // 100 = 0 then any_value(header) else '' end || string_agg(line, chr(10) order by n) as text
+  from context group by part, scope, (n - 1) // 100),
+counted as (select *, count(*) over (partition by part, scope) as n_chunks from chunks)
+select b.sheet_id, b.batch_no, b.first_n, b.n_vendors, vt.n_unique_vendors, (select count(*) from names) as n_suppliers,
+  p.part, p.chunk_no, p.n_chunks, p.text
+from (select b.sheet_id, b.batch_no, c.part, c.chunk_no, c.n_chunks, c.text
+      from batches b join counted c on c.scope is null or c.scope = b.sheet_id
+      union all select sheet_id, batch_no, 'vendors', 0, 1, text from batches) p
+  join batches b on b.sheet_id = p.sheet_id and b.batch_no = p.batch_no join vt on vt.sheet_id = b.sheet_id"""
+
 SQL.update({
     "match_substring_pairs": _w(f"""
 with {_RES}
@@ -310,6 +339,7 @@ with {_DEC_REPORT.strip()},
 {UPDATED()}""", "match_responses"),
 
     "match_request_batches": _w(_REQUESTS),
+    "match_request_whole": _w(_REQUESTS_WHOLE),
 
     "flag_keywords": f"""
 select doc_id, array_to_string(list_filter({_KW}, lambda k: contains(lower(text), k)), ', ') as flagged_text,

@@ -18,7 +18,7 @@ from ledgermatch.operators import reports as R
 from ledgermatch.operators import sheet as S
 from ledgermatch.plans.decisions import apply_decisions
 from ledgermatch.plans.reconcile import reconcile
-from ledgermatch.plans.requests import build_match_requests
+from ledgermatch.plans.requests import MAX_CHARS, MAX_SUPPLIERS, build_bounded_requests, build_match_requests
 from ledgermatch.plans.screening import screen_text
 from ledgermatch.session import materialize
 from ledgermatch.sources.fixtures import table
@@ -246,6 +246,12 @@ def apply_decisions_q(spark, sf):
 
 
 def match_request_batches(spark, sf):
+    """The context cut as in the reference."""
+    return build_bounded_requests(_t(spark, sf, "universal"), _t(spark, sf, "vendor_sheet"),
+                                  max_chars=MAX_CHARS, max_suppliers=MAX_SUPPLIERS)
+
+
+def match_request_whole(spark, sf):
     return build_match_requests(_t(spark, sf, "universal"), _t(spark, sf, "vendor_sheet"))
 
 
@@ -328,6 +334,7 @@ QUERIES.update({
     "ingest_decisions": ingest_decisions,
     "apply_decisions": apply_decisions_q,
     "match_request_batches": match_request_batches,
+    "match_request_whole": match_request_whole,
     "flag_keywords": flag_keywords,
     "flag_given_keywords": flag_given_keywords,
     "screen_given_keywords": screen_given_keywords,

@@ -1,22 +1,29 @@
 """Match-request batches (the text handed to an external matcher).
 
 Per sheet, the distinct vendors are numbered in first-appearance order and cut into
-batches of ``batch_size``; every batch row carries its numbered vendor lines
-``i. "vendor" (Amount: x)`` plus the shared context: the first ``max_suppliers``
-distinct supplier names (numbered, with an overflow note), and the first
-``max_chars`` characters of the master and of the sheet rendered as CSV (with a
-truncation marker).  Only batch-sized lists and the first rows are ever collected.
+batches of ``batch_size``, each with its numbered vendor lines ``i. "vendor" (Amount: x)``.
+The context of a batch is the numbered list of the distinct supplier names, the master and
+the batch's sheet rendered as CSV.
+
+``build_match_requests`` sends all of it: a batch is one row per chunk of its texts, the
+chunks of ``chunk_lines`` lines, numbered, so that no cell grows with the tables.
+
+``build_bounded_requests`` sends one row per batch with a head of the context: the first
+``max_suppliers`` names (with an overflow note), and the first ``max_chars`` characters of
+the master and of the sheet (with a truncation marker).  Only batch-sized lists and the
+first rows are ever collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermatch.functions.render import csv_cell, display_number
 from ledgermatch.operators.decisions import first_row_by_name
 from ledgermatch.operators.ordering import first_rows_per_sheet, with_row_index
 from ledgermatch.operators.sheet import DEFAULT_ROWS_PER_BLOCK, mark_rows, vendor_blocks
+from ledgermatch.session import materialize
 from ledgermatch.sources.sheets import COLUMN_TO_HEADER
 
 # --- fixed values (must equal the reference behaviour) -----------------------------
@@ -38,9 +45,78 @@ def _csv_text(rows: DataFrame, cols: list, order_col: str, group_cols=(), max_ch
     return full_len, line, header
 
 
-def build_match_requests(master: DataFrame, sheets: DataFrame, batch_size: int = 50,
-                         max_chars: int = MAX_CHARS, max_suppliers: int = MAX_SUPPLIERS,
+def _sheet_key() -> Column:
+    """A sheet's key that is never null: a null sheet id is a sheet, too."""
+    return F.when(F.col("sheet_id").isNull(), F.lit("n")).otherwise(
+        F.concat(F.lit("s"), F.col("sheet_id").cast("string")))
+
+
+def _chunks(lines: DataFrame, part: str, chunk_lines: int, header: str | None = None) -> DataFrame:
+    """``lines`` (scope, n from 1, line) as numbered chunks: part, scope, chunk_no, text."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    if header is not None:
+        text = F.when(F.col("chunk_no") == 0, F.concat(F.lit(header + "\n"), text)).otherwise(text)
+    return (lines.withColumn("chunk_no", F.expr(f"(n - 1) div {int(chunk_lines)}"))
+            .groupBy("scope", "chunk_no").agg(text.alias("text")).withColumn("part", F.lit(part)))
+
+
+def _csv_lines(cols: list) -> tuple[Column, str]:
+    return F.concat_ws(",", *[csv_cell(c) for c in cols]), ",".join(COLUMN_TO_HEADER.get(c, c) for c in cols)
+
+
+def build_match_requests(master: DataFrame, sheets: DataFrame, batch_size: int = 50, chunk_lines: int = 100,
                          rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
+    """One row per batch and chunk: the batch's columns, ``part`` (vendors, suppliers, master
+    or sheet), ``chunk_no`` from 0, ``n_chunks`` of the part, and ``text``.  The chunks of a
+    part joined by line feeds are the whole text."""
+    blocks = vendor_blocks(mark_rows(sheets, rows_per_block)).withColumn("sheet_key", _sheet_key())
+    numbered = with_row_index(blocks.select("sheet_id", "sheet_key", "first_pos", "vendor", "amount"),
+                              ["first_pos"], "n", group_cols=["sheet_key"])
+    line = F.format_string('%d. "%s" (Amount: %s)', F.col("n"), F.col("vendor"), display_number("amount"))
+    batches = (numbered.select("sheet_id", "sheet_key", F.expr(f"(n - 1) div {int(batch_size)}").alias("batch_no"),
+                               "n", line.alias("line"))
+               .groupBy("sheet_id", "sheet_key", "batch_no")
+               .agg(F.count(F.lit(1)).alias("n_vendors"), F.min("n").alias("first_n"),
+                    F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))),
+                                             lambda x: x["line"]), "\n").alias("text")))
+    totals = numbered.groupBy("sheet_key").agg(F.max("n").alias("n_unique_vendors"))
+    batches = materialize(batches.join(totals, "sheet_key"), "request-batches")
+
+    names = with_row_index(first_row_by_name(master).select("supplier", "supplier_pos"), ["supplier_pos"], "n")
+    names = names.select(F.lit("").alias("scope"), "n", F.format_string(
+        '%d. "%s"', F.col("n"), F.coalesce("supplier", F.lit("null"))).alias("line"))
+    m_line, m_header = _csv_lines([c for c in master.columns if c != "row_pos"])
+    m_lines = with_row_index(master.select("row_pos", m_line.alias("line")), ["row_pos"], "n").select(
+        F.lit("").alias("scope"), "n", "line")
+    s_line, s_header = _csv_lines([c for c in sheets.columns if c not in ("row_pos", "sheet_id")])
+    s_lines = with_row_index(sheets.select(_sheet_key().alias("scope"), "row_pos", s_line.alias("line")),
+                             ["row_pos"], "n", group_cols=["scope"])
+    chunks = materialize(
+        _chunks(names, "suppliers", chunk_lines).unionByName(_chunks(m_lines, "master", chunk_lines, m_header))
+        .unionByName(_chunks(s_lines, "sheet", chunk_lines, s_header)), "request-chunks")
+
+    # every batch names the chunks it needs: those of the master's parts and of its own sheet
+    n_of = {r["part"]: r["n"] for r in chunks.where("scope = ''").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_suppliers = names.count()
+    slim = batches.drop("text")
+    own = slim.join(chunks.where("part = 'sheet'").groupBy(F.col("scope").alias("sheet_key")).agg(
+        F.count(F.lit(1)).alias("n_chunks")), "sheet_key").select("*", F.lit("sheet").alias("part"), F.col("sheet_key").alias("scope"))
+    shared = [slim.select("*", F.lit(n).cast("bigint").alias("n_chunks"), F.lit(part).alias("part"), F.lit("").alias("scope"))
+              for part, n in sorted(n_of.items())]
+    needed = own
+    for s in shared:
+        needed = needed.unionByName(s)
+    needed = needed.withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1)))
+    cols = ["sheet_id", "batch_no", "first_n", "n_vendors", "n_unique_vendors", "part", "chunk_no", "n_chunks", "text"]
+    vendors = batches.select("*", F.lit("vendors").alias("part"), F.lit(0).cast("bigint").alias("chunk_no"),
+                             F.lit(1).cast("bigint").alias("n_chunks")).select(*cols)
+    return needed.join(chunks, ["part", "scope", "chunk_no"]).select(*cols).unionByName(vendors).select(
+        *cols[:5], F.lit(n_suppliers).cast("bigint").alias("n_suppliers"), *cols[5:])
+
+
+def build_bounded_requests(master: DataFrame, sheets: DataFrame, max_chars: int, max_suppliers: int,
+                           batch_size: int = 50, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
+    """One row per batch, its context cut to ``max_suppliers`` and ``max_chars``."""
     blocks = vendor_blocks(mark_rows(sheets, rows_per_block))
     numbered = with_row_index(blocks.select("sheet_id", "first_pos", "vendor", "amount"),
                               ["first_pos"], "n", group_cols=["sheet_id"])

@@ -120,3 +120,27 @@ def test_master_csv_has_its_headers_and_order(spark, tmp_path):
     lines = [x for f in sorted((tmp_path / target.rsplit("/", 1)[1]).glob("part-*")) for x in f.read_text().splitlines()]
     assert lines[0] == "Supplier,Default payment method,Invoice Total,Note"
     assert [int(x.split(",")[0]) for x in lines if not x.startswith("Supplier")] == list(range(1, 51))
+
+
+def test_match_requests_carry_everything(spark):
+    from ledgermatch.plans.requests import build_match_requests
+
+    master = spark.createDataFrame([(i, f"Firm {i}", "cash", "1.00") for i in range(1, 251)],
+                                   "row_pos bigint, supplier string, default_payment_method string, invoice_total string")
+    sheet = [(s, i, f"vendor {i:03}", "5.00") for s in (1, None) for i in range(1, 301)]
+    sheets = spark.createDataFrame(sheet, "sheet_id bigint, row_pos bigint, vendor string, invoice_amount string")
+    texts, sizes = {}, {}
+    for r in build_match_requests(master, sheets).collect():
+        key = (r["sheet_id"], r["batch_no"], r["part"])
+        texts.setdefault(key, {})[r["chunk_no"]] = r["text"]
+        sizes[key] = r["n_chunks"]
+        assert (r["n_suppliers"], r["n_unique_vendors"], r["n_vendors"]) == (250, 300, 50)
+    assert {k[:2] for k in texts} == {(s, b) for s in (1, None) for b in range(6)}
+    for (s, b, part), chunks in texts.items():
+        assert sorted(chunks) == list(range(sizes[s, b, part]))
+        lines = "\n".join(chunks[i] for i in sorted(chunks)).split("\n")
+        assert lines == {
+            "suppliers": [f'{i}. "Firm {i}"' for i in range(1, 251)],
+            "master": ["Supplier,Default payment method,Invoice Total"] + [f"Firm {i},cash,1.00" for i in range(1, 251)],
+            "sheet": ["Vendor,Invoice Amount"] + [f"vendor {i:03},5.00" for i in range(1, 301)],
+            "vendors": [f'{n}. "vendor {n:03}" (Amount: 0)' for n in range(50 * b + 1, 50 * b + 51)]}[part]
