@@ -4,9 +4,8 @@ Fit: from labelled texts, the frequency of every word by language, and the frequ
 character n-grams (words padded by ``_``) of ``NGRAMS`` lengths, weighted by how often
 the word occurs.  The classifier is fitted on a bounded sample: at most about
 ``docs_per_language`` documents of each language, chosen by a hash of their id, so that
-the choice does not depend on the partitioning.  It keeps the ``words_per_language`` and
-``ngrams_per_language`` (of each length) most frequent entries, which bounds what is sent
-to the workers.
+the choice does not depend on the partitioning.  Every word and n-gram of the sample is kept,
+with its counts in every language; the sample bounds what is sent to the workers.
 
 Predict: a word of the table adds its smoothed log frequency for each language.  A word
 that no language knows is read by the longest n-grams; where none is known, by the next
@@ -22,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
+from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -41,24 +42,43 @@ UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _top(counts: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The n most frequent entries of each group (ties by entry), without sorting a group
-    in one task: ranks are limited per task first."""
-    from pyspark.sql import Window
+class Counts(Mapping):
+    """Entry -> its counts by language, held as columns: a Python object an entry takes
+    several times the memory."""
 
-    w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "entry")
-    return counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
+    def __init__(self, entries: pa.Array, counts: np.ndarray):
+        self.entries, self.counts, self._at = entries, counts, None
+
+    @classmethod
+    def of(cls, counts: DataFrame, langs: list[str]) -> Counts:
+        t = counts.groupBy("entry").agg(*[
+            F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, k in enumerate(langs)]).toArrow()
+        return cls(t["entry"], np.stack([t[f"n{i}"].to_numpy() for i in range(len(langs))], axis=1))
+
+    @classmethod
+    def none(cls) -> Counts:
+        return cls(pa.array([], pa.string()), np.zeros((0, 0), np.int64))
+
+    def __len__(self):
+        return len(self.entries)
+
+    def __iter__(self):
+        return iter(self.entries.to_pylist())
+
+    def __getitem__(self, entry: str) -> list[int]:
+        if self._at is None:
+            self._at = {k: i for i, k in enumerate(self)}
+        return self.counts[self._at[entry]].tolist()
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        docs_per_language: int = 4000, words_per_language: int = 20000,
-        ngrams_per_language: int = 5000) -> dict:
+        docs_per_language: int = 4000) -> dict:
     """A model (bounded, see above) from the rows that have a language."""
     d = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return {"langs": [], "words": {}, "ngrams": {}}
+        return {"langs": [], "words": Counts.none(), "ngrams": Counts.none()}
     langs = sorted(sizes)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, docs_per_language / sizes[k])))])
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -76,26 +96,21 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     grams = (found.select("lang", "n", F.explode(F.flatten(F.array(*[of_length(k) for k in NGRAMS]))).alias("g"))
              .select("lang", "n", "g.k", "g.entry").groupBy("lang", "k", "entry").agg(F.sum("n").alias("n")))
-    words = _top(found, ["lang"], words_per_language).collect()
-    ngrams = _top(grams, ["lang", "k"], ngrams_per_language).collect()
+    model = {"langs": langs, "words": Counts.of(found, langs), "ngrams": Counts.of(grams, langs)}
     found.unpersist()
-    at = {k: i for i, k in enumerate(langs)}
-    model = {"langs": langs, "words": {}, "ngrams": {}}
-    for r in words:
-        model["words"].setdefault(r["entry"], [0] * len(langs))[at[r["lang"]]] = r["n"]
-    for r in ngrams:
-        model["ngrams"].setdefault(r["entry"], [0] * len(langs))[at[r["lang"]]] = r["n"]
     return model
 
 
 def pack(model: dict) -> dict:
     """The model as a few long strings: what is sent to the workers."""
-    def table(counts: dict[str, list[int]]) -> tuple[str, bytes]:
-        return "\n".join(counts), np.array(list(counts.values()), np.int64).tobytes()
+    def table(c: Counts, rows=slice(None)) -> tuple[str, bytes]:
+        entries = c.entries.to_pylist() if isinstance(rows, slice) else c.entries.take(pa.array(rows)).to_pylist()
+        return "\n".join(entries), c.counts[rows].astype(np.int64).tobytes()
 
     grams = model["ngrams"]
+    sizes = np.array([len(k) for k in grams], np.int64)
     return {"langs": model["langs"], "words": table(model["words"]),
-            "ngrams": [table({k: v for k, v in grams.items() if len(k) == size}) for size in NGRAMS]}
+            "ngrams": [table(grams, np.flatnonzero(sizes == size)) for size in NGRAMS]}
 
 
 class Predictor:
@@ -178,7 +193,7 @@ def language(model: dict):
     """Column function: text -> struct of lang_pred and score."""
     ship()
     packed = pack(model)
-    key = hashlib.sha256(repr(packed).encode()).hexdigest()
+    key = hashlib.sha256(pickle.dumps(packed)).hexdigest()
 
     @arrow_udf("struct<lang_pred: string, score: double>")
     def predict(text: pa.Array) -> pa.Array:

@@ -195,6 +195,16 @@ def test_language_ngrams_of_all_lengths(spark):
     assert model["langs"] == ["de", "en"] and model["ngrams"] == want
 
 
+def test_language_keeps_every_entry(spark):
+    # 21000 words and 7000 letters a language: more than 20000 words, more than 5000 1-grams
+    letters = {"aa": [chr(0x4E00 + i) for i in range(7000)], "bb": [chr(0xAC00 + i) for i in range(7000)]}
+    data = [(i + 1, " ".join(c + c[:1] * k for c in cs for k in (0, 1, 2)), lang) for i, (lang, cs) in enumerate(letters.items())]
+    model = langid.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string"))
+    assert model["words"] == {w: [int(lang == "aa"), int(lang == "bb")] for _, t, lang in data for w in t.split()}
+    assert {k: n for k, n in model["ngrams"].items() if len(k) == 1 and k != "_"} == {
+        c: [6 * (lang == "aa"), 6 * (lang == "bb")] for lang, cs in letters.items() for c in cs}
+
+
 def plain_sketch(text):
     w = [x for x in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode()) if x]
     xx = lambda v, s: xxhash.xxh64(v, seed=s).intdigest()
