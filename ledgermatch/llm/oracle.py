@@ -94,9 +94,48 @@ from t{depth + 1} join pu using (host, template)""")
     return ",".join(parts)
 
 
+LINES = r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+s as (select key, max(doc_id) as last from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+m as (select k.*, coalesce(doc_id <> last, false) as gone from k left join s using (key))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256 from m group by doc_id
+"""
+
+DIVERGENCE = r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as (select id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+t as (select lang, term from w group by all having count(distinct id) >= 30),
+c as (select lang, source, term, count(*) as n from w join t using (lang, term) group by all),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as v from t group by lang),
+gs as (select g.lang, g.source, coalesce(any_value(v.v), 0) as v, cast(coalesce(sum(c.n), 0) as hugeint) as total
+    from g left join v using (lang) left join c on c.lang = g.lang and c.source = g.source group by all),
+ls as (select lang, sum(total) as total from gs group by lang),
+p as (select gs.lang, gs.source, t.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (gs.total + 5 * gs.v) as p
+    from gs join t using (lang) left join c on c.lang = gs.lang and c.source = gs.source and c.term = t.term),
+q as (select p.lang, p.term, 1 + (1000000000::hugeint * (sum(p.n) + 5)) // (any_value(ls.total) + 5 * any_value(v.v)) as q
+    from p join ls using (lang) join v using (lang) group by p.lang, p.term),
+pairs as (select a.lang, a.source, b.source as item, coalesce(f.value, 0) as value from gs a join gs b on a.lang = b.lang and a.source <> b.source
+    left join (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from p x
+      join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) f
+    on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (select p.lang, p.source, p.term as item, p.p - q.q as value from p join q using (lang, term) where p.n > 0 and p.p > q.q)
+select lang, source, 'pair' as part, item, cast(value as bigint) as value,
+  cast(row_number() over (partition by lang, source order by value desc, item) as integer) as rank from pairs
+union all
+select * from (select lang, source, 'term' as part, item, cast(value as bigint) as value,
+  cast(row_number() over (partition by lang, source order by value desc, item) as integer) as rank from terms) where rank <= 50
+"""
+
 SQL = {
     "op2_chat_formatting": CHAT,
     "op4_url_templates": urls(),
     "op5_embedding_neardup": EMBEDDINGS,
     "op6_mixing": MIXING,
+    "op11_line_dedup": LINES,
+    "op12_source_divergence": DIVERGENCE,
 }

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermatch.llm import bpe, chat, langid, mixing, pivots, simhash, sketch, token_counts, training_order, url_templates
+from ledgermatch.llm import (bpe, chat, chat_repair, divergence, langid, line_index, mixing, pivots, simhash, sketch, token_counts,
+                             training_order, url_templates)
 from ledgermatch.llm.common import documents
+from ledgermatch.session import ensure_checkpoint_dir
 
 #: Free id of the byte-level vocabulary, used to end documents.
 END_ID = 50256
@@ -75,6 +79,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "near_edited", "near_next")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/line-index-{uuid.uuid4().hex}"
+    cleaned = line_index.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), path, at_least=3, least=20)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir), least_docs=30, top_terms=50)
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = documents(spark, sf_dir, "conversations")
+    return chat_repair.with_digests(chat_repair.damage(talks), talks)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,4 +102,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_chat_formatting, op3_training_order, op4_url_templates, op5_embedding_neardup, op6_mixing,
-    op7_simhash_neardup, op8_byte_bpe, op9_language_id, op10_fingerprints, pipeline)}
+    op7_simhash_neardup, op8_byte_bpe, op9_language_id, op10_fingerprints, op11_line_dedup, op12_source_divergence,
+    op13_chat_repair, pipeline)}
