@@ -100,6 +100,10 @@ select vendor_norm from resid"""),
 
     "match_fuzzy_best": _w(f"""
 with {_cte(MARKED(), SUPPLIERS, KEYS, EXACT, FUZZY(None))}
+select * from fuzzy"""),
+
+    "match_edit_ratio_best": _w(f"""
+with {_cte(MARKED(), SUPPLIERS, KEYS, EXACT, FUZZY(None, score=RATIO))}
 select * from fuzzy"""),
 
     "matched_at_threshold": _w(f"""

@@ -129,11 +129,11 @@ exact as (select k.vendor_norm, s.supplier_norm, s.supplier_pos, s.supplier, 'ex
 resid as (select vendor_norm from keys where vendor_norm not in (select vendor_norm from exact))"""
 
 
-def FUZZY(min_score: int | None, source: str = "resid", name: str = "fuzzy") -> str:
-    cond = f"and {SIM('r.vendor_norm', 's.supplier_norm')} >= {min_score}" if min_score is not None else ""
+def FUZZY(min_score: int | None, source: str = "resid", name: str = "fuzzy", score=SIM) -> str:
+    cond = f"and {score('r.vendor_norm', 's.supplier_norm')} >= {min_score}" if min_score is not None else ""
     return f"""
 {name}_pairs as (select r.vendor_norm, s.supplier_norm, s.supplier_pos, s.supplier,
-        {SIM('r.vendor_norm', 's.supplier_norm')} as score
+        {score('r.vendor_norm', 's.supplier_norm')} as score
       from {source} r join sup s on {SHARES3('r.vendor_norm', 's.supplier_norm')} {cond}),
 {name} as (select vendor_norm, supplier_norm, supplier_pos, supplier, 'fuzzy' as match_type, score from
       (select *, row_number() over (partition by vendor_norm order by score desc, supplier_pos) as rn

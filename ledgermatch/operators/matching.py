@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 from ledgermatch.functions.scoring import (Scorer, max_edits, ratio_from_distance, similarity,
                                            token_sort)
 from ledgermatch.functions.text import is_blank, normalize_name, shares_ngram, smart_substring_match
-from ledgermatch.operators import blocking
+from ledgermatch.operators import blocking, bounded
 from ledgermatch.session import materialize
 
 DECISION_COLS = ["vendor_norm", "supplier_norm", "supplier_pos", "supplier", "match_type", "score"]
 TIERS = ("exact", "substring", "fuzzy")
 # Thresholds of the selective passes before a search for the best partner at any score (any
 # falling thresholds keep it exact).
-PARITY_STEPS = (90, 75)
+PARITY_STEPS = (90,)
+# Up to this many vendors x suppliers (some minutes of one core) bounds are counted for all of
+# them; beyond, the segment join comes first.  Both ways find the same.
+PAIRS_BY_BOUNDS = 1 << 31
 
 
 def supplier_index(master: DataFrame) -> DataFrame:
@@ -108,35 +111,39 @@ def _score_full(pairs: DataFrame, v: DataFrame, s: DataFrame) -> DataFrame:
 
 def match_fuzzy(keys: DataFrame, suppliers: DataFrame, min_score: int | None = None,
                 scorer: Scorer = similarity, min_shared_run: int = 3,
-                steps=PARITY_STEPS) -> DataFrame:
+                steps=None) -> DataFrame:
     """Best fuzzy candidate per vendor norm.
 
     ``min_score=None`` (code parity): the best candidate sharing a ``min_shared_run``
-    run is accepted whatever its score; vendors with a candidate at or above one of the falling
-    thresholds ``steps`` are settled by the selective segment join, only the rest go through
-    the 3-gram join.
-    ``min_score=c``: only candidates scoring ``>= c`` (the documented 85 % contract).
+    run is accepted whatever its score.  Where there are many names, vendors with a candidate
+    at or above one of the falling thresholds ``steps`` are settled by the selective segment
+    join first; the rest go through the search by bounds (``operators.bounded``).
+    ``min_score=c``: only candidates scoring ``>= c`` (the documented 85 % contract), by bounds
+    or, where there are many names, the segment join.
     Segment blocking assumes the default edit-ratio scorer; another ``scorer`` uses the
-    3-gram join, which is lossless for any scorer.
+    bounds that it declares, or, without any, the 3-gram join, which is lossless for any scorer.
     """
     v = keys.select("vendor_norm", token_sort("vendor_norm").alias("vendor_sorted"))
     s = suppliers.select("supplier_norm", token_sort("supplier_norm").alias("supplier_sorted"),
                          "supplier_pos", "supplier")
-    segmentable = scorer is similarity and min_shared_run == 3
-    if min_score is not None:
-        if segmentable and min_score >= blocking.SEGMENT_MIN_SCORE:
-            return _best(_score_banded(blocking.threshold_candidates(v, s, min_score), v, s, min_score),
-                         "fuzzy")
-        if segmentable:
-            return _best(_score_full(blocking.ngram_candidates(v, s, 3), v, s)
-                         .where(F.col("score") >= min_score), "fuzzy")
-        return _best(_score(blocking.ngram_candidates(v, s, min_shared_run), s, scorer, min_score,
-                            min_shared_run), "fuzzy")
-    if not segmentable:
-        return _best(_score(blocking.ngram_candidates(v, s, min_shared_run), s, scorer, None,
-                            min_shared_run), "fuzzy")
-    done, rest = _settled(v, s, steps)
-    return reduce(DataFrame.unionByName, [*done, _best(_score_full(blocking.ngram_candidates(rest, s, 3), rest, s), "fuzzy")])
+    bound = getattr(scorer, "bound", None)
+    if scorer is similarity and min_shared_run == 3:
+        few = v.count() * s.count() <= PAIRS_BY_BOUNDS
+        if min_score is None:
+            done, rest = _settled(v, s, steps if steps is not None else () if few else PARITY_STEPS)
+            return reduce(DataFrame.unionByName, [*done, _best(_bounded(rest, s, bound, min_shared_run, lambda p: _score_full(p, v, s)), "fuzzy")])
+        if min_score >= blocking.SEGMENT_MIN_SCORE and not few:
+            return _best(_score_banded(blocking.threshold_candidates(v, s, min_score), v, s, min_score), "fuzzy")
+        pairs = bounded.pairs_to_score(v, s, bound, min_shared_run, min_score)
+        return _best(_score_full(pairs, v, s).where(F.col("score") >= min_score), "fuzzy")
+    if bound is None:
+        return _best(_score(blocking.ngram_candidates(v, s, min_shared_run), s, scorer, min_score, min_shared_run), "fuzzy")
+    return _best(_bounded(v, s, bound, min_shared_run, lambda p: _score(p, s, scorer, min_score, min_shared_run), min_score), "fuzzy")
+
+
+def _bounded(v: DataFrame, s: DataFrame, bound, min_shared_run: int, score, min_score: int | None = None) -> DataFrame:
+    """Scored pairs among which every vendor's best is, by the scorer's declared bound."""
+    return score(bounded.pairs_to_score(v, s, bound, min_shared_run, min_score, score))
 
 
 def _settled(v: DataFrame, s: DataFrame, steps, match_type: str = "fuzzy", holds=None) -> tuple[list[DataFrame], DataFrame]:

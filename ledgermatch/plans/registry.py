@@ -136,6 +136,12 @@ def match_fuzzy_best(spark, sf):
     return M.match_fuzzy(res, sup, min_score=None)
 
 
+def match_edit_ratio_best(spark, sf):
+    """Another scorer, searched by the bound that it declares."""
+    res, sup = _residual(spark, sf)
+    return M.match_fuzzy(res, sup, scorer=edit_ratio)
+
+
 def matched_at_threshold(spark, sf):
     u, s = _t(spark, sf, "universal"), _t(spark, sf, "vendor_sheet")
     return reconcile(u, s, min_score=85).match_report
@@ -181,6 +187,7 @@ QUERIES = {
     "match_exact": match_exact,
     "residual_vendors": residual_vendors,
     "match_fuzzy_best": match_fuzzy_best,
+    "match_edit_ratio_best": match_edit_ratio_best,
     "matched_at_threshold": matched_at_threshold,
     "match_report": match_report,
     "match_report_three_tier": match_report_three_tier,

@@ -64,6 +64,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the session's workers, once an application: functions that run
+    there in Python import it.  Spark serves the archive from the driver to every executor."""
+    import zipfile
+
+    try:
+        app, add = spark.sparkContext.applicationId, spark.sparkContext.addPyFile
+    except Exception:  # Spark Connect
+        app, add = spark.conf.get("spark.app.id", "connect"), lambda path: spark.addArtifacts(path, pyfile=True)
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgermatch-code-"), "ledgermatch.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    add(archive)
+    _SHIPPED.add(app)
+
+
 def materialize(df, label: str):
     """Write ``df`` as parquet under the (shared) checkpoint directory and read it back.
 
