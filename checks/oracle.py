@@ -369,6 +369,10 @@ with {_VERDICTS.strip()}
 
     "scan_vendor_sheet": _w("select sheet_id, row_pos, vendor, invoice_amount from vendor_sheet"),
 
+    "scan_quoted_sheet": _w("select sheet_id, row_pos, vendor, invoice_amount from quoted_sheet", "quoted_sheet"),
+
+    "read_one_sheet": _w("select sheet_id, row_pos, vendor, invoice_amount from quoted_sheet where sheet_id = 3", "quoted_sheet"),
+
     "select_sheet": _w("select * from vendor_sheet where sheet_id = 3"),
 
     "csv_render": _w(f"""

@@ -317,6 +317,22 @@ def scan_vendor_sheet(spark, sf):
     return back.select(F.col("sheet_id").cast("long").alias("sheet_id"), "row_pos", "vendor", "invoice_amount")
 
 
+def scan_quoted_sheet(spark, sf):
+    """The same with line feeds, quotes and commas in cells."""
+    path = IO.scratch_path(spark, "sheets-csv")
+    IO.write_sheets_csv(_t(spark, sf, "quoted_sheet"), path)
+    back = IO.read_sheet_csv(spark, path)
+    return back.select(F.col("sheet_id").cast("long").alias("sheet_id"), "row_pos", "vendor", "invoice_amount")
+
+
+def read_one_sheet(spark, sf):
+    """One sheet of a folder of CSV sheets; the other files are not opened."""
+    path = IO.scratch_path(spark, "sheets-csv")
+    IO.write_sheets_csv(_t(spark, sf, "quoted_sheet"), path)
+    back = IO.read_sheet(spark, path, "3")
+    return back.select(F.col("sheet_id").cast("long").alias("sheet_id"), "row_pos", "vendor", "invoice_amount")
+
+
 def select_sheet(spark, sf):
     return IO.select_sheet(_t(spark, sf, "vendor_sheet"), 3)
 
@@ -349,6 +365,8 @@ QUERIES.update({
     "warning_messages": warning_messages,
     "screen_text_with_responses": screen_text_with_responses,
     "scan_vendor_sheet": scan_vendor_sheet,
+    "scan_quoted_sheet": scan_quoted_sheet,
+    "read_one_sheet": read_one_sheet,
     "select_sheet": select_sheet,
     "csv_render": csv_render,
     "sheet_head": sheet_head,

@@ -100,21 +100,29 @@ union all select -1 - doc_id as text_id, case when doc_id % 20 = 0 then chr(9) |
 from labels where doc_id % 10 = 0
 """
 
+# The sheets with line feeds, quotes and commas in cells.
+QUOTED_SHEET_SQL = """
+select sheet_id, row_pos, case when row_pos % 3 = 0 then vendor || chr(10) || '"a", ' || chr(10) || 'b' when row_pos % 5 = 0
+    then chr(10) || vendor else vendor end as vendor, invoice_amount from vendor_sheet
+"""
+
 FIXTURES = {
     "universal": UNIVERSAL_SQL,
     "vendor_names": VENDOR_NAMES_SQL,
     "vendor_sheet": VENDOR_SHEET_SQL,
+    "quoted_sheet": QUOTED_SHEET_SQL,
     "match_responses": MATCH_RESPONSES_SQL,
     "moderation_responses": MODERATION_RESPONSES_SQL,
     "screen_texts": SCREEN_TEXTS_SQL,
 }
 
 # dependency order for CTE inlining
-_ORDER = ["universal", "vendor_names", "vendor_sheet", "match_responses", "moderation_responses", "screen_texts"]
+_ORDER = ["universal", "vendor_names", "vendor_sheet", "quoted_sheet", "match_responses", "moderation_responses", "screen_texts"]
 _DEPS = {
     "universal": [],
     "vendor_names": ["universal"],
     "vendor_sheet": ["vendor_names", "universal"],
+    "quoted_sheet": ["vendor_sheet"],
     "match_responses": ["vendor_names", "universal"],
     "moderation_responses": [],
     "screen_texts": [],

@@ -13,21 +13,22 @@ cells are read as text; parsing happens in the operators.
 from __future__ import annotations
 
 import csv
+import io
 import uuid
-from functools import reduce
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgermatch.functions.render import csv_header, csv_line
-from ledgermatch.session import ensure_checkpoint_dir
+from ledgermatch.session import ensure_checkpoint_dir, materialize
+from ledgermatch.sources.records import FILE, read_records
 
 # --- fixed values (must equal the reference behaviour) -----------------------------
 MASTER_HEADERS = ["Supplier", "Default payment method", "Invoice Total"]
 SHEET_HEADERS = ["Vendor", "Invoice Amount"]
 DEFAULT_MASTER_SHEET = "Universal Database"
+MISSING_COLUMNS = "{} missing columns: {}"
+NO_SHEET = 'Sheet "{}" not found. Available sheets: {}'
 # ---------------------------------------------------------------------------------
 
 HEADER_TO_COLUMN = {
@@ -46,7 +47,7 @@ def require_columns(df: DataFrame, required, label: str) -> None:
     """S3: raise ``ValueError("<label> missing columns: a, b")`` before any job runs."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"{label} missing columns: {', '.join(missing)}")
+        raise ValueError(MISSING_COLUMNS.format(label, ", ".join(COLUMN_TO_HEADER.get(c, c) for c in missing)))
 
 
 def with_canonical_names(df: DataFrame) -> DataFrame:
@@ -57,67 +58,83 @@ def with_header_names(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(COLUMN_TO_HEADER.get(c, c)) for c in df.columns])
 
 
-def _layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header line -> the files that begin with it (one row a file reaches the driver)."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        "value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"))
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")).collect()
-    found: dict[str, list[str]] = {}
-    for r in first:
-        found.setdefault(r["header"].lstrip("\ufeff"), []).append(r["file"])
-    return found
+def _header_names(head: str, file: str) -> list[str]:
+    """Column names of a header record, read by the CSV parser (a name may be quoted and
+    hold line feeds).  An empty name becomes its place; names that sheets use themselves get
+    the ending ``_cell``.  Repeated names raise."""
+    names = [n or f"column {i}" for i, n in enumerate(next(csv.reader(io.StringIO(head, newline=""))), 1)]
+    known = [HEADER_TO_COLUMN.get(n, n) for n in names]
+    known = [f"{n}_cell" if n in ("sheet_id", "row_pos") else n for n in known]
+    repeated = sorted({n for n, k in zip(names, known) if known.count(k) > 1})
+    if repeated:
+        raise ValueError(f"repeated headers: {', '.join(repeated)} (in {file})")
+    return known
 
 
-def _header_names(line: str) -> list[str]:
-    names = next(csv.reader([line]))
-    repeated = sorted({n for n in names if names.count(n) > 1})
-    if repeated:
-        raise ValueError(f"repeated headers: {', '.join(repeated)}")
-    return names
+def _sheet_of(file: Column) -> Column:
+    """The text behind ``sheet_id=`` in a file's path (null for Spark's null folder), else the
+    path.  A partition folder escapes its value, and a path as a URI escapes that once more."""
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    part = F.regexp_extract(file, r"/sheet_id=([^/]*)/", 1)
+    return F.when(part == "__HIVE_DEFAULT_PARTITION__", F.lit(None)).when(part != "", plain(plain(part))).otherwise(file)
+
+
+def sheet_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(sheet_id, file, size) of the files below ``path``; no file is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    file = F.col("_metadata.file_path")
+    return listed.select(_sheet_of(file).alias("sheet_id"), file.alias("file"), F.col("_metadata.file_size").alias("size"))
 
 
-def read_sheet_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_sheet_csv(spark: SparkSession, path: str, multiline: bool = True, sheet: str | None = None) -> DataFrame:
     """CSV sheets (header row, UTF-8, all cells text) with file order as ``row_pos``.
 
-    Every file is read by its own header row; files that share a header are read together.
-    Repeated headers raise.  ``sheet_id`` is the text behind ``sheet_id=`` in the path, else
-    the file path.  ``row_pos`` (1-based within a sheet) follows (file, split, line): per
-    split one small aggregate gives the line offset.  Quoted line feeds are part of a cell;
-    ``multiline=False`` gives that up for files that may be split over tasks.
+    Files may be of any size and are read by many tasks, quoted line feeds and all (see
+    ``sources.records``; ``multiline=False`` takes every line for a record).  Every file's
+    first non-blank record is its header; the distinct headers reach the driver, no list of
+    files.  A sheet has all columns that any file has, null where its own file has none.
+    ``sheet_id`` is the text behind ``sheet_id=`` in the path, else the file path;
+    ``row_pos`` counts from 1 within a sheet by (file, record).  ``sheet``: only the files of
+    this sheet are opened.
     """
-    parts = []
-    for header, files in sorted(_layouts(spark, path).items()):
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in _header_names(header)])
-        read = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"')
-                .option("multiLine", multiline).option("recursiveFileLookup", True)
-                .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-                .csv([_decoded(f) for f in files]))
-        parts.append(with_canonical_names(read.select("*", F.col("_metadata.file_path").alias("_file"),
-                                                      F.col("_metadata.file_block_start").alias("_split"))))
-    if not parts:
+    keep = None if sheet is None else _sheet_of(F.col(FILE)) == F.lit(sheet)
+    records, files = read_records(spark, path, keep, multiline)
+    heads = files.groupBy("head").agg(F.min("file").alias("file")).orderBy("head").collect()
+    if not heads:
         raise ValueError(f"no sheets below {path}")
-    raw = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-    data_cols = [c for c in raw.columns if c not in ("_file", "_split", "sheet_id")]
-    # a partition folder escapes its value, and a path as a URI escapes that once more
-    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-    part = F.regexp_extract("_file", r"/sheet_id=([^/]*)/", 1)
-    named = F.when(part == "__HIVE_DEFAULT_PARTITION__", F.lit(None)).when(part != "", plain(plain(part))).otherwise(F.col("_file"))
-    df = raw.select(*[F.col(f"`{c}`") for c in data_cols], "_file", "_split", named.alias("sheet_id"),
-                    F.monotonically_increasing_id().alias("_mono"))
-    splits = df.groupBy("sheet_id", "_file", "_split").agg(
-        F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("sheet_id").orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("sheet_id", "_file", "_split", "_first",
-                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
-    j = df.join(offsets.drop("sheet_id"), ["_file", "_split"])
-    row_pos = (F.col("_offset") + (F.col("_mono") - F.col("_first")) + 1).alias("row_pos")
-    return j.select("sheet_id", row_pos, *[F.col(f"`{c}`") for c in data_cols])
-
-
-def _decoded(uri: str) -> str:
-    """A path as Spark's readers take it, from the URI in the file metadata."""
-    return unquote(uri)
+    layouts = [_header_names(r["head"], r["file"]) for r in heads]
+    columns = list(dict.fromkeys(n for names in layouts for n in names))
+    w = Window.partitionBy("sheet_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    layout = F.array_position(F.array(*[F.lit(r["head"]) for r in heads]), F.col("head")).alias("__lm_layout")
+    # one row a file
+    files = files.select("file", layout, "records", _sheet_of(F.col("file")).alias("sheet_id"))
+    files = materialize(files.select("file", "__lm_layout", "sheet_id", F.coalesce(F.sum(F.col("records") - 1).over(w), F.lit(0)).alias("__lm_off")), "csv-sheets")
+    cells = ", ".join(f"c{i} string" for i in range(max(map(len, layouts))))
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "multiLine": "true"}
+    rows = records.where("rec > 1").join(files, "file").select(
+        "sheet_id", (F.col("__lm_off") + F.col("rec") - 1).alias("row_pos"), "__lm_layout", F.from_csv("text", cells, options).alias("__lm_cells"))
+
+    def cell(name: str) -> Column:
+        places: dict[int, list[int]] = {}
+        for k, names in enumerate(layouts, 1):
+            if name in names:
+                places.setdefault(names.index(name), []).append(k)
+        found = [F.when(F.col("__lm_layout").isin(ks), F.col(f"__lm_cells.c{i}")) for i, ks in places.items()]
+        return F.coalesce(*found).alias(name)
+
+    return rows.select("sheet_id", "row_pos", *[cell(n) for n in columns])
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """One sheet below ``path``, the first when none is named, reading its files only;
+    unknown names raise listing all available ones."""
+    known = materialize(sheet_catalogue(spark, path).select("sheet_id").distinct(), "sheet-names")
+    if sheet is None:
+        sheet = known.agg(F.min("sheet_id")).first()[0]
+    if known.where(F.col("sheet_id") == F.lit(sheet)).isEmpty():
+        names = [str(r[0]) for r in known.orderBy("sheet_id").collect()]
+        raise ValueError(NO_SHEET.format(sheet, ", ".join(names)))
+    return read_sheet_csv(spark, path, sheet=sheet)
 
 
 def select_sheet(sheets: DataFrame, sheet=None, check: bool = True) -> DataFrame:
@@ -128,7 +145,7 @@ def select_sheet(sheets: DataFrame, sheet=None, check: bool = True) -> DataFrame
     out = sheets.where(F.col("sheet_id") == F.lit(sheet))
     if check and out.isEmpty():
         names = [str(r[0]) for r in sheets.select("sheet_id").distinct().orderBy("sheet_id").collect()]
-        raise ValueError(f'Sheet "{sheet}" not found. Available sheets: {", ".join(names)}')
+        raise ValueError(NO_SHEET.format(sheet, ", ".join(names)))
     return out
 
 

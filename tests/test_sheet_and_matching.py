@@ -61,7 +61,7 @@ def test_exact_update_g4(g3, g4_master):
 
 def test_missing_columns_raise(spark, g3):
     bad = spark.createDataFrame([(0, "x")], "row_pos long, supplier string")
-    with pytest.raises(ValueError, match="Universal Database missing columns: default_payment_method, invoice_total"):
+    with pytest.raises(ValueError, match="Universal Database missing columns: Default payment method, Invoice Total"):
         reconcile(bad, g3)
 
 
