@@ -250,14 +250,17 @@ select b.sheet_id, b.batch_no, b.first_n, b.n_vendors, vt.n_unique_vendors, b.ve
 from batches b join vt on b.sheet_id = vt.sheet_id join scsv on b.sheet_id = scsv.sheet_id
   cross join nsup cross join sl cross join mcsv"""
 
+_LEAD = ("Find the supplier of each of the {} vendors below. Take a supplier only if your score for it is at least 85 of 100; "
+         "else answer match_type no_match with supplier null. Write supplier names exactly as they are listed. "
+         "Answer with a JSON array of objects with the keys vendor, supplier, match_type, score and amount.")
 _REQUESTS_WHOLE = f"""
 with {MARKED().strip()},
 num as (select sheet_id, first_pos, vendor, amount,
           row_number() over (partition by sheet_id order by first_pos) as n from blocks),
-lines as (select sheet_id, (n - 1) // {_BATCH} as batch_no, n,
-            format('{{}}. "{{}}" (Amount: {{}})', n, vendor, {NUMTEXT('amount')}) as line from num),
+lines as (select sheet_id, n, format('{{}}. "{{}}" (Amount: {{}})', n, vendor, {NUMTEXT('amount')}) as line from num),
+packed as (select *, (sum(length(line) + 1) over (partition by sheet_id order by n) - length(line) - 1) // 4000 as batch_no from lines),
 batches as (select sheet_id, batch_no, count(*) as n_vendors, min(n) as first_n,
-              string_agg(line, chr(10) order by n) as text from lines group by sheet_id, batch_no),
+              string_agg(line, chr(10) order by n) as text from packed group by sheet_id, batch_no),
 vt as (select sheet_id, count(*) as n_unique_vendors from blocks group by sheet_id),
 names as (select supplier, min(row_pos) as supplier_pos from universal group by supplier),
 context as (
@@ -270,14 +273,12 @@ context as (
     {CSVLINE('vendor', 'invoice_amount')}, 'Vendor,Invoice Amount' || chr(10) from vendor_sheet),
 chunks as (select part, scope, (n - 1) // 100 as chunk_no,
     case when (n - 1) // 100 = 0 then any_value(header) else '' end || string_agg(line, chr(10) order by n) as text
-  from context group by part, scope, (n - 1) // 100),
-counted as (select *, count(*) over (partition by part, scope) as n_chunks from chunks)
-select b.sheet_id, b.batch_no, b.first_n, b.n_vendors, vt.n_unique_vendors, (select count(*) from names) as n_suppliers,
-  p.part, p.chunk_no, p.n_chunks, p.text
-from (select b.sheet_id, b.batch_no, c.part, c.chunk_no, c.n_chunks, c.text
-      from batches b join counted c on c.scope is null or c.scope = b.sheet_id
-      union all select sheet_id, batch_no, 'vendors', 0, 1, text from batches) p
-  join batches b on b.sheet_id = p.sheet_id and b.batch_no = p.batch_no join vt on vt.sheet_id = b.sheet_id"""
+  from context group by part, scope, (n - 1) // 100)
+select 'batch' as kind, b.sheet_id, cast(batch_no as bigint) as batch_no, first_n, n_vendors, n_unique_vendors, (select count(*) from names) as n_suppliers,
+  format('{_LEAD}', n_vendors) || chr(10) || text as text, null as part, cast(null as bigint) as chunk_no, null as chunk_id
+  from batches b join vt on vt.sheet_id = b.sheet_id
+union all select 'context', scope, null, null, null, null, null, null, part, chunk_no, sha256(text) from chunks
+union all select distinct 'chunk', null, null, null, null, null, null, text, null, null, sha256(text) from chunks"""
 
 SQL.update({
     "match_substring_pairs": _w(f"""

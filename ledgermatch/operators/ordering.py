@@ -13,7 +13,7 @@ window over single blocks only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermatch.operators.sheet import DEFAULT_ROWS_PER_BLOCK
@@ -43,17 +43,40 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "idx", group_col
     return out.select(*df.columns, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).alias(name))
 
 
+def with_running_total(df: DataFrame, value: Column, order_cols: list, name: str, group_cols=()) -> DataFrame:
+    """Append ``name`` = the sum of ``value`` over the rows before, in ``order_cols`` order
+    within ``group_cols`` (null counts as 0).  Windows run over single range partitions and
+    over one row per (group, partition), never over a whole group."""
+    g = list(group_cols)
+    keys = [F.col(c) if isinstance(c, str) else c for c in g + list(order_cols)]
+    pid = F.spark_partition_id()
+    placed = df.withColumn("_value", F.coalesce(value, F.lit(0))).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = materialize(placed.select("*", pid.alias("_pid"), F.monotonically_increasing_id().alias("_at")), "running-total")
+    w = Window.partitionBy(*g, "_pid").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    wp = (Window.partitionBy(*g) if g else Window).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*g, "_pid").agg(F.sum("_value").alias("_sum"))
+    sums = sums.select(*g, "_pid", F.coalesce(F.sum("_sum").over(wp), F.lit(0)).alias("_off"))
+    out = placed.withColumn("_own", F.coalesce(F.sum("_value").over(w), F.lit(0))).join(sums, [*g, "_pid"])
+    return out.select(*df.columns, (F.col("_off") + F.col("_own")).alias(name))
+
+
+def sheet_key() -> Column:
+    """A sheet's key that is never null: a null sheet id is a sheet, too."""
+    return F.when(F.col("sheet_id").isNull(), F.lit("n")).otherwise(
+        F.concat(F.lit("s"), F.col("sheet_id").cast("string")))
+
+
 def first_rows_per_sheet(sheet: DataFrame, k: int,
                          rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
     """The first ``k`` rows of every sheet by ``row_pos``, with ``row_idx`` 1..k."""
     blk = F.expr(f"row_pos div {int(rows_per_block)}")
-    b = sheet.withColumn("_blk", blk)
-    counts = b.groupBy("sheet_id", "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy("sheet_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("sheet_id", "_blk", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_before"))
+    b = sheet.withColumn("_blk", blk).withColumn("_key", sheet_key())
+    counts = b.groupBy("_key", "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy("_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_key", "_blk", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_before"))
     head_blocks = before.where(F.col("_before") < k)
-    rows = b.join(head_blocks, ["sheet_id", "_blk"])
-    w = Window.partitionBy("sheet_id", "_blk").orderBy("row_pos")
+    rows = b.join(head_blocks, ["_key", "_blk"])
+    w = Window.partitionBy("_key", "_blk").orderBy("row_pos")
     idx = F.col("_before") + F.row_number().over(w)
     return (rows.select(*sheet.columns, idx.alias("row_idx"))
             .where(F.col("row_idx") <= k))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 
 from ledgermatch.plans.decisions import apply_decisions
 from ledgermatch.plans.reconcile import reconcile
+from ledgermatch.plans.requests import MatchRequests, build_match_requests
+from ledgermatch.sources.sheets import MASTER_COLUMNS, SHEET_COLUMNS, require_columns
 
 DEFAULT_SIMILARITY_THRESHOLD = 85
 METHODS = ("fuzzy", "decisions")
@@ -49,6 +51,15 @@ def coerce_method(value) -> str:
     return m
 
 
+def prepare_requests(master: DataFrame, sheets: DataFrame, similarity_threshold=None, **sizes) -> MatchRequests:
+    """The requests for an external matcher whose answers ``process(method="decisions")``
+    takes; the threshold is part of every request's text."""
+    threshold = coerce_threshold(similarity_threshold)
+    require_columns(master, MASTER_COLUMNS + ["row_pos"], "Universal Database")
+    require_columns(sheets, SHEET_COLUMNS + ["sheet_id", "row_pos"], "Vendor sheet")
+    return build_match_requests(master, sheets, threshold=threshold, **sizes)
+
+
 def process(master: DataFrame, sheets: DataFrame | None = None, method: str = "fuzzy",
             similarity_threshold=None, responses: DataFrame | None = None,
             apply_threshold: bool = False, tiers=("exact", "fuzzy")) -> ProcessResult:

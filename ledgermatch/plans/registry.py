@@ -4,6 +4,8 @@ same names as in the DuckDB oracle SQL."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ledgermatch.functions.amounts import parse_amount
@@ -18,7 +20,8 @@ from ledgermatch.operators import reports as R
 from ledgermatch.operators import sheet as S
 from ledgermatch.plans.decisions import apply_decisions
 from ledgermatch.plans.reconcile import reconcile
-from ledgermatch.plans.requests import MAX_CHARS, MAX_SUPPLIERS, build_bounded_requests, build_match_requests
+from ledgermatch.plans.process import prepare_requests
+from ledgermatch.plans.requests import MAX_CHARS, MAX_SUPPLIERS, build_bounded_requests
 from ledgermatch.plans.screening import screen_text
 from ledgermatch.session import materialize
 from ledgermatch.sources.fixtures import table
@@ -259,7 +262,11 @@ def match_request_batches(spark, sf):
 
 
 def match_request_whole(spark, sf):
-    return build_match_requests(_t(spark, sf, "universal"), _t(spark, sf, "vendor_sheet"))
+    """The three tables of the requests in one: batches, contexts and chunks."""
+    r = prepare_requests(_t(spark, sf, "universal"), _t(spark, sf, "vendor_sheet"), similarity_threshold="85")
+    parts = [r.batches.select(F.lit("batch").alias("kind"), "*"), r.contexts.select(F.lit("context").alias("kind"), "*"),
+             r.chunks.select(F.lit("chunk").alias("kind"), "*")]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).drop("sheet_key")
 
 
 # ---------------------------------------------------------------- screening

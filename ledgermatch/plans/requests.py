@@ -1,12 +1,11 @@
 """Match-request batches (the text handed to an external matcher).
 
-Per sheet, the distinct vendors are numbered in first-appearance order and cut into
-batches of ``batch_size``, each with its numbered vendor lines ``i. "vendor" (Amount: x)``.
-The context of a batch is the numbered list of the distinct supplier names, the master and
-the batch's sheet rendered as CSV.
-
-``build_match_requests`` sends all of it: a batch is one row per chunk of its texts, the
-chunks of ``chunk_lines`` lines, numbered, so that no cell grows with the tables.
+``build_match_requests`` sends everything: per sheet, the distinct vendors are numbered in
+first-appearance order and packed by size into batches.  The context of a batch (the
+numbered list of the distinct supplier names, the master and the batch's sheet rendered as
+CSV) is cut into chunks of ``chunk_lines`` lines that are stored once under the hash of their
+text; a table tells which chunks belong to the master and to each sheet.  So the output
+grows with the inputs, not with batches x master, and no cell grows with the tables.
 
 ``build_bounded_requests`` sends one row per batch with a head of the context: the first
 ``max_suppliers`` names (with an overflow note), and the first ``max_chars`` characters of
@@ -16,12 +15,14 @@ first rows are ever collected.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermatch.functions.render import csv_cell, display_number
 from ledgermatch.operators.decisions import first_row_by_name
-from ledgermatch.operators.ordering import first_rows_per_sheet, with_row_index
+from ledgermatch.operators.ordering import first_rows_per_sheet, sheet_key, with_row_index, with_running_total
 from ledgermatch.operators.sheet import DEFAULT_ROWS_PER_BLOCK, mark_rows, vendor_blocks
 from ledgermatch.session import materialize
 from ledgermatch.sources.sheets import COLUMN_TO_HEADER
@@ -31,8 +32,18 @@ MAX_CHARS = 5000
 MAX_SUPPLIERS = 100
 TRUNCATION_MARKER = "\n... (truncated for display)"
 OVERFLOW_NOTE = "... and {n} more suppliers"
+VENDOR_LINE = '%d. "%s" (Amount: %s)'
+SUPPLIER_LINE = '%d. "%s"'
 # ---------------------------------------------------------------------------------
 
+#: Characters of vendor lines in a batch.
+BATCH_CHARS = 4000
+PARTS = ("suppliers", "master", "sheet", "vendors")
+REQUEST_LEAD = (
+    "Find the supplier of each of the %d vendors below. Take a supplier only if your score for it is at least %s of 100; "
+    "else answer match_type no_match with supplier null. Write supplier names exactly as they are listed. "
+    "Answer with a JSON array of objects with the keys vendor, supplier, match_type, score and amount.")
+
 
 def _csv_text(rows: DataFrame, cols: list, order_col: str, group_cols=(), max_chars: int = MAX_CHARS):
     """Header + lines (``\\n``-joined) cut to ``max_chars`` + marker; computed from the
@@ -45,12 +56,6 @@ def _csv_text(rows: DataFrame, cols: list, order_col: str, group_cols=(), max_ch
     return full_len, line, header
 
 
-def _sheet_key() -> Column:
-    """A sheet's key that is never null: a null sheet id is a sheet, too."""
-    return F.when(F.col("sheet_id").isNull(), F.lit("n")).otherwise(
-        F.concat(F.lit("s"), F.col("sheet_id").cast("string")))
-
-
 def _chunks(lines: DataFrame, part: str, chunk_lines: int, header: str | None = None) -> DataFrame:
     """``lines`` (scope, n from 1, line) as numbered chunks: part, scope, chunk_no, text."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
@@ -64,71 +69,91 @@ def _csv_lines(cols: list) -> tuple[Column, str]:
     return F.concat_ws(",", *[csv_cell(c) for c in cols]), ",".join(COLUMN_TO_HEADER.get(c, c) for c in cols)
 
 
-def build_match_requests(master: DataFrame, sheets: DataFrame, batch_size: int = 50, chunk_lines: int = 100,
-                         rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
-    """One row per batch and chunk: the batch's columns, ``part`` (vendors, suppliers, master
-    or sheet), ``chunk_no`` from 0, ``n_chunks`` of the part, and ``text``.  The chunks of a
-    part joined by line feeds are the whole text."""
-    blocks = vendor_blocks(mark_rows(sheets, rows_per_block)).withColumn("sheet_key", _sheet_key())
+@dataclass
+class MatchRequests:
+    """Requests as three tables whose sizes add up to those of the inputs.
+
+    batches   sheet_id, batch_no, first_n, n_vendors, n_unique_vendors, n_suppliers, text:
+              the instruction with the threshold and the batch's numbered vendor lines
+    contexts  part (suppliers, master or sheet), sheet_id (null for the master's parts),
+              sheet_key, chunk_no from 0, chunk_id: what a batch's request holds beside
+    chunks    chunk_id (SHA-256 of the text), text: each text once
+    """
+
+    batches: DataFrame
+    contexts: DataFrame
+    chunks: DataFrame
+
+
+def build_match_requests(master: DataFrame, sheets: DataFrame, batch_chars: int = BATCH_CHARS, chunk_lines: int = 100,
+                         threshold: float = 85, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> MatchRequests:
+    """A sheet's distinct vendors in first-appearance order, packed into batches by the
+    size of their lines: a batch takes the lines that begin within its ``batch_chars``
+    characters of the sheet's list.  (A line longer than that leaves a number unused.)
+    ``rebuild_request`` puts one batch's whole request together."""
+    blocks = vendor_blocks(mark_rows(sheets, rows_per_block)).withColumn("sheet_key", sheet_key())
     numbered = with_row_index(blocks.select("sheet_id", "sheet_key", "first_pos", "vendor", "amount"),
                               ["first_pos"], "n", group_cols=["sheet_key"])
-    line = F.format_string('%d. "%s" (Amount: %s)', F.col("n"), F.col("vendor"), display_number("amount"))
-    batches = (numbered.select("sheet_id", "sheet_key", F.expr(f"(n - 1) div {int(batch_size)}").alias("batch_no"),
-                               "n", line.alias("line"))
-               .groupBy("sheet_id", "sheet_key", "batch_no")
-               .agg(F.count(F.lit(1)).alias("n_vendors"), F.min("n").alias("first_n"),
-                    F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))),
-                                             lambda x: x["line"]), "\n").alias("text")))
-    totals = numbered.groupBy("sheet_key").agg(F.max("n").alias("n_unique_vendors"))
-    batches = materialize(batches.join(totals, "sheet_key"), "request-batches")
+    line = F.format_string(VENDOR_LINE, F.col("n"), F.col("vendor"), display_number("amount"))
+    lines = with_running_total(numbered.select("sheet_id", "sheet_key", "n", line.alias("line")), F.length("line") + 1,
+                               ["n"], "before", ["sheet_key"])
+    lines = materialize(lines, "request-lines")
+    totals = lines.groupBy("sheet_key").agg(F.max("n").alias("n_unique_vendors"))
 
     names = with_row_index(first_row_by_name(master).select("supplier", "supplier_pos"), ["supplier_pos"], "n")
     names = names.select(F.lit("").alias("scope"), "n", F.format_string(
-        '%d. "%s"', F.col("n"), F.coalesce("supplier", F.lit("null"))).alias("line"))
+        SUPPLIER_LINE, F.col("n"), F.coalesce("supplier", F.lit("null"))).alias("line"))
     m_line, m_header = _csv_lines([c for c in master.columns if c != "row_pos"])
     m_lines = with_row_index(master.select("row_pos", m_line.alias("line")), ["row_pos"], "n").select(
         F.lit("").alias("scope"), "n", "line")
     s_line, s_header = _csv_lines([c for c in sheets.columns if c not in ("row_pos", "sheet_id")])
-    s_lines = with_row_index(sheets.select(_sheet_key().alias("scope"), "row_pos", s_line.alias("line")),
+    s_lines = with_row_index(sheets.select(sheet_key().alias("scope"), "row_pos", s_line.alias("line")),
                              ["row_pos"], "n", group_cols=["scope"])
-    chunks = materialize(
+    texts = materialize(
         _chunks(names, "suppliers", chunk_lines).unionByName(_chunks(m_lines, "master", chunk_lines, m_header))
-        .unionByName(_chunks(s_lines, "sheet", chunk_lines, s_header)), "request-chunks")
+        .unionByName(_chunks(s_lines, "sheet", chunk_lines, s_header)).withColumn("chunk_id", F.sha2("text", 256)), "request-chunks")
+    ids = totals.join(lines.groupBy("sheet_key").agg(F.max("sheet_id").alias("sheet_id")), "sheet_key").select(
+        F.col("sheet_key").alias("scope"), "sheet_id")
+    contexts = texts.drop("text").join(ids, "scope", "left").select(
+        "part", "sheet_id", F.when(F.col("scope") != "", F.col("scope")).alias("sheet_key"), "chunk_no", "chunk_id")
 
-    # every batch names the chunks it needs: those of the master's parts and of its own sheet
-    n_of = {r["part"]: r["n"] for r in chunks.where("scope = ''").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_suppliers = names.count()
-    slim = batches.drop("text")
-    own = slim.join(chunks.where("part = 'sheet'").groupBy(F.col("scope").alias("sheet_key")).agg(
-        F.count(F.lit(1)).alias("n_chunks")), "sheet_key").select("*", F.lit("sheet").alias("part"), F.col("sheet_key").alias("scope"))
-    shared = [slim.select("*", F.lit(n).cast("bigint").alias("n_chunks"), F.lit(part).alias("part"), F.lit("").alias("scope"))
-              for part, n in sorted(n_of.items())]
-    needed = own
-    for s in shared:
-        needed = needed.unionByName(s)
-    needed = needed.withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1)))
-    cols = ["sheet_id", "batch_no", "first_n", "n_vendors", "n_unique_vendors", "part", "chunk_no", "n_chunks", "text"]
-    vendors = batches.select("*", F.lit("vendors").alias("part"), F.lit(0).cast("bigint").alias("chunk_no"),
-                             F.lit(1).cast("bigint").alias("n_chunks")).select(*cols)
-    return needed.join(chunks, ["part", "scope", "chunk_no"]).select(*cols).unionByName(vendors).select(
-        *cols[:5], F.lit(n_suppliers).cast("bigint").alias("n_suppliers"), *cols[5:])
+    batches = lines.groupBy("sheet_id", "sheet_key", F.expr(f"before div {int(batch_chars)}").alias("batch_no")).agg(
+        F.count(F.lit(1)).alias("n_vendors"), F.min("n").alias("first_n"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    lead = F.format_string(REQUEST_LEAD, F.col("n_vendors"), F.lit(f"{threshold:g}"))
+    batches = batches.join(totals, "sheet_key").select(
+        "sheet_id", "sheet_key", "batch_no", "first_n", "n_vendors", "n_unique_vendors",
+        F.lit(n_suppliers).cast("bigint").alias("n_suppliers"), F.concat(lead, F.lit("\n"), "lines").alias("text"))
+    return MatchRequests(batches, contexts, texts.select("chunk_id", "text").dropDuplicates(["chunk_id"]))
+
+
+def rebuild_request(requests: MatchRequests, sheet_id, batch_no: int) -> DataFrame:
+    """(place, part, text): the pieces of one batch's request in order; joined by line feeds
+    they are its whole text: suppliers, master, sheet, then the vendors asked for."""
+    order = F.array_position(F.array(*[F.lit(p) for p in PARTS]), F.col("part"))
+    same = F.col("sheet_id").eqNullSafe(F.lit(sheet_id))
+    held = requests.contexts.where(F.col("sheet_key").isNull() | same).join(requests.chunks, "chunk_id")
+    own = requests.batches.where(same & (F.col("batch_no") == batch_no)).select(F.lit("vendors").alias("part"), F.lit(0).cast("bigint").alias("chunk_no"), "text")
+    return held.select("part", "chunk_no", "text").unionByName(own).select(
+        F.struct(order.alias("part"), "chunk_no").alias("place"), "part", "text").orderBy("place")
 
 
 def build_bounded_requests(master: DataFrame, sheets: DataFrame, max_chars: int, max_suppliers: int,
                            batch_size: int = 50, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
     """One row per batch, its context cut to ``max_suppliers`` and ``max_chars``."""
-    blocks = vendor_blocks(mark_rows(sheets, rows_per_block))
-    numbered = with_row_index(blocks.select("sheet_id", "first_pos", "vendor", "amount"),
-                              ["first_pos"], "n", group_cols=["sheet_id"])
-    line = F.format_string('%d. "%s" (Amount: %s)', F.col("n"), F.col("vendor"), display_number("amount"))
-    batches = (numbered.select("sheet_id", ((F.col("n") - 1) / F.lit(batch_size)).cast("long").alias("batch_no"),
+    blocks = vendor_blocks(mark_rows(sheets, rows_per_block)).withColumn("sheet_key", sheet_key())
+    numbered = with_row_index(blocks.select("sheet_id", "sheet_key", "first_pos", "vendor", "amount"),
+                              ["first_pos"], "n", group_cols=["sheet_key"])
+    line = F.format_string(VENDOR_LINE, F.col("n"), F.col("vendor"), display_number("amount"))
+    batches = (numbered.select("sheet_id", "sheet_key", ((F.col("n") - 1) / F.lit(batch_size)).cast("long").alias("batch_no"),
                                "n", line.alias("line"))
-               .groupBy("sheet_id", "batch_no")
+               .groupBy("sheet_id", "sheet_key", "batch_no")
                .agg(F.count(F.lit(1)).alias("n_vendors"), F.min("n").alias("first_n"),
                     F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))),
                                              lambda x: x["line"]), "\n").alias("vendor_lines")))
     # numbers are dense 1..n per sheet, so the largest is the vendor count (no second scan)
-    vendor_totals = numbered.groupBy("sheet_id").agg(F.max("n").alias("n_unique_vendors"))
+    vendor_totals = numbered.groupBy("sheet_key").agg(F.max("n").alias("n_unique_vendors"))
 
     # supplier list: distinct raw names in first-appearance order (top-k is the feature)
     names = first_row_by_name(master)
@@ -136,7 +161,7 @@ def build_bounded_requests(master: DataFrame, sheets: DataFrame, max_chars: int,
     top = names.orderBy("supplier_pos").limit(max_suppliers)
     sup_lines = top.select(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("supplier_pos", F.coalesce("supplier", F.lit("null")).alias("s")))),
-        lambda x, i: F.format_string('%d. "%s"', i + 1, x["s"])), "\n").alias("t")).scalar()
+        lambda x, i: F.format_string(SUPPLIER_LINE, i + 1, x["s"])), "\n").alias("t")).scalar()
     overflow = F.when(n_sup > max_suppliers, F.concat(
         F.lit(OVERFLOW_NOTE.split("{n}")[0]), (n_sup - max_suppliers).cast("string"),
         F.lit(OVERFLOW_NOTE.split("{n}")[1]))).otherwise(F.lit(""))
@@ -154,17 +179,18 @@ def build_bounded_requests(master: DataFrame, sheets: DataFrame, max_chars: int,
 
     # sheet CSV heads (per sheet)
     scols = [c for c in sheets.columns if c not in ("row_pos", "sheet_id")]
-    s_full, s_line, s_header = _csv_text(sheets, scols, "row_pos", ["sheet_id"])
-    s_head = (first_rows_per_sheet(sheets, max_chars, rows_per_block)
-              .groupBy("sheet_id").agg(F.concat(F.lit(s_header + "\n"), F.array_join(F.transform(
+    keyed = sheets.withColumn("sheet_key", sheet_key())
+    s_full, s_line, s_header = _csv_text(keyed, scols, "row_pos", ["sheet_key"])
+    s_head = (first_rows_per_sheet(keyed, max_chars, rows_per_block)
+              .groupBy("sheet_key").agg(F.concat(F.lit(s_header + "\n"), F.array_join(F.transform(
                   F.array_sort(F.collect_list(F.struct("row_pos", s_line.alias("l")))), lambda x: x["l"]), "\n"))
                   .alias("_head")))
-    sheet_csv = s_head.join(s_full, "sheet_id").select(
-        "sheet_id", F.when(F.col("_full_len") > max_chars, F.concat(
+    sheet_csv = s_head.join(s_full, "sheet_key").select(
+        "sheet_key", F.when(F.col("_full_len") > max_chars, F.concat(
             F.substring("_head", 1, max_chars), F.lit(TRUNCATION_MARKER))).otherwise(F.col("_head"))
         .alias("sheet_csv"))
 
-    return (batches.join(vendor_totals, "sheet_id").join(sheet_csv, "sheet_id")
+    return (batches.join(vendor_totals, "sheet_key").join(sheet_csv, "sheet_key")
             .select("sheet_id", "batch_no", "first_n", "n_vendors", "n_unique_vendors", "vendor_lines",
                     n_sup.alias("n_suppliers"), sup_lines.alias("supplier_lines"),
                     overflow.alias("supplier_overflow"),

@@ -122,25 +122,62 @@ def test_master_csv_has_its_headers_and_order(spark, tmp_path):
     assert [int(x.split(",")[0]) for x in lines if not x.startswith("Supplier")] == list(range(1, 51))
 
 
-def test_match_requests_carry_everything(spark):
-    from ledgermatch.plans.requests import build_match_requests
-
+def request_tables(spark):
     master = spark.createDataFrame([(i, f"Firm {i}", "cash", "1.00") for i in range(1, 251)],
                                    "row_pos bigint, supplier string, default_payment_method string, invoice_total string")
     sheet = [(s, i, f"vendor {i:03}", "5.00") for s in (1, None) for i in range(1, 301)]
-    sheets = spark.createDataFrame(sheet, "sheet_id bigint, row_pos bigint, vendor string, invoice_amount string")
-    texts, sizes = {}, {}
-    for r in build_match_requests(master, sheets).collect():
-        key = (r["sheet_id"], r["batch_no"], r["part"])
-        texts.setdefault(key, {})[r["chunk_no"]] = r["text"]
-        sizes[key] = r["n_chunks"]
-        assert (r["n_suppliers"], r["n_unique_vendors"], r["n_vendors"]) == (250, 300, 50)
-    assert {k[:2] for k in texts} == {(s, b) for s in (1, None) for b in range(6)}
-    for (s, b, part), chunks in texts.items():
-        assert sorted(chunks) == list(range(sizes[s, b, part]))
-        lines = "\n".join(chunks[i] for i in sorted(chunks)).split("\n")
-        assert lines == {
-            "suppliers": [f'{i}. "Firm {i}"' for i in range(1, 251)],
-            "master": ["Supplier,Default payment method,Invoice Total"] + [f"Firm {i},cash,1.00" for i in range(1, 251)],
-            "sheet": ["Vendor,Invoice Amount"] + [f"vendor {i:03},5.00" for i in range(1, 301)],
-            "vendors": [f'{n}. "vendor {n:03}" (Amount: 0)' for n in range(50 * b + 1, 50 * b + 51)]}[part]
+    return master, spark.createDataFrame(sheet, "sheet_id bigint, row_pos bigint, vendor string, invoice_amount string")
+
+
+def test_match_requests_carry_everything(spark):
+    from ledgermatch.plans.requests import rebuild_request
+
+    r = PR.prepare_requests(*request_tables(spark), similarity_threshold="72.5", batch_chars=1000)
+    line = len('100. "vendor 100" (Amount: 0)') + 1
+    batches = {(b.sheet_id, b.batch_no): b for b in r.batches.collect()}
+    for s in (1, None):
+        mine = [b for (k, _), b in sorted(batches.items(), key=lambda x: x[0][1]) if k == s]
+        assert sum(b.n_vendors for b in mine) == 300 and [b.n_vendors for b in mine] == [len(b.text.split("\n")) - 1 for b in mine]
+        assert all(b.n_vendors * (line - 2) <= 1000 + line and (b.n_suppliers, b.n_unique_vendors) == (250, 300) for b in mine)
+        asked = [x for b in mine for x in b.text.split("\n")[1:]]
+        assert asked == [f'{n}. "vendor {n:03}" (Amount: 0)' for n in range(1, 301)]
+    assert all("at least 72.5 of 100" in b.text and f"the {b.n_vendors} vendors" in b.text for b in batches.values())
+    # the two sheets hold the same: their chunks are stored once; nothing grows with the batches
+    assert r.contexts.count() == 3 + 3 + 2 * 3 and r.chunks.count() == 3 + 3 + 3
+    for s in (1, None):
+        pieces = rebuild_request(r, s, 2).collect()
+        whole = "\n".join(p.text for p in pieces)
+        assert whole == "\n".join(
+            [f'{i}. "Firm {i}"' for i in range(1, 251)]
+            + ["Supplier,Default payment method,Invoice Total"] + [f"Firm {i},cash,1.00" for i in range(1, 251)]
+            + ["Vendor,Invoice Amount"] + [f"vendor {i:03},5.00" for i in range(1, 301)] + [batches[s, 2].text])
+    with pytest.raises(ValueError):
+        PR.prepare_requests(*request_tables(spark), similarity_threshold=101)
+
+
+def test_bounded_requests_and_heads_of_a_null_sheet(spark):
+    from ledgermatch.operators.ordering import first_rows_per_sheet
+    from ledgermatch.plans.requests import build_bounded_requests
+
+    master, sheets = request_tables(spark)
+    got = build_bounded_requests(master, sheets, 100, 3, rows_per_block=64).collect()
+    assert sorted(((r.sheet_id or 0, r.batch_no) for r in got)) == [(s, b) for s in (0, 1) for b in range(6)]
+    assert {(r.sheet_csv[:30], r.supplier_overflow) for r in got} == {("Vendor,Invoice Amount\nvendor 0", "... and 247 more suppliers")}
+    heads = first_rows_per_sheet(sheets, 2, 1).collect()
+    assert sorted((r.sheet_id or 0, r.row_pos, r.row_idx) for r in heads) == [(s, k, k) for s in (0, 1) for k in (1, 2)]
+
+
+def test_running_totals_over_partitions(spark):
+    from ledgermatch.operators.ordering import with_running_total
+    from pyspark.sql import functions as F
+
+    rows = [(g, i, i % 7 if i % 5 else None) for g in ("a", "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, i int, x int").repartition(6)
+    for groups in (["g"], []):
+        got = with_running_total(df, F.col("x"), ["i"] if groups else ["g", "i"], "t", groups).collect()
+        total, last = 0, None
+        for r in sorted(got, key=lambda r: (r.g, r.i)):
+            total = 0 if groups and r.g != last else total
+            assert r.t == total
+            total, last = total + (r.x or 0), r.g
+        assert len(got) == 400
