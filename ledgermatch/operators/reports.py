@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermatch.functions.amounts import exact_sum
+from ledgermatch.functions.amounts import grouped_sum
 from ledgermatch.operators.ordering import with_row_index
 
 
@@ -24,10 +24,9 @@ def ranked_report(report: DataFrame) -> DataFrame:
 
 def match_counts(report: DataFrame) -> DataFrame:
     """Rows per match type, with the number of distinct vendor norms."""
-    return report.groupBy("match_type").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.countDistinct("vendor_norm").alias("n_vendors"),
-        exact_sum("amount_added").alias("amount"))
+    vendors = report.groupBy("match_type").agg(F.countDistinct("vendor_norm").alias("n_vendors"))
+    sums = grouped_sum(report, ["match_type"], "amount_added", "amount", {"n_rows": (F.count(F.lit(1)), F.sum)})
+    return sums.join(vendors, "match_type").select("match_type", "n_rows", "n_vendors", "amount")
 
 
 def unmatched_vendors(report: DataFrame) -> DataFrame:

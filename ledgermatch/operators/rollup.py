@@ -11,15 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermatch.functions.amounts import exact_sum, null_preserving_total, parse_amount
+from ledgermatch.functions.amounts import grouped_sum, null_preserving_total, parse_amount
 
 
 def supplier_totals(report: DataFrame) -> DataFrame:
     """A3: total accepted amount per master row (``supplier_pos``)."""
     accepted = report.where((F.col("match_type") != "no_match") & F.col("supplier_pos").isNotNull())
-    return accepted.groupBy("supplier_pos").agg(
-        exact_sum(F.coalesce(F.col("amount_added"), F.lit(0.0))).alias("added"),
-        F.count(F.lit(1)).alias("n_matches"))
+    return grouped_sum(accepted, ["supplier_pos"], F.coalesce(F.col("amount_added"), F.lit(0.0)), "added",
+                       {"n_matches": (F.count(F.lit(1)), F.sum)})
 
 
 def update_master(master: DataFrame, totals: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermatch.functions.amounts import exact_difference, exact_sum, has_amount, parse_amount
+from ledgermatch.functions.amounts import exact_difference, grouped_sum, has_amount, parse_amount
 from ledgermatch.functions.text import is_blank, js_trim, normalize_name
 
 DEFAULT_ROWS_PER_BLOCK = 1 << 20
@@ -119,11 +119,9 @@ def vendor_blocks(marked: DataFrame) -> DataFrame:
     hot task.
     """
     named = marked.where(F.col("vendor_norm").isNotNull())
-    agg = named.groupBy("sheet_id", "vendor_norm").agg(
-        F.min("row_pos").alias("first_pos"),
-        F.max(F.struct("row_pos", "vendor_display", "subtotal_after")).alias("last"),
-        exact_sum(F.coalesce(F.col("amount"), F.lit(0.0))).alias("detail_total"),
-    )
+    agg = grouped_sum(named, ["sheet_id", "vendor_norm"], F.coalesce(F.col("amount"), F.lit(0.0)), "detail_total", {
+        "first_pos": (F.min("row_pos"), F.min),
+        "last": (F.max(F.struct("row_pos", "vendor_display", "subtotal_after")), F.max)})
     return agg.select(
         "sheet_id", "vendor_norm", F.col("last.vendor_display").alias("vendor"), "first_pos",
         F.col("last.row_pos").alias("last_pos"), F.col("last.subtotal_after").alias("amount"),
