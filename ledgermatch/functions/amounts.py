@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermatch.functions.text import JS_SPACE_CLASS, _col, is_blank
@@ -122,6 +122,18 @@ def _sum_of_bins(bins: Column) -> Column:
     return F.get(F.transform(F.array(_carried(bins)), use), 0)
 
 
+_MERGED: dict = {}
+
+
+def _merged_bins() -> Column:
+    """``_sum_of_bins`` of the column ``__lm_bins``; a large expression, built once a session."""
+    spark = SparkSession.getActiveSession()
+    if spark not in _MERGED:
+        _MERGED.clear()
+        _MERGED[spark] = _sum_of_bins(F.col("__lm_bins"))
+    return _MERGED[spark]
+
+
 def grouped_sum(df: DataFrame, keys: list, amount, name: str, others: dict | None = None, decimal: bool = True) -> DataFrame:
     """``df`` grouped by ``keys`` with ``name``, the sum of its amounts as DOUBLE (null if it
     has none), the same for any order and partitioning of the rows.
@@ -150,7 +162,7 @@ def grouped_sum(df: DataFrame, keys: list, amount, name: str, others: dict | Non
         # at most one row a bin
         F.collect_list(F.when(odd, F.struct(F.col("__lm_bin").alias("bin"), s.alias("s")))).alias("__lm_bins"),
         *(merge(F.col(n)).alias(n) for n, (_, merge) in others.items()))
-    rest = F.when(F.size("__lm_bins") > 0, _sum_of_bins(F.col("__lm_bins")))
+    rest = F.when(F.size("__lm_bins") > 0, _merged_bins())
     total = reduce(lambda x, y: F.coalesce(x + y, x, y), [rest, F.col("__lm_d"), F.col("__lm_plain")])
     return merged.select(*keys, *others, total.alias(name))
 

@@ -137,42 +137,43 @@ def _tile(bound: Callable, run: int, first: int | None, vendors: pa.Table, suppl
                      "supplier_norm": pa.array(b, pa.string()).take(pa.array(cols[j]))})
 
 
-def _blocks(df: DataFrame, name: str, size: int, *more: str) -> DataFrame:
-    """Names packed into one row a block; blocks hold near ``size`` names."""
-    n = max(1, -(-df.count() // size))
+def _blocks(df: DataFrame, name: str, n: int, *more: str) -> DataFrame:
+    """Names packed into ``n`` blocks, a row each."""
     packed = df.groupBy(F.pmod(F.xxhash64(name), F.lit(n)).cast("int").alias("blk")).agg(
         F.array_sort(F.collect_list(F.struct(name, *more))).alias("rows"))
-    return packed.select("blk", F.col(f"rows.{name}").alias("names"), *(F.col(f"rows.{c}").alias(c) for c in more))
-
-
-def _tiles(vendors: DataFrame, suppliers: DataFrame, bound: Callable, run: int, first: int | None) -> DataFrame:
-    """Every block of vendors meets every block of suppliers once, by the tile's number."""
-    more = [] if first else ["least"]
-    v = materialize(_blocks(vendors, "vendor_norm", VENDORS, *more), "vendor-blocks-packed")
-    s = materialize(_blocks(suppliers, "supplier_norm", SUPPLIERS), "supplier-blocks-packed")
-    side = s.agg(F.coalesce(F.max("blk"), F.lit(0))).first()[0]
-    across = v.agg(F.coalesce(F.max("blk"), F.lit(0))).first()[0]
-    v = v.select("names", *more, F.col("blk").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(side))).alias("s"))
-    s = s.select("names", F.explode(F.sequence(F.lit(0), F.lit(across))).alias("v"), F.col("blk").alias("s"))
-
-    def pairs(vt: pa.Table, st: pa.Table) -> pa.Table:
-        if not vt.num_rows or not st.num_rows:
-            return pa.table({"vendor_norm": pa.array([], pa.string()), "supplier_norm": pa.array([], pa.string())})
-        return _tile(bound, run, first, vt, st)
-
-    return v.groupBy("v", "s").cogroup(s.groupBy("v", "s")).applyInArrow(pairs, PAIRS)
+    packed = packed.select("blk", F.col(f"rows.{name}").alias("names"), *(F.col(f"rows.{c}").alias(c) for c in more))
+    return materialize(packed, f"blocks-{name}")
 
 
 def pairs_to_score(vendors: DataFrame, suppliers: DataFrame, bound: Callable, run: int = 3, least: int | None = None,
-                   score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                   score: Callable[[DataFrame], DataFrame] | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """The (vendor_norm, supplier_norm) among which every vendor's best partner is: those
     whose bound reaches ``least``, or, without it, the vendor's best of a first round that
-    ``score`` (pairs -> vendor_norm, score) takes.  Names must be distinct and not null."""
+    ``score`` (pairs -> vendor_norm, score) takes.  Names must be distinct and not null;
+    ``sizes``: their numbers, if known."""
     ship_code(vendors.sparkSession)
     v, s = vendors.select("vendor_norm"), suppliers.select("supplier_norm")
+    n_v, n_s = sizes or (v.count(), s.count())
+    across, side = max(1, -(-n_v // VENDORS)), max(1, -(-n_s // SUPPLIERS))
+    packed = _blocks(s, "supplier_norm", side)
+
+    def tiles(v: DataFrame, first: int | None) -> DataFrame:
+        """Every block of vendors meets every block of suppliers once, by the tile's number."""
+        more = [] if first else ["least"]
+        left = _blocks(v, "vendor_norm", across, *more).select(
+            "names", *more, F.col("blk").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("s"))
+        right = packed.select("names", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("v"), F.col("blk").alias("s"))
+
+        def pairs(vt: pa.Table, st: pa.Table) -> pa.Table:
+            if not vt.num_rows or not st.num_rows:
+                return pa.table({"vendor_norm": pa.array([], pa.string()), "supplier_norm": pa.array([], pa.string())})
+            return _tile(bound, run, first, vt, st)
+
+        made = left.groupBy("v", "s").cogroup(right.groupBy("v", "s")).applyInArrow(pairs, PAIRS)
+        return materialize(made, "first-pairs" if first else "bounded-pairs")
+
     if least is not None:
-        return materialize(_tiles(v.withColumn("least", F.lit(least)), s, bound, run, None), "bounded-pairs")
-    firsts = materialize(_tiles(v, s, bound, run, FIRST), "first-pairs")
-    best = score(firsts).groupBy("vendor_norm").agg(F.max("score").alias("least"))
+        return tiles(v.withColumn("least", F.lit(least)), None)
+    best = score(tiles(v, FIRST)).groupBy("vendor_norm").agg(F.max("score").alias("least"))
     # vendors without a first pair share a run with no supplier
-    return materialize(_tiles(v.join(best, "vendor_norm"), s, bound, run, None), "bounded-pairs")
+    return tiles(v.join(best, "vendor_norm"), None)

@@ -128,22 +128,21 @@ def match_fuzzy(keys: DataFrame, suppliers: DataFrame, min_score: int | None = N
                          "supplier_pos", "supplier")
     bound = getattr(scorer, "bound", None)
     if scorer is similarity and min_shared_run == 3:
-        few = v.count() * s.count() <= PAIRS_BY_BOUNDS
+        sizes = v.count(), s.count()
+        few = sizes[0] * sizes[1] <= PAIRS_BY_BOUNDS
         if min_score is None:
-            done, rest = _settled(v, s, steps if steps is not None else () if few else PARITY_STEPS)
-            return reduce(DataFrame.unionByName, [*done, _best(_bounded(rest, s, bound, min_shared_run, lambda p: _score_full(p, v, s)), "fuzzy")])
+            steps = steps if steps is not None else () if few else PARITY_STEPS
+            done, rest = _settled(v, s, steps)
+            pairs = bounded.pairs_to_score(rest, s, bound, 3, None, lambda p: _score_full(p, v, s), None if steps else sizes)
+            return reduce(DataFrame.unionByName, [*done, _best(_score_full(pairs, v, s), "fuzzy")])
         if min_score >= blocking.SEGMENT_MIN_SCORE and not few:
             return _best(_score_banded(blocking.threshold_candidates(v, s, min_score), v, s, min_score), "fuzzy")
-        pairs = bounded.pairs_to_score(v, s, bound, min_shared_run, min_score)
+        pairs = bounded.pairs_to_score(v, s, bound, 3, min_score, None, sizes)
         return _best(_score_full(pairs, v, s).where(F.col("score") >= min_score), "fuzzy")
     if bound is None:
         return _best(_score(blocking.ngram_candidates(v, s, min_shared_run), s, scorer, min_score, min_shared_run), "fuzzy")
-    return _best(_bounded(v, s, bound, min_shared_run, lambda p: _score(p, s, scorer, min_score, min_shared_run), min_score), "fuzzy")
-
-
-def _bounded(v: DataFrame, s: DataFrame, bound, min_shared_run: int, score, min_score: int | None = None) -> DataFrame:
-    """Scored pairs among which every vendor's best is, by the scorer's declared bound."""
-    return score(bounded.pairs_to_score(v, s, bound, min_shared_run, min_score, score))
+    score = lambda p: _score(p, s, scorer, min_score, min_shared_run)
+    return _best(score(bounded.pairs_to_score(v, s, bound, min_shared_run, min_score, score)), "fuzzy")
 
 
 def _settled(v: DataFrame, s: DataFrame, steps, match_type: str = "fuzzy", holds=None) -> tuple[list[DataFrame], DataFrame]:
