@@ -280,7 +280,22 @@ select 'batch' as kind, b.sheet_id, cast(batch_no as bigint) as batch_no, first_
 union all select 'context', scope, null, null, null, null, null, null, part, chunk_no, sha256(text) from chunks
 union all select distinct 'chunk', null, null, null, null, null, null, text, null, null, sha256(text) from chunks"""
 
+_NOTED = UPDATED().replace("select u.row_pos, u.supplier, u.default_payment_method,", "select u.row_pos, u.supplier, u.notes, u.default_payment_method,").replace(
+    "from universal u", "from noted_master u")
+
 SQL.update({
+    "flag_keyword_table": _w("""
+select doc_id, coalesce(string_agg(keyword, '|' order by place), '') as flagged_text, cast(count(keyword) as integer) as n_flagged
+from documents left join keyword_table on contains(lower(text), keyword) group by doc_id""", "keyword_table"),
+
+    "master_round_trip": _w(f"""
+with {_cte(MARKED(), SUPPLIERS, KEYS, EXACT, REPORT("select * from exact"), TOTALS)},
+updated as ({_NOTED})
+select f.format, 'row_pos,supplier,invoice_total,Notes, internal,default_payment_method' as columns,
+  case when f.format = 'csv' then row_number() over (partition by f.format order by row_pos) else row_pos end as row_pos,
+  supplier, invoice_total, notes, default_payment_method
+from updated, (values ('csv'), ('parquet')) f(format)""", *_SHEET, "noted_master"),
+
     "match_substring_pairs": _w(f"""
 with {_RES}
 select r.vendor_norm, s.supplier_norm from resid r join sup s

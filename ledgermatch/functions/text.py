@@ -143,6 +143,21 @@ def ngrams(norm, n: int = 3) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def runs_of(text, lengths: list[int]) -> Column:
+    """Distinct runs of the given lengths in a text of any length, in one pass over its
+    characters (``ngrams`` looks up each run from the start of the text, which suits names)."""
+    def of(chars: Column) -> Column:
+        def runs(n: int) -> Column:
+            last = F.size(chars) - n
+            run = lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])
+            return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), run)).otherwise(
+                F.array().cast("array<string>"))
+
+        return F.array_distinct(F.concat(*[runs(n) for n in lengths]))
+
+    return F.when(_col(text) == "", F.array().cast("array<string>")).otherwise(_once(F.split(_col(text), ""), of))
+
+
 def shares_ngram(a, b, n: int = 3) -> Column:
     """True when ``a`` and ``b`` share a substring of length ``n`` (the minimum matched run)."""
     a, b = _col(a), _col(b)

@@ -149,8 +149,8 @@ def pairs_to_score(vendors: DataFrame, suppliers: DataFrame, bound: Callable, ru
                    score: Callable[[DataFrame], DataFrame] | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """The (vendor_norm, supplier_norm) among which every vendor's best partner is: those
     whose bound reaches ``least``, or, without it, the vendor's best of a first round that
-    ``score`` (pairs -> vendor_norm, score) takes.  Names must be distinct and not null;
-    ``sizes``: their numbers, if known."""
+    ``score`` (pairs -> vendor_norm, score) takes; all pairs of a vendor for which it leaves
+    none.  Names must be distinct and not null; ``sizes``: their numbers, if known."""
     ship_code(vendors.sparkSession)
     v, s = vendors.select("vendor_norm"), suppliers.select("supplier_norm")
     n_v, n_s = sizes or (v.count(), s.count())
@@ -175,5 +175,4 @@ def pairs_to_score(vendors: DataFrame, suppliers: DataFrame, bound: Callable, ru
     if least is not None:
         return tiles(v.withColumn("least", F.lit(least)), None)
     best = score(tiles(v, FIRST)).groupBy("vendor_norm").agg(F.max("score").alias("least"))
-    # vendors without a first pair share a run with no supplier
-    return tiles(v.join(best, "vendor_norm"), None)
+    return tiles(v.join(best, "vendor_norm", "left").select("vendor_norm", F.coalesce("least", F.lit(0)).alias("least")), None)

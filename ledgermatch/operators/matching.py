@@ -169,14 +169,19 @@ def substring_pairs(keys: DataFrame, suppliers: DataFrame) -> DataFrame:
 def match_substring(keys: DataFrame, suppliers: DataFrame, scorer: Scorer = similarity, steps=(90,)) -> DataFrame:
     """J5 top-1: among substring-predicate partners, highest score then first supplier.
 
-    With the default scorer, vendors with such a partner at or above a threshold of ``steps``
-    are settled by the segment join (names that fulfil the predicate always share a
-    3-character run); only the rest go through the word blocking."""
+    With the default scorer, names that fulfil the predicate always share a 3-character run,
+    so the best is searched by bounds.  Where there are many names, vendors with such a
+    partner at or above a threshold of ``steps`` are settled by the segment join; only the
+    rest go through the word blocking."""
     if scorer is similarity:
         v = keys.select("vendor_norm", token_sort("vendor_norm").alias("vendor_sorted"))
         s = suppliers.select("supplier_norm", token_sort("supplier_norm").alias("supplier_sorted"),
                              "supplier_pos", "supplier")
-        done, rest = _settled(v, s, steps, "substring", smart_substring_match("vendor_norm", "supplier_norm"))
+        holds, sizes = smart_substring_match("vendor_norm", "supplier_norm"), (v.count(), s.count())
+        if sizes[0] * sizes[1] <= PAIRS_BY_BOUNDS:
+            score = lambda p: _score_full(p.where(holds), v, s)
+            return _best(score(bounded.pairs_to_score(v, s, similarity.bound, 3, None, score, sizes)), "substring")
+        done, rest = _settled(v, s, steps, "substring", holds)
         return reduce(DataFrame.unionByName, [*done, _best(_score_full(substring_pairs(rest, s), rest, s), "substring")])
     pairs = substring_pairs(keys, suppliers)
     p = pairs.join(suppliers.select("supplier_norm", "supplier_pos", "supplier"), "supplier_norm")

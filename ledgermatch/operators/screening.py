@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 
 from ledgermatch.functions.responses import extract_fenced, json_kind, strict_json
 from ledgermatch.functions.screening import screen_verdict, warning_message
+from ledgermatch.functions.text import runs_of
+from ledgermatch.operators.blocking import keyed_pairs
+from ledgermatch.session import materialize
+
+#: Length of the runs by which keywords of a table are found.
+RUN = 3
 
 
 def _truthy(v) -> Column:
@@ -50,3 +56,40 @@ def screen_texts(texts: DataFrame, text_col: str = "text", keywords=None,
         out = j.select(*texts.columns,
                        screen_verdict(F.col(text_col), F.col("parsed"), keywords).alias("verdict"))
     return out.select("*", warning_message("verdict").alias("warning"))
+
+
+def flag_by_table(texts: DataFrame, keywords: DataFrame, text_col: str = "text",
+                  pairs_per_cell: int | None = None) -> DataFrame:
+    """``texts`` with ``flagged``: the keywords of a table (``place, keyword``; places unique)
+    that occur in the lower-cased text, in the order of their places.  The same as
+    ``flag_keywords`` with the keywords as a list, for tables too large for a plan.
+
+    Every keyword is filed under its run of three characters that the fewest keywords have
+    (shorter ones under themselves).  Texts meet keywords in an equi-join on the texts'
+    distinct runs, hot runs cut into cells, and only then is the keyword looked for in the
+    text.  Null keywords are ignored; the empty keyword occurs in every text but null."""
+    rows = materialize(texts.withColumn("__lm_low", F.lower(F.col(text_col))).withColumn("__lm_row", F.monotonically_increasing_id()), "screen-texts")
+    known = materialize(keywords.where("keyword is not null").select(F.col("place").alias("__lm_place"), F.col("keyword").alias("__lm_word")), "screen-keywords")
+    size = F.least(F.length("__lm_word"), F.lit(RUN))
+    filed = known.where("__lm_word <> ''")
+    runs = filed.select("__lm_place", F.explode(F.when(size < RUN, F.array("__lm_word")).otherwise(runs_of("__lm_word", [RUN]))).alias("g"))
+    held = runs.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    index = materialize(runs.join(held, "g").groupBy("__lm_place").agg(F.min(F.struct("n", "g"))["g"].alias("g")), "screen-index")
+    # one to three lengths
+    lengths = sorted(r[0] for r in filed.select(size).distinct().collect())
+    if not lengths:
+        met = rows.select("__lm_row").limit(0).withColumn("__lm_place", F.lit(0))
+    else:
+        own = rows.select("__lm_row", F.explode(runs_of("__lm_low", lengths)).alias("g"))
+        own = materialize(own.join(index.select("g").distinct(), "g", "left_semi"), "screen-runs")
+        met = keyed_pairs(own.select("g", F.col("__lm_row").alias("vendor_norm")), index.select("g", F.col("__lm_place").alias("supplier_norm")),
+                          pairs_per_cell).select(F.col("vendor_norm").alias("__lm_row"), F.col("supplier_norm").alias("__lm_place"))
+    # a group is one text's candidates
+    found = met.join(known, "__lm_place").groupBy("__lm_row").agg(F.array_sort(F.collect_list(F.struct("__lm_place", "__lm_word"))).alias("__lm_c"))
+    empty = F.array(*[F.struct(F.lit(r[0]).cast(known.schema["__lm_place"].dataType).alias("__lm_place"), F.lit("").alias("__lm_word"))
+                      for r in known.where("__lm_word = ''").select("__lm_place").limit(1).collect()])
+    out = rows.join(found, "__lm_row", "left")
+    candidates = F.coalesce("__lm_c", F.array().cast(found.schema["__lm_c"].dataType))
+    candidates = F.array_sort(F.concat(candidates, empty.cast(found.schema["__lm_c"].dataType)))
+    hits = F.filter(candidates, lambda k: F.coalesce(F.contains(F.col("__lm_low"), k["__lm_word"]), F.lit(False)))
+    return out.select(*texts.columns, F.transform(hits, lambda k: k["__lm_word"]).alias("flagged"))

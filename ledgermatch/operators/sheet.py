@@ -27,8 +27,33 @@ from pyspark.sql import functions as F
 
 from ledgermatch.functions.amounts import exact_difference, grouped_sum, has_amount, parse_amount
 from ledgermatch.functions.text import is_blank, js_trim, normalize_name
+from ledgermatch.session import materialize
 
 DEFAULT_ROWS_PER_BLOCK = 1 << 20
+#: Blocks of a sheet up to which one window carries vendors from block to block; positions
+#: with wide gaps may make more.
+BLOCKS_IN_A_WINDOW = 1 << 17
+
+
+def _carried(df: DataFrame, group: list, order: str) -> DataFrame:
+    """Per row: the last ``held`` before it in its group, and the ``head`` of the next row."""
+    w = Window.partitionBy(*group).orderBy(order)
+    return df.select(*group, order, F.last("held", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_vendor"),
+                     F.lead("head").over(w).alias("next_first"))
+
+
+def carried_over_parts(df: DataFrame, group: list, order: str) -> DataFrame:
+    """The same for groups of any size: windows run over the range partitions of a group,
+    and over one summary row for each of these."""
+    placed = df.repartitionByRange(*group, order).sortWithinPartitions(*group, order)
+    placed = materialize(placed.withColumn("_pid", F.spark_partition_id()), "sheet-blocks")
+    inner = _carried(placed, [*group, "_pid"], order)
+    ends = placed.groupBy(*group, "_pid").agg(
+        F.max_by("held", F.when(F.col("held").isNotNull(), F.col(order))).alias("held"), F.min_by("head", order).alias("head"))
+    outer = _carried(ends, group, "_pid").select(*group, "_pid", F.col("carry_vendor").alias("_before"), F.col("next_first").alias("_after"))
+    rows = inner.join(outer, [*group, "_pid"])
+    return rows.select(*group, order, F.coalesce("carry_vendor", "_before").alias("carry_vendor"),
+                       F.coalesce("next_first", "_after").alias("next_first"))
 
 
 def mark_rows(sheet: DataFrame, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) -> DataFrame:
@@ -59,14 +84,11 @@ def mark_rows(sheet: DataFrame, rows_per_block: int = DEFAULT_ROWS_PER_BLOCK) ->
         F.max(F.when(~F.col("blank"), F.struct("row_pos", "vendor"))).alias("last_row"),
         F.min(F.struct("row_pos", "blank", "amount")).alias("first_row"),
     )
-    wb = Window.partitionBy("sheet_key").orderBy("blk")
-    carry = summary.select(
-        "sheet_key", "blk",
-        F.last(F.col("last_row.vendor"), ignorenulls=True)
-        .over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_vendor"),
-        F.lead(F.struct(F.col("first_row.blank").alias("blank"),
-                        F.col("first_row.amount").alias("amount"))).over(wb).alias("next_first"),
-    )
+    summary = summary.select("sheet_key", "blk", F.col("last_row.vendor").alias("held"), F.struct(
+        F.col("first_row.blank").alias("blank"), F.col("first_row.amount").alias("amount")).alias("head"))
+    span = sheet.agg(F.max("row_pos") - F.min("row_pos")).first()[0] or 0
+    many = span // int(rows_per_block) > BLOCKS_IN_A_WINDOW
+    carry = carried_over_parts(summary, ["sheet_key"], "blk") if many else _carried(summary, ["sheet_key"], "blk")
     rows = local.join(carry, ["sheet_key", "blk"], "inner").select(
         "sheet_id", "row_pos", "vendor", "invoice_amount", "amount", "blank",
         F.coalesce("local_vendor", "carry_vendor").alias("current_vendor"),

@@ -14,6 +14,7 @@ from ledgermatch.functions import screening as SC
 from ledgermatch.functions import text as T
 from ledgermatch.operators.ordering import first_rows_per_sheet
 from ledgermatch.operators.rollup import supplier_totals
+from ledgermatch.operators.screening import flag_by_table
 from ledgermatch.operators import decisions as D
 from ledgermatch.operators import matching as M
 from ledgermatch.operators import reports as R
@@ -277,6 +278,12 @@ def flag_keywords(spark, sf):
     return d.select("doc_id", F.array_join(f, ", ").alias("flagged_text"), F.size(f).alias("n_flagged"))
 
 
+def flag_keyword_table(spark, sf):
+    """The keywords of a table, found by an index of its keywords' rarest runs."""
+    f = flag_by_table(_t(spark, sf, "documents").select("doc_id", "text"), _t(spark, sf, "keyword_table"))
+    return f.select("doc_id", F.array_join("flagged", "|").alias("flagged_text"), F.size("flagged").alias("n_flagged"))
+
+
 def _verdict_cols(df, key_cols):
     v = F.col("verdict")
     return df.select(*key_cols, v["is_offensive"].alias("is_offensive"), v["message"].alias("message"),
@@ -352,7 +359,23 @@ def sheet_head(spark, sf):
     return first_rows_per_sheet(_t(spark, sf, "vendor_sheet"), 5)
 
 
+def master_round_trip(spark, sf):
+    """The updated master written as CSV and as Parquet and read back by its layout."""
+    master = reconcile(_t(spark, sf, "noted_master"), _t(spark, sf, "vendor_sheet"), tiers=("exact",)).updated_master
+    master = materialize(master, "master").withColumnRenamed("notes", "Notes, internal")
+    path = IO.scratch_path(spark, "master")
+    back = []
+    for fmt in ("csv", "parquet"):
+        IO.write_master(master, f"{path}/{fmt}", fmt=fmt)
+        again = IO.read_master(spark, f"{path}/{fmt}")
+        order = F.lit(",".join(again.columns))
+        back.append(again.withColumnRenamed("Notes, internal", "notes").select(F.lit(fmt).alias("format"), order.alias("columns"), "*"))
+    return back[0].unionByName(back[1])
+
+
 QUERIES.update({
+    "flag_keyword_table": flag_keyword_table,
+    "master_round_trip": master_round_trip,
     "match_substring_pairs": match_substring_pairs,
     "match_substring_best": match_substring_best,
     "ranked_report": ranked_report,

@@ -106,23 +106,41 @@ select sheet_id, row_pos, case when row_pos % 3 = 0 then vendor || chr(10) || '"
     then chr(10) || vendor else vendor end as vendor, invoice_amount from vendor_sheet
 """
 
+# Keywords of a caller's table: pieces of the benchmark passages, and words that no text has.
+KEYWORD_TABLE_SQL = """
+select item_id * 4 as place, lower(substr(text, 3, 11)) as keyword from benchmark where length(text) > 20
+union all select item_id * 4 + 1, lower(substr(text, 17, 5 + item_id % 7)) from benchmark where length(text) > 40
+union all select item_id * 4 + 2, lower(substr(text, 41, 24)) from benchmark where length(text) > 80
+union all select item_id * 4 + 3, 'xq' || cast(item_id as varchar(20)) from benchmark
+"""
+
+# The master with a column of its own, whose cells and header need quotes.
+NOTED_MASTER_SQL = """
+select row_pos, supplier, invoice_total, case when row_pos % 3 = 0 then 'say "' || supplier || '",' || chr(10) || 'twice'
+  when row_pos % 3 = 1 then default_payment_method end as notes, default_payment_method from universal
+"""
+
 FIXTURES = {
     "universal": UNIVERSAL_SQL,
     "vendor_names": VENDOR_NAMES_SQL,
     "vendor_sheet": VENDOR_SHEET_SQL,
     "quoted_sheet": QUOTED_SHEET_SQL,
+    "keyword_table": KEYWORD_TABLE_SQL,
+    "noted_master": NOTED_MASTER_SQL,
     "match_responses": MATCH_RESPONSES_SQL,
     "moderation_responses": MODERATION_RESPONSES_SQL,
     "screen_texts": SCREEN_TEXTS_SQL,
 }
 
 # dependency order for CTE inlining
-_ORDER = ["universal", "vendor_names", "vendor_sheet", "quoted_sheet", "match_responses", "moderation_responses", "screen_texts"]
+_ORDER = ["universal", "vendor_names", "vendor_sheet", "quoted_sheet", "keyword_table", "noted_master", "match_responses", "moderation_responses", "screen_texts"]
 _DEPS = {
     "universal": [],
     "vendor_names": ["universal"],
     "vendor_sheet": ["vendor_names", "universal"],
     "quoted_sheet": ["vendor_sheet"],
+    "keyword_table": [],
+    "noted_master": ["universal"],
     "match_responses": ["vendor_names", "universal"],
     "moderation_responses": [],
     "screen_texts": [],

@@ -86,7 +86,8 @@ def sheet_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return listed.select(_sheet_of(file).alias("sheet_id"), file.alias("file"), F.col("_metadata.file_size").alias("size"))
 
 
-def read_sheet_csv(spark: SparkSession, path: str, multiline: bool = True, sheet: str | None = None) -> DataFrame:
+def read_sheet_csv(spark: SparkSession, path: str, multiline: bool = True, sheet: str | None = None,
+                   one_sheet: bool = False) -> DataFrame:
     """CSV sheets (header row, UTF-8, all cells text) with file order as ``row_pos``.
 
     Files may be of any size and are read by many tasks, quoted line feeds and all (see
@@ -95,7 +96,7 @@ def read_sheet_csv(spark: SparkSession, path: str, multiline: bool = True, sheet
     files.  A sheet has all columns that any file has, null where its own file has none.
     ``sheet_id`` is the text behind ``sheet_id=`` in the path, else the file path;
     ``row_pos`` counts from 1 within a sheet by (file, record).  ``sheet``: only the files of
-    this sheet are opened.
+    this sheet are opened.  ``one_sheet``: all files are parts of one sheet (null id).
     """
     keep = None if sheet is None else _sheet_of(F.col(FILE)) == F.lit(sheet)
     records, files = read_records(spark, path, keep, multiline)
@@ -104,10 +105,13 @@ def read_sheet_csv(spark: SparkSession, path: str, multiline: bool = True, sheet
         raise ValueError(f"no sheets below {path}")
     layouts = [_header_names(r["head"], r["file"]) for r in heads]
     columns = list(dict.fromkeys(n for names in layouts for n in names))
-    w = Window.partitionBy("sheet_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # written parts by their number ("part-100000" comes after "part-99999"), other files by name
+    part = F.regexp_extract("file", r"/part-(\d+)[^/]*\z", 1).try_cast("bigint")
+    w = Window.partitionBy("sheet_id").orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)
     layout = F.array_position(F.array(*[F.lit(r["head"]) for r in heads]), F.col("head")).alias("__lm_layout")
     # one row a file
-    files = files.select("file", layout, "records", _sheet_of(F.col("file")).alias("sheet_id"))
+    files = files.select("file", layout, "records",
+                         (F.lit(None).cast("string") if one_sheet else _sheet_of(F.col("file"))).alias("sheet_id"))
     files = materialize(files.select("file", "__lm_layout", "sheet_id", F.coalesce(F.sum(F.col("records") - 1).over(w), F.lit(0)).alias("__lm_off")), "csv-sheets")
     cells = ", ".join(f"c{i} string" for i in range(max(map(len, layouts))))
     options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "multiLine": "true"}
@@ -165,20 +169,46 @@ def write_sheets_csv(sheets: DataFrame, path: str) -> None:
 def write_master(master: DataFrame, path: str, sheet_name: str | None = None,
                  fmt: str = "parquet") -> str:
     """Write the updated master into ``<path>/<sheet name>`` (default sheet name as in
-    the reference).  Returns the folder written.  CSV files carry the sheet's own headers
-    and hold the rows in master order; other formats keep the canonical columns."""
-    target = f"{path.rstrip('/')}/{sheet_name or DEFAULT_MASTER_SHEET}"
-    w = master.write.mode("overwrite")
+    the reference), rows in master order.  Returns the folder written.  CSV files carry the
+    sheet's own headers; other formats keep the canonical columns.  Beside the data goes a
+    layout record (``<path>/_layout/<sheet name>``: format, and each column's place, name,
+    header and type), by which ``read_master`` gives the table back as it was."""
+    name = sheet_name or DEFAULT_MASTER_SHEET
+    target = f"{path.rstrip('/')}/{name}"
+    ordered = "row_pos" in master.columns
+    rows = master.repartitionByRange("row_pos").sortWithinPartitions("row_pos") if ordered else master
     if fmt == "csv":
-        if "row_pos" in master.columns:
-            master = master.repartitionByRange("row_pos").sortWithinPartitions("row_pos").drop("row_pos")
-        w = with_header_names(master).write.mode("overwrite")
-        w.option("header", True).option("escape", '"').option("emptyValue", "").csv(target)
+        out = with_header_names(rows.drop("row_pos"))
+        out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(target)
     else:
-        w.format(fmt).save(target)
+        rows.write.mode("overwrite").format(fmt).save(target)
+    layout = [(fmt, i, f.name, COLUMN_TO_HEADER.get(f.name, f.name), f.dataType.simpleString())
+              for i, f in enumerate(master.schema.fields)]
+    spark = master.sparkSession
+    spark.createDataFrame(layout, LAYOUT).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/_layout/{name}")
     return target
 
 
+LAYOUT = "format string, place int, name string, header string, type string"
+
+
+def read_master(spark: SparkSession, path: str, sheet_name: str | None = None) -> DataFrame:
+    """A master written by ``write_master``: its columns in their order, under canonical
+    names and with their types, extra columns included.  From CSV, ``row_pos`` numbers the
+    rows in the order written, and an empty text is null."""
+    name = sheet_name or DEFAULT_MASTER_SHEET
+    target = f"{path.rstrip('/')}/{name}"
+    layout = sorted(spark.read.schema(LAYOUT).json(f"{path.rstrip('/')}/_layout/{name}").collect(), key=lambda r: r["place"])
+    if layout[0]["format"] != "csv":
+        return spark.read.format(layout[0]["format"]).load(target).select(*[F.col(f"`{r['name']}`") for r in layout])
+    rows = read_sheet_csv(spark, target, one_sheet=True)
+    kept = {n.lower() for n in rows.columns}
+    cols = [F.col(f"`{r['name']}`").try_cast(r["type"]).alias(r["name"]) if r["name"].lower() in kept
+            else F.lit(None).cast(r["type"]).alias(r["name"]) for r in layout]
+    return rows.select(*cols)
+
+
 def render_csv_lines(df: DataFrame, order_cols=("row_pos",), key_cols=()) -> DataFrame:
     """The reference's CSV text, one line per row (``line``), plus the header text."""
     cols = [c for c in df.columns if c not in set(order_cols) | set(key_cols)]
