@@ -57,7 +57,7 @@ from r left join c using (key)
 """
 
 
-def urls(depth: int = 6, share: float = 0.02, count: int = 3, z: float = 1.96, m: float = 4.0, reject: float = 0.5) -> str:
+def urls(depth: int = 12, count: int = 3, z: float = 1.96, m: float = 4.0, reject: float = 0.5) -> str:
     def fits(host: str, path: str) -> str:
         return f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}')"
 
@@ -70,13 +70,13 @@ r as (select *, case when {fits('example.org', '/en/1')} then 'example.org/en/1'
 x as (select *, case when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block' when rule is not null then 'allow' end as said,
    list_filter(string_split(path, '/'), lambda s: s <> '') as every from r),
 t0 as (select page_id, host, path, rule, said, case said when 'block' then 1 when 'allow' then 0 end as bad, '' as template,
-   case when len(every) > {depth} then list_append(every[1:{depth}], '**') else every end as segs from x),
+   every as segs from x),
 g as (select (coalesce(sum(bad), 0) + 1)::double / (count(bad) + 2)::double as p0 from t0)"""]
     for k in range(depth + 1):
         parts.append(f"""
 s{k} as (select host, template, segs[{k + 1}] as seg, count(*) as n, count(bad) as labelled, coalesce(sum(bad), 0) as b from t{k}
    where len(segs) > {k} group by all),
-k{k} as (select * from (select *, sum(n) over (partition by host, template) as all_n from s{k}) where n >= {count} and n >= all_n * {share}),
+k{k} as (select * from s{k} where n >= {count}),
 a{k} as (select *, sum(labelled) over (partition by host, template) as l_all, sum(b) over (partition by host, template) as b_all from k{k}),
 z{k} as (select host, template, seg, case when labelled > 0 and case when l_all > labelled then
    pow(b::double / labelled - (b_all - b)::double / (l_all - labelled), 2) >

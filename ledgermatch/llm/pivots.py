@@ -100,9 +100,12 @@ def links_of_group(group: pd.DataFrame, least: float, shared: int) -> pd.DataFra
     """Links among the entries of one inverted list (or of one pair of its chunks)."""
     pivot, i, j = int(group["pivot"].iat[0]), int(group["i"].iat[0]), int(group["j"].iat[0])
     g = group.sort_values("rep", kind="stable")
-    x = np.stack(g["embedding"].to_numpy()).astype(float)
-    norm = np.linalg.norm(x, axis=1)
-    linked = (x @ x.T) / (norm[:, None] * norm[None, :]) >= least
+    lists = np.stack(g["nearest"].to_numpy())
+    ids, at = np.unique(lists, return_inverse=True)
+    has = np.zeros((len(g), len(ids)), np.float32)
+    has[np.repeat(np.arange(len(g)), lists.shape[1]), at.ravel()] = 1
+    lower = has[:, ids < pivot]
+    linked = (has @ has.T >= min(shared, lists.shape[1])) & (lower @ lower.T == 0)  # candidates of this list
     np.fill_diagonal(linked, False)
     chunk = g["chunk"].to_numpy()
     if i != j:
@@ -111,12 +114,9 @@ def links_of_group(group: pd.DataFrame, least: float, shared: int) -> pd.DataFra
     g, linked = g[some], linked[some][:, some]
     if not len(g):
         return pd.DataFrame({"rep": [], "links": [], "root": []})
-    lists = np.stack(g["nearest"].to_numpy())
-    ids, at = np.unique(lists, return_inverse=True)
-    has = np.zeros((len(g), len(ids)), np.float32)
-    has[np.repeat(np.arange(len(g)), lists.shape[1]), at.ravel()] = 1
-    lower = has[:, ids < pivot]
-    linked &= (has @ has.T >= min(shared, lists.shape[1])) & (lower @ lower.T == 0)
+    x = np.stack(g["embedding"].to_numpy()).astype(float)
+    norm = np.linalg.norm(x, axis=1)
+    linked &= (x @ x.T) / (norm[:, None] * norm[None, :]) >= least
     rep = g["rep"].to_numpy()
     found = pd.DataFrame({"rep": rep, "links": linked @ g["copies"].to_numpy(), "root": rep[_local_roots(linked)]})
     return found[linked.any(axis=1)]

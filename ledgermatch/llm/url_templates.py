@@ -4,21 +4,24 @@ Rules first: of the rules that fit a url (host equal or a subdomain, path begins
 rule's), the longest decides.
 
 The rest goes by templates learnt from the urls themselves.  Per host, the path's segments
-are generalised level by level: below a template prefix a segment stays as it is if it
-carries at least ``least_share`` of the prefix's urls (and ``least_count`` of them), all
-others become ``*``; segments below ``depth`` levels become one ``**``.  Then branches are
+are generalised level by level: below a template prefix a segment with fewer than
+``least_count`` urls becomes ``*``: that is a variable position.  Then branches are
 merged: a branch whose labelled share of bad urls does not differ significantly (two-sided
 z test) from that of its siblings, or from the overall share where they have no label,
-joins the common branch ``~`` of its prefix; one without labels does, too.  A template
-is rejected if its smoothed purity, (bad + m p) / (labelled + m), reaches
-``reject_at``; p is the host's share smoothed by the overall share in the same way.
-
-Every step is a partial aggregate over urls and a join with a table of kept segments that
-holds at most ``1 / least_share`` rows a prefix.
+joins the common branch ``~`` of its prefix; one without labels does, too.  So a segment
+has a branch of its own where there is evidence for it, however many segments there are and
+however deep.  A template is rejected if its smoothed purity, (bad + m p) / (labelled + m),
+reaches ``reject_at``; p is the host's share smoothed by the overall share in the same way.
+
+The tree grows over distinct paths, one staged level at a time, until no prefix is open: one
+with fewer than ``least_count`` urls or with a single path ends at once.  A level is a few
+partial sums by (host, prefix, segment) and two joins with their results.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +30,6 @@ from ledgermatch.session import materialize
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DEPTH = 6
-LEAST_SHARE = 0.02
 LEAST_COUNT = 3
 Z = 1.96
 SMOOTHING = 4.0
@@ -73,10 +74,9 @@ def rule_of(host, path, rules=RULES) -> Column:
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def segments(path, depth: int = DEPTH) -> Column:
-    """The path's segments (no empty ones); what lies below ``depth`` is one ``**``."""
-    s = F.filter(F.split(_column(path), "/"), lambda x: x != "")
-    return F.when(F.size(s) > depth, F.concat(F.slice(s, 1, depth), F.array(F.lit("**")))).otherwise(s)
+def segments(path) -> Column:
+    """The path's segments (no empty ones)."""
+    return F.filter(F.split(_column(path), "/"), lambda x: x != "")
 
 
 def overall_share(urls: DataFrame) -> float:
@@ -84,39 +84,51 @@ def overall_share(urls: DataFrame) -> float:
     return urls.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.count("bad") + 2)).first()[0]
 
 
-def templates(urls: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE,
-              least_count: int = LEAST_COUNT, z: float = Z) -> DataFrame:
+def _apart(mine, bad, others, others_bad, overall: float, z: float) -> Column:
+    """Whether a branch's share of bad urls differs from its siblings', or from the overall
+    share where these have no label."""
+    pooled = F.when(others > 0, (others_bad + bad) / F.greatest(others + mine, F.lit(1))).otherwise(F.lit(overall))
+    spread = pooled * (1 - pooled) * (1 / F.greatest(mine, F.lit(1)) + F.when(others > 0, 1 / F.greatest(others, F.lit(1))).otherwise(F.lit(0.0)))
+    gap = bad / F.greatest(mine, F.lit(1)) - F.when(others > 0, others_bad / F.greatest(others, F.lit(1))).otherwise(F.lit(overall))
+    return (mine > 0) & (gap * gap > z * z * spread)
+
+
+def templates(urls: DataFrame, least_count: int = LEAST_COUNT, z: float = Z) -> DataFrame:
     """``urls``: columns host, path and bad (1, 0 or null: no label).  Returns the same rows
     with ``template``, the generalised and merged path (``/`` between segments)."""
-    now = urls.withColumn("__lm_s", segments("path", depth)).withColumn("template", F.lit(""))
-    overall = F.lit(overall_share(urls))
-    deepest = now.agg(F.max(F.size("__lm_s"))).first()[0] or 0
-    for level in range(deepest):
-        now = now.withColumn("__lm_x", F.get("__lm_s", F.lit(level)))
-        stats = materialize(
-            now.where("__lm_x is not null").groupBy("host", "template", F.col("__lm_x").alias("seg"))
-            .agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.sum("bad").alias("bad")), "url-segments")
-        total = stats.groupBy("host", "template").agg(F.sum("n").alias("all_n"))
-        kept = (stats.join(total, ["host", "template"])
-                .where((F.col("n") >= least_count) & (F.col("n") >= F.col("all_n") * least_share))
-                .drop("all_n"))
+    overall = overall_share(urls)
+    sums = [F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
+    paths = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    now = materialize(paths.select("*", segments("path").alias("rest"), F.lit("").alias("template")), "url-paths")
+    done = [now.where(F.size("rest") == 0).select("host", "path", "template")]
+    now = now.where(F.size("rest") > 0)
+    while not now.isEmpty():
+        # prefixes with too few urls, or one path only, need no further level
+        prefix = now.groupBy("host", "template").agg(F.count(F.lit(1)).alias("p_paths"), F.sum("n").alias("p_n"),
+                                                     F.sum("labelled").alias("p_l"), F.sum("bad").alias("p_b"))
+        prefix = materialize(prefix, "url-prefixes")
+        at = now.join(prefix, ["host", "template"])
+        alone = F.when(_apart(F.col("p_l"), F.col("p_b"), F.lit(0), F.lit(0), overall, z), F.concat(F.lit("/"), F.array_join("rest", "/"))).otherwise(
+            F.repeat(F.lit("/~"), F.size("rest")))
+        ends = F.when(F.col("p_n") < least_count, F.repeat(F.lit("/*"), F.size("rest"))).when(F.col("p_paths") == 1, alone)
+        at = materialize(at.select("host", "path", "n", "labelled", "bad", "rest", "template", ends.alias("ends")), "url-level")
+        done.append(at.where("ends is not null").select("host", "path", F.concat("template", "ends").alias("template")))
+        now = at.where("ends is null").drop("ends").withColumn("seg", F.get("rest", F.lit(0)))
+        stats = now.groupBy("host", "template", "seg").agg(*sums).where(F.col("n") >= least_count)
+        kept = materialize(stats, "url-segments")
         # siblings: the kept branches of the prefix, less the branch itself
-        around = kept.groupBy("host", "template").agg(
-            F.sum("labelled").alias("l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-        mine, bad = F.col("labelled"), F.coalesce(F.col("bad"), F.lit(0))
-        l2, b2 = F.col("l") - mine, F.col("b") - bad
-        pooled = F.when(l2 > 0, F.col("b") / F.greatest(F.col("l"), F.lit(1))).otherwise(overall)
-        spread = pooled * (1 - pooled) * (1 / F.greatest(mine, F.lit(1)) + F.when(l2 > 0, 1 / F.greatest(l2, F.lit(1))).otherwise(F.lit(0.0)))
-        gap = bad / F.greatest(mine, F.lit(1)) - F.when(l2 > 0, b2 / F.greatest(l2, F.lit(1))).otherwise(overall)
-        apart = (mine > 0) & (gap * gap > z * z * spread)
-        named = kept.join(around, ["host", "template"]).select(
-            F.col("host").alias("__lm_h"), F.col("template").alias("__lm_t"), F.col("seg").alias("__lm_seg"),
-            F.when(apart, F.col("seg")).otherwise(F.lit("~")).alias("__lm_as"))
-        now = now.join(named, (F.col("host") == F.col("__lm_h")) & (F.col("template") == F.col("__lm_t"))
-                       & (F.col("__lm_x") == F.col("__lm_seg")), "left")
-        part = F.when(F.col("__lm_x").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("__lm_as", F.lit("*"))))
-        now = now.withColumn("template", F.concat("template", part)).drop("__lm_x", "__lm_h", "__lm_t", "__lm_seg", "__lm_as")
-    return now.drop("__lm_s")
+        around = kept.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        apart = _apart(F.col("labelled"), F.col("bad"), F.col("l") - F.col("labelled"), F.col("b") - F.col("bad"), overall, z)
+        named = materialize(kept.join(around, ["host", "template"]).select("host", "template", "seg", F.when(apart, F.col("seg")).otherwise(F.lit("~")).alias("as")), "url-branches")
+        now = now.join(named, ["host", "template", "seg"], "left").select(
+            "host", "path", "n", "labelled", "bad", F.slice("rest", F.lit(2), F.greatest(F.size("rest") - 1, F.lit(0))).alias("rest"),
+            F.concat("template", F.lit("/"), F.coalesce("as", F.lit("*"))).alias("template"))
+        now = materialize(now, "url-paths")
+        done.append(now.where(F.size("rest") == 0).select("host", "path", "template"))
+        now = now.where(F.size("rest") > 0)
+    found = materialize(reduce(DataFrame.unionByName, done), "url-found")
+    rows = urls.drop("template")
+    return rows.join(found, ["host", "path"]).select(*rows.columns, "template")
 
 
 def purities(templated: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:

@@ -332,6 +332,21 @@ def test_urls(spark):
     assert url_templates.judge(d.limit(0)).count() == 0
 
 
+def test_url_sections_have_no_share_or_depth_limit(spark):
+    deep = "/".join("abcdefgh")
+    urls = [(f"http://h.x/s{k}/{i}", 1 if k == 7 and i < 40 else 0 if i < 40 else None) for k in range(60) for i in range(100)]
+    urls += [(f"http://d.x/{deep}/{'bad' if i % 2 else 'good'}/{i}", i % 2 if i < 90 else None) for i in range(100)]
+    urls += [("http://e.x/" + "q/" * 200, b) for b in (0, 1, None, None)]
+    d = spark.createDataFrame(urls, "url string, bad int").select(
+        "url", url_templates.host_of("url").alias("host"), url_templates.path_of("url").alias("path"), "bad")
+    t = url_templates.templates(d)
+    p = {(r["host"], r["template"]): r["purity"] for r in rows(url_templates.purities(t))}
+    got = {r["url"]: p[r["host"], r["template"]] >= 0.5 for r in rows(t)}
+    assert t.count() == len(urls) and len(got) == len({u for u, _ in urls})
+    for u, _ in urls[:6100]:
+        assert got[u] == ("/s7/" in u or "/bad/" in u), u
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 24))
@@ -418,6 +433,15 @@ def test_training_order(spark, docs, empty):
     training_order.write_shards(docs, again, rank_path, P.PATTERN, end, 9, length, 4)
     digest = lambda x: sorted((r["slot"], hashlib.sha256(r["ids"]).hexdigest()) for r in rows(training_order.read_sequences(spark, x, length)))
     assert digest(path) == digest(again)
+    # nor does it matter when the sorts spill
+    spill = "spark.shuffle.spill.numElementsForceSpillThreshold"
+    spilled = training_order.shards_folder(spark, "test-shards")
+    spark._jsc.sc().conf().set(spill, "10")
+    try:
+        training_order.write_shards(docs, spilled, rank_path, P.PATTERN, end, 9, length, 4)
+    finally:
+        spark._jsc.sc().conf().remove(spill)
+    assert digest(path) == digest(spilled)
     nothing = training_order.shards_folder(spark, "test-none")
     empty.write.parquet(nothing)
     assert training_order.write_shards(spark.read.parquet(nothing), path + "x", rank_path, P.PATTERN, end, 9) == 0
