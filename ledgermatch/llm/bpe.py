@@ -44,6 +44,7 @@ WIDTH = 64
 PART = 1 << 19
 #: Slices that a worker keeps; beyond it the cache starts anew (results do not change).
 CACHE_SLICES = 300_000
+CACHE_CHARS = 12_000_000
 #: Bytes beyond which a slice is merged by itself.
 LONG_SLICE = 64
 NO_PAIR = 1 << 40
@@ -264,6 +265,7 @@ class Codec:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in rank_file.splitlines() if x)}
         self.table = np.frombuffer(zlib.decompress(classes), np.uint8)
         self.cache = Merger(self.ranks)
+        self.held = 0  # characters of its slices
         self.vocabulary = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             self.vocabulary[i] = token
@@ -287,9 +289,12 @@ class Codec:
         for a, b in pieces(texts, len, PART):
             found, starts, first = self.slices(texts[a:b])
             new = set(found).difference(self.cache)
-            if len(self.cache) + len(new) > CACHE_SLICES:
+            size = sum(map(len, new))
+            if len(self.cache) + len(new) > CACHE_SLICES or self.held + size > CACHE_CHARS:
                 self.cache.clear()
                 new = set(found)
+                self.held, size = 0, sum(map(len, new))
+            self.held += size
             self.cache.learn(new)
             get, base = self.cache.__getitem__, 0
             for k in range(b - a):

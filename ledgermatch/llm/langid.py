@@ -38,6 +38,9 @@ BACKOFF = math.log(0.4)
 UNSEEN = 0.5
 #: Words a worker keeps; beyond it the cache starts anew (results do not change).
 CACHE_WORDS = 400_000
+CACHE_CHARS = 16_000_000
+#: Least share of a text's words that its language knows, for texts of ``ENOUGH_WORDS`` and more.
+KNOWN_SHARE, ENOUGH_WORDS = 0.25, 5
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -120,6 +123,8 @@ class Predictor:
         self.langs = packed["langs"]
         n = len(self.langs)
         self.known, self.logs = self._table(packed["words"])
+        counts = np.frombuffer(packed["words"][1], np.int64)
+        self.occurs = counts.reshape(-1, n) > 0 if n else np.zeros((0, 0), bool)
         # one table for the n-grams of all lengths, the cost of backing off included; its last
         # row stands for places where no n-gram is known
         self.grams: dict[str, int] = {}
@@ -132,7 +137,9 @@ class Predictor:
         floor = logs[-1].min() + BACKOFF if len(logs[-1]) else math.log(UNSEEN) + len(NGRAMS) * BACKOFF
         self.gram_logs = np.concatenate([*logs, np.full((1, n), floor)])
         self.rows: dict[str, int] = {}
+        self.held = 0  # characters of the words kept
         self.table = np.zeros((1 << 12, n))
+        self.seen = np.zeros((1 << 12, n), bool)  # languages that know the word
 
     def _table(self, packed: tuple[str, bytes]) -> tuple[dict[str, int], np.ndarray]:
         """Row numbers of the entries, and their smoothed log frequencies by language."""
@@ -160,23 +167,29 @@ class Predictor:
         k = len(self.rows)
         if k == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
         self.table[k] = self.word(w)
+        hit = self.known.get(w)
+        self.seen[k] = False if hit is None else self.occurs[hit]
+        self.held += len(w)
         self.rows[w] = k
         return k
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float, int]:
+        """Language, score, share of the words that the language knows, and their number."""
         ws = _WORD.findall((text or "").lower())
         if not self.langs or not any(c.isalpha() for w in ws for c in w):
-            return UNDETERMINED, 0.0
-        if len(self.rows) > CACHE_WORDS:
+            return UNDETERMINED, 0.0, 0.0, len(ws)
+        if len(self.rows) > CACHE_WORDS or self.held > CACHE_CHARS:
             self.rows.clear()
+            self.held = 0
         get = self.rows.get
         at = [get(w, -1) for w in ws]
         if -1 in at:
             at = [k if k >= 0 else (get(w, -1) if w in self.rows else self.row(w)) for k, w in zip(at, ws)]
         sums = self.table[at].sum(axis=0)
         best = int(sums.argmax())
-        return self.langs[best], float(1 / np.exp(sums - sums[best]).sum())
+        return self.langs[best], float(1 / np.exp(sums - sums[best]).sum()), float(self.seen[at, best].mean()), len(ws)
 
 
 _PREDICTORS: dict[str, Predictor] = {}
@@ -190,18 +203,19 @@ def predictor(packed: dict, key: str) -> Predictor:
 
 
 def language(model: dict):
-    """Column function: text -> struct of lang_pred and score."""
+    """Column function: text -> struct of lang_pred, score, known (share of the text's words
+    that the language knows) and n_words."""
     ship()
     packed = pack(model)
     key = hashlib.sha256(pickle.dumps(packed)).hexdigest()
 
-    @arrow_udf("struct<lang_pred: string, score: double>")
+    @arrow_udf("struct<lang_pred: string, score: double, known: double, n_words: bigint>")
     def predict(text: pa.Array) -> pa.Array:
         p = predictor(packed, key)
         got = [p.predict(t) for t in text.to_pylist()]
         return pa.StructArray.from_arrays(
-            [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
-            ["lang_pred", "score"])
+            [pa.array([x[i] for x in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64()))],
+            ["lang_pred", "score", "known", "n_words"])
 
     return predict
 
@@ -218,8 +232,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return docs.withColumn("__lm_lang", language(model)(F.col(text_col)))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, **limits) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or scored below ``least``."""
+def keep_identified(docs: DataFrame, least: float = 0.5, known: float = KNOWN_SHARE, **limits) -> DataFrame:
+    """``docs`` without the rows whose language is undetermined, scored below ``least``, or
+    knows less than ``known`` of their words.  The last does not depend on a text's length:
+    however long, text in no learnt language goes; texts of under ``ENOUGH_WORDS`` words are
+    too short to tell and go by the score alone."""
     got = F.col("__lm_lang")
     marked = identify(docs, **limits)
-    return marked.where((got["lang_pred"] != UNDETERMINED) & (got["score"] >= least)).drop("__lm_lang")
+    familiar = (got["known"] >= known) | (got["n_words"] < ENOUGH_WORDS)
+    return marked.where((got["lang_pred"] != UNDETERMINED) & (got["score"] >= least) & familiar).drop("__lm_lang")

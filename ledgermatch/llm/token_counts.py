@@ -28,6 +28,7 @@ from ledgermatch.llm.common import pieces, replace_columns, ship, utf8_lists
 
 #: Pre-tokens a worker keeps; beyond it the cache starts anew (results do not change).
 CACHE_PRETOKENS = 600_000
+CACHE_CHARS = 24_000_000
 #: Characters handled at once.
 PART = 1 << 20
 MARK = "▁"
@@ -75,6 +76,7 @@ class Counter(dict):
         self.find = re.compile(cut).findall
         self.whole = dict.fromkeys(whole, 1)
         self.update(self.whole)
+        self.held = 0  # characters kept
         self.line = self.sp.encode("\n")[1:]  # without the space mark put first
 
     def learn(self, pretokens: set[str]) -> None:
@@ -95,10 +97,13 @@ class Counter(dict):
             found = [self.find(" " + t.replace(MARK, " ")) if t else [] for t in texts[a:b]]
             every = set().union(*found)
             new = every.difference(self)
-            if len(self) + len(new) > CACHE_PRETOKENS:
+            size = sum(map(len, new))
+            if len(self) + len(new) > CACHE_PRETOKENS or self.held + size > CACHE_CHARS:
                 self.clear()
                 self.update(self.whole)
                 new = every.difference(self)
+                self.held, size = 0, sum(map(len, new))
+            self.held += size
             self.learn(new)
             out += [sum(map(self.__getitem__, f)) for f in found]
         return np.array(out, np.int64)
