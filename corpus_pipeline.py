@@ -1,6 +1,6 @@
 """A corpus pipeline of four operators; each stage works on all its predecessor kept.
 
-language   drops documents whose language is undetermined or uncertain
+language   drops documents whose language is undetermined or uncertain, or knows few of their words
 neardup    keeps one document of each group of SimHash near-duplicates
 mixture    repeats or drops documents so that sources come near their target weights
 tokens     encodes every text to token ids, decodes them and returns the digests
