@@ -143,9 +143,10 @@ def ngrams(norm, n: int = 3) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def runs_of(text, lengths: list[int]) -> Column:
-    """Distinct runs of the given lengths in a text of any length, in one pass over its
-    characters (``ngrams`` looks up each run from the start of the text, which suits names)."""
+def runs_of(text, lengths: list[int], among: list[str] | None = None) -> Column:
+    """Distinct runs of the given lengths in a text of any length (``among``: those of a short
+    list), in one pass over its characters (``ngrams`` looks up each run from the start of the
+    text, which suits names)."""
     def of(chars: Column) -> Column:
         def runs(n: int) -> Column:
             last = F.size(chars) - n
@@ -153,7 +154,8 @@ def runs_of(text, lengths: list[int]) -> Column:
             return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), run)).otherwise(
                 F.array().cast("array<string>"))
 
-        return F.array_distinct(F.concat(*[runs(n) for n in lengths]))
+        found = F.concat(*[runs(n) for n in lengths])
+        return F.array_distinct(found if among is None else F.filter(found, lambda r: r.isin(among)))
 
     return F.when(_col(text) == "", F.array().cast("array<string>")).otherwise(_once(F.split(_col(text), ""), of))
 

@@ -19,6 +19,8 @@ from ledgermatch.session import materialize
 
 #: Length of the runs by which keywords of a table are found.
 RUN = 3
+#: Distinct runs of an index up to which texts are searched for these alone.
+SHORT_INDEX = 4096
 
 
 def _truthy(v) -> Column:
@@ -68,7 +70,8 @@ def flag_by_table(texts: DataFrame, keywords: DataFrame, text_col: str = "text",
     (shorter ones under themselves).  Texts meet keywords in an equi-join on the texts'
     distinct runs, hot runs cut into cells, and only then is the keyword looked for in the
     text.  Null keywords are ignored; the empty keyword occurs in every text but null."""
-    rows = materialize(texts.withColumn("__lm_low", F.lower(F.col(text_col))).withColumn("__lm_row", F.monotonically_increasing_id()), "screen-texts")
+    rows = materialize(texts.withColumn("__lm_row", F.monotonically_increasing_id()), "screen-texts")
+    low = F.lower(F.col(text_col))
     known = materialize(keywords.where("keyword is not null").select(F.col("place").alias("__lm_place"), F.col("keyword").alias("__lm_word")), "screen-keywords")
     size = F.least(F.length("__lm_word"), F.lit(RUN))
     filed = known.where("__lm_word <> ''")
@@ -80,8 +83,13 @@ def flag_by_table(texts: DataFrame, keywords: DataFrame, text_col: str = "text",
     if not lengths:
         met = rows.select("__lm_row").limit(0).withColumn("__lm_place", F.lit(0))
     else:
-        own = rows.select("__lm_row", F.explode(runs_of("__lm_low", lengths)).alias("g"))
-        own = materialize(own.join(index.select("g").distinct(), "g", "left_semi"), "screen-runs")
+        wanted = index.select("g").distinct()
+        some = [r[0] for r in wanted.limit(SHORT_INDEX + 1).collect()]
+        if len(some) <= SHORT_INDEX:
+            own = rows.select("__lm_row", F.explode(runs_of(low, lengths, some)).alias("g"))
+        else:
+            own = rows.select("__lm_row", F.explode(runs_of(low, lengths)).alias("g")).join(wanted, "g", "left_semi")
+        own = materialize(own, "screen-runs")
         met = keyed_pairs(own.select("g", F.col("__lm_row").alias("vendor_norm")), index.select("g", F.col("__lm_place").alias("supplier_norm")),
                           pairs_per_cell).select(F.col("vendor_norm").alias("__lm_row"), F.col("supplier_norm").alias("__lm_place"))
     # a group is one text's candidates
@@ -92,4 +100,4 @@ def flag_by_table(texts: DataFrame, keywords: DataFrame, text_col: str = "text",
     candidates = F.coalesce("__lm_c", F.array().cast(found.schema["__lm_c"].dataType))
     candidates = F.array_sort(F.concat(candidates, empty.cast(found.schema["__lm_c"].dataType)))
     hits = F.filter(candidates, lambda k: F.coalesce(F.contains(F.col("__lm_low"), k["__lm_word"]), F.lit(False)))
-    return out.select(*texts.columns, F.transform(hits, lambda k: k["__lm_word"]).alias("flagged"))
+    return out.withColumn("__lm_low", low).select(*texts.columns, F.transform(hits, lambda k: k["__lm_word"]).alias("flagged"))

@@ -9,13 +9,16 @@ from ledgermatch.functions import screening as SC
 from ledgermatch.functions.scoring import similarity
 from ledgermatch.functions.text import runs_of, smart_substring_match
 from ledgermatch.operators import matching as M
+from ledgermatch.operators import screening
 from ledgermatch.operators import sheet as S
 from ledgermatch.operators.screening import flag_by_table
 from ledgermatch.session import materialize
 from ledgermatch.sources import sheets as IO
 
 
-def test_keyword_table_flags_as_the_list_does(spark):
+@pytest.mark.parametrize("short", [4096, 0])
+def test_keyword_table_flags_as_the_list_does(spark, monkeypatch, short):
+    monkeypatch.setattr(screening, "SHORT_INDEX", short)
     rng = random.Random(2)
     word = lambda n: "".join(rng.choices("abcdeé\U0001f600 .", k=n))
     words = [word(rng.randint(1, 9)) for _ in range(600)] + ["Upper", "a", "", "ab", "aab", "aab", "x" * 40, "\U0001f600\U0001f600a"]
