@@ -99,5 +99,7 @@ def flag_by_table(texts: DataFrame, keywords: DataFrame, text_col: str = "text",
     out = rows.join(found, "__lm_row", "left")
     candidates = F.coalesce("__lm_c", F.array().cast(found.schema["__lm_c"].dataType))
     candidates = F.array_sort(F.concat(candidates, empty.cast(found.schema["__lm_c"].dataType)))
-    hits = F.filter(candidates, lambda k: F.coalesce(F.contains(F.col("__lm_low"), k["__lm_word"]), F.lit(False)))
-    return out.withColumn("__lm_low", low).select(*texts.columns, F.transform(hits, lambda k: k["__lm_word"]).alias("flagged"))
+    # the lower-cased text is bound once, not at each candidate
+    hits = F.get(F.transform(F.array(low), lambda t: F.filter(
+        candidates, lambda k: F.coalesce(F.contains(t, k["__lm_word"]), F.lit(False)))), 0)
+    return out.select(*texts.columns, F.transform(hits, lambda k: k["__lm_word"]).alias("flagged"))
