@@ -8,19 +8,24 @@ unparseable verdict falls back to the keyword screen.  Texts are processed whole
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ledgermatch.functions.responses import extract_fenced, json_kind, strict_json
 from ledgermatch.functions.screening import screen_verdict, warning_message
 from ledgermatch.functions.text import runs_of
 from ledgermatch.operators.blocking import keyed_pairs
-from ledgermatch.session import materialize
+from ledgermatch.operators.keyword_index import KeywordIndex
+from ledgermatch.session import materialize, ship_code
 
 #: Length of the runs by which keywords of a table are found.
 RUN = 3
 #: Distinct runs of an index up to which texts are searched for these alone.
 SHORT_INDEX = 4096
+#: Tables of keywords up to this size (a keyword counts its bytes and its entry) go to every task.
+INDEX_BYTES, ENTRY_BYTES = 32 << 20, 64
 
 
 def _truthy(v) -> Column:
@@ -61,18 +66,36 @@ def screen_texts(texts: DataFrame, text_col: str = "text", keywords=None,
 
 
 def flag_by_table(texts: DataFrame, keywords: DataFrame, text_col: str = "text",
-                  pairs_per_cell: int | None = None) -> DataFrame:
+                  pairs_per_cell: int | None = None, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``texts`` with ``flagged``: the keywords of a table (``place, keyword``; places unique)
     that occur in the lower-cased text, in the order of their places.  The same as
     ``flag_keywords`` with the keywords as a list, for tables too large for a plan.
 
-    Every keyword is filed under its run of three characters that the fewest keywords have
-    (shorter ones under themselves).  Texts meet keywords in an equi-join on the texts'
-    distinct runs, hot runs cut into cells, and only then is the keyword looked for in the
-    text.  Null keywords are ignored; the empty keyword occurs in every text but null."""
+    Every keyword is filed under its run that the fewest keywords have.  A table of at most
+    ``index_bytes`` (its size is summed first) becomes an index that goes to the tasks, and
+    texts stay where they are (``operators.keyword_index``).  A larger table is joined with
+    the texts' runs.  Null keywords are ignored; the empty keyword occurs in every text but null."""
+    named = keywords.where("keyword is not null").select(F.col("place").alias("__lm_place"), F.col("keyword").alias("__lm_word"))
+    size = named.agg(F.sum(F.octet_length("__lm_word") + ENTRY_BYTES)).first()[0] or 0
+    if size > index_bytes:
+        return _flag_by_join(texts, named, text_col, pairs_per_cell)
+    ship_code(texts.sparkSession)
+    index = KeywordIndex([r[0] for r in named.orderBy("__lm_place").select("__lm_word").collect()])
+
+    @arrow_udf("array<string>")
+    def found(text: pa.Array) -> pa.Array:
+        return index.find(text)
+
+    return texts.select("*", found(F.lower(F.col(text_col))).alias("flagged"))
+
+
+def _flag_by_join(texts: DataFrame, keywords: DataFrame, text_col: str, pairs_per_cell: int | None) -> DataFrame:
+    """Texts meet keywords in an equi-join on the texts' distinct runs of three characters
+    (shorter keywords: on themselves), hot runs cut into cells, and only then is the keyword
+    looked for in the text."""
     rows = materialize(texts.withColumn("__lm_row", F.monotonically_increasing_id()), "screen-texts")
     low = F.lower(F.col(text_col))
-    known = materialize(keywords.where("keyword is not null").select(F.col("place").alias("__lm_place"), F.col("keyword").alias("__lm_word")), "screen-keywords")
+    known = materialize(keywords, "screen-keywords")
     size = F.least(F.length("__lm_word"), F.lit(RUN))
     filed = known.where("__lm_word <> ''")
     runs = filed.select("__lm_place", F.explode(F.when(size < RUN, F.array("__lm_word")).otherwise(runs_of("__lm_word", [RUN]))).alias("g"))

@@ -2,12 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.functions import screening as SC
 from ledgermatch.functions.scoring import similarity
 from ledgermatch.functions.text import runs_of, smart_substring_match
+from ledgermatch.operators import keyword_index
 from ledgermatch.operators import matching as M
 from ledgermatch.operators import screening
 from ledgermatch.operators import sheet as S
@@ -27,12 +29,31 @@ def test_keyword_table_flags_as_the_list_does(spark, monkeypatch, short):
     k = spark.createDataFrame([(i * 3, w) for i, w in enumerate(words)] + [(1, None)], "place long, keyword string").repartition(3)
     want = sorted((r.id, r.text, tuple(r.f or ())) for r in t.select("*", SC.flag_keywords("text", words).alias("f")).collect()
                   if r.text is not None)
-    for cell in (None, 4):
-        got = flag_by_table(t, k, pairs_per_cell=cell).collect()
+    for cell, size in ((None, 0), (4, 0), (None, screening.INDEX_BYTES)):
+        got = flag_by_table(t, k, pairs_per_cell=cell, index_bytes=size).collect()
         assert len(got) == len(texts) and [list(r.flagged) for r in got if r.text is None] == [[]]
         assert sorted((r.id, r.text, tuple(r.flagged)) for r in got if r.text is not None) == want
-    assert flag_by_table(t, k.limit(0)).where("size(flagged) > 0").isEmpty()
-    assert flag_by_table(t.limit(0), k).isEmpty()
+    for size in (0, screening.INDEX_BYTES):
+        assert flag_by_table(t, k.limit(0), index_bytes=size).where("size(flagged) <> 0").isEmpty()
+        assert flag_by_table(t.limit(0), k, index_bytes=size).isEmpty()
+
+
+@pytest.mark.parametrize("positions, compared", [(1 << 20, 1 << 21), (7, 5)])
+def test_keyword_index_finds_what_a_search_finds(monkeypatch, positions, compared):
+    """Keywords of every length, at text edges, repeated, with zero bytes; a hundred thousand of them."""
+    monkeypatch.setattr(keyword_index, "POSITIONS", positions)
+    monkeypatch.setattr(keyword_index, "COMPARED", compared)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("ab\0é\U0001f600", k=n))
+    keys = [word(rng.randint(0, 30)) for _ in range(300)] + ["", "a", "a", "ab" * 40, "\0" * 9]
+    texts = [word(rng.randint(0, 60)) for _ in range(60)] + [None, "", "ab" * 40, "b" + "ab" * 40, *keys[:40]]
+    index = keyword_index.KeywordIndex(keys)
+    for some in (pa.array(texts), pa.array(texts)[5:40], pa.array([], pa.string()), pa.array([None, None], pa.string())):
+        assert index.find(some).to_pylist() == [[] if t is None else [k for k in keys if k in t] for t in some.to_pylist()]
+    assert keyword_index.KeywordIndex([]).find(pa.array(["a", None])).to_pylist() == [[], []]
+    many = [f"key {i}" for i in range(100_000)]
+    assert keyword_index.KeywordIndex(many).find(pa.array(["no", "a key 99999."])).to_pylist() == [
+        [], ["key 9", "key 99", "key 999", "key 9999", "key 99999"]]
 
 
 def test_runs_of_a_text(spark):
