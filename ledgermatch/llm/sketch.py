@@ -22,10 +22,13 @@ from ledgermatch.llm.common import words
 
 SHINGLE = 5
 K = 128
-#: Rows with neighbours are laid out in ranges of about this many rows.
+#: Rows with neighbours are laid out in ranges of about this many rows, or the square root of
+#: their number if that is more (so the list of cuts stays a small part of the table).
 ROWS_PER_RANGE = 4096
-#: Ranges grow beyond that size rather than in number.
-MOST_RANGES = 4096
+#: Rows a range that the cuts are taken from.
+SAMPLED = 32
+#: The hash from which a whole id lies above a cut.
+LOWEST = -(1 << 63)
 
 
 def _column(c) -> Column:
@@ -98,47 +101,89 @@ def to_text(a) -> Column:
     return F.array_join(F.transform(_column(a), lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def _place(cuts: list[int]) -> Column:
-    """How many of the sorted cuts are not above doc_id (null: none), by two short scans."""
+def _key(doc_id: Column, h: Column) -> Column:
+    """The order of rows: null ids first, then ids, rows of one id by a hash of their text."""
+    return F.struct(doc_id.isNotNull().cast("int").alias("known"), F.coalesce(doc_id, F.lit(0)).alias("id"), h.alias("h"))
+
+
+def _table(cuts: list[tuple]) -> Column:
+    """Cuts as one constant array of keys."""
+    part = lambda values: F.split(F.lit(",".join(map(str, values))), ",")
+    known, ids, hashes = [int(i is not None) for i, _ in cuts], [i or 0 for i, _ in cuts], [h for _, h in cuts]
+    return F.arrays_zip(part(known), part(ids), part(hashes)).cast("array<struct<known:int,id:bigint,h:bigint>>")
+
+
+def _place(cuts: list[tuple], key: Column) -> Column:
+    """How many of the sorted cuts are not above the key, by halves."""
     if not cuts:
         return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    rows = [cuts[i:i + step] for i in range(0, len(cuts), step)]
-    table = F.array(*[F.array(*map(F.lit, r)) for r in rows])
-    heads = F.array(*[F.lit(r[0]) for r in rows])
-    below = lambda values: F.size(F.filter(values, lambda q: q <= F.col("doc_id")))
-    row = below(heads)
-    fine = F.when(row == 0, F.lit(0)).otherwise((row - 1) * step + below(F.get(table, row - 1)))
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(fine)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, b: n + F.when(F.get(_table(cuts), n + b - 1) <= key, b).otherwise(F.lit(0)))
+
+
+def _evenly(values: Column, parts: Column) -> Column:
+    """The values that cut a sorted array into so many parts."""
+    return F.when(parts > 1, F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get(
+        values, F.floor(i * F.size(values) / parts).cast("int")))).otherwise(F.array().cast("array<bigint>"))
+
+
+def find_cuts(d: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> tuple[list[tuple], int | None]:
+    """(cuts, first id): keys (id, hash) that cut rows ``doc_id, text`` into even ranges, from a
+    sample in proportion to the number of ranges.  An id (or null) that holds more than a
+    range is cut by the hashes of its texts, too.  Every range holds rows: its cut is a key
+    that occurs, and a hash that cuts lies above another one of its id."""
+    n, nulls, least = d.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id")).first()
+    size = max(rows_per_range, int(n ** 0.5))
+    chosen = F.rand(11) < min(1.0, SAMPLED / size)
+    first = None if nulls else least
+    ranges = -(-(n - nulls) // size)
+    found = []
+    if ranges > 1:
+        found = d.select("doc_id").where(chosen).agg(F.sort_array(F.collect_list("doc_id")).alias("a")).select(
+            _evenly(F.col("a"), F.lit(ranges))).first()[0]
+    parts = {i: 0 for i in found if i is not None}
+    for i in found:
+        if i is not None:
+            parts[i] += 1
+    # an id that is a cut again and again begins at the first and is cut by hash at the others
+    hot = {i: k for i, k in parts.items() if k > 1} | ({None: -(-nulls // size)} if nulls > size else {})
+    cuts = {(i, LOWEST) for i in parts if i != first or nulls} | ({(least, LOWEST)} if nulls and nulls < n else set())
+    if hot:
+        wanted = d.sparkSession.createDataFrame(list(hot.items()), "id bigint, parts int")
+        hashes = (d.where(chosen).join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("id")))
+                  .groupBy("id", "parts").agg(F.sort_array(F.collect_list(F.xxhash64("text"))).alias("a")))
+        for r in hashes.select("id", F.get("a", F.lit(0)).alias("low"), _evenly(F.col("a"), F.col("parts")).alias("cut")).collect():
+            cuts |= {(r["id"], h) for h in r["cut"] if h is not None and h > r["low"]}
+    return sorted(cuts, key=lambda c: (c[0] is not None, c[0] or 0, c[1])), first
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE,
               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """(doc_id, text, sketch, next_text, next_sketch) in the order of id, null ids first (rows
-    of one id by text); the last row's next is the first row.  Null texts are empty.
-
-    Texts are shuffled once, to ranges of ids between approximate quantiles; a range is
-    sorted on its own and no task sees all rows.  The first row of each range also goes to
-    the end of the range before it (the very first to the last range), so that every row
-    finds its next one in its own range.  All rows of one id share a range."""
+    of one id by the hash of their text); the last row's next is the first row.  Null texts
+    are empty.
+
+    Texts are shuffled once, to ranges of (id, hash of text); a range is sorted on its own
+    and no task sees all rows, also if one id holds most of them.  The first row of each
+    range also goes to the end of the range before it (the very first to the last range), so
+    that every row finds its next one in its own range.  Only rows equal in id and in text
+    always share a range."""
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    n, nulls, least = d.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id")).first()
-    ranges = min(MOST_RANGES, max(1, -(-n // rows_per_range)))
-    cuts: list[int] = []
-    if ranges > 1 and nulls < n:
-        found = d.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
-        cuts = sorted(set(found))
-    d = d.withColumn("place", _place(cuts).cast("int"))
-    # a range but the first begins with its cut, which is an id that occurs
-    begins = F.get(F.array(F.lit(None if nulls else least).cast("bigint"), *map(F.lit, cuts)), F.col("place"))
-    heads = (d.where(F.col("doc_id").eqNullSafe(begins) | (F.col("doc_id").eqNullSafe(F.lit(None if nulls else least).cast("bigint"))))
-             .groupBy("doc_id", "place").agg(F.min("text").alias("text")))
-    first = F.col("doc_id").eqNullSafe(F.lit(None if nulls else least).cast("bigint"))
-    guards = heads.select("doc_id", "text", F.explode(F.filter(F.array(
-        F.when(first, F.lit(len(cuts))), F.when(F.col("place") > 0, F.col("place") - 1)), lambda x: x.isNotNull()))
-        .alias("place"), F.lit(1).alias("late"))
+    cuts, first = find_cuts(d, rows_per_range)
+    by_hash = any(h != LOWEST for _, h in cuts)
+    d = d.withColumn("h", F.xxhash64("text"))
+    d = d.withColumn("place", _place(cuts, _key(F.col("doc_id"), F.col("h") if by_hash else F.lit(0).cast("bigint"))).cast("int"))
+    # a range but the first begins with its cut, whose key occurs
+    starts = _table([(first, LOWEST), *cuts])
+    begins = F.get(starts, F.col("place"))
+    heads = (d.where((begins["known"] == F.col("doc_id").isNotNull().cast("int")) & (begins["id"] == F.coalesce("doc_id", F.lit(0)))
+                     & ((begins["h"] == LOWEST) | (begins["h"] == F.col("h"))))
+             .groupBy("place").agg(F.min(F.struct("h", "text")).alias("head"), F.first("doc_id").alias("doc_id")))
+    before = F.when(F.col("place") > 0, F.col("place") - 1).otherwise(F.lit(len(cuts)))
+    guards = heads.select("doc_id", F.col("head")["text"].alias("text"), F.col("head")["h"].alias("h"),
+                          before.alias("place"), F.lit(1).alias("late"))
     laid = d.withColumn("late", F.lit(0)).unionByName(guards).repartitionById(len(cuts) + 1, F.col("place"))
-    w = Window.partitionBy("place").orderBy("late", F.col("doc_id").asc_nulls_first(), "text")
+    w = Window.partitionBy("place").orderBy("late", F.col("doc_id").asc_nulls_first(), "h", "text")
     return (laid.withColumn("sketch", sketch("text", k, shingle))
             .select("*", F.lead("text").over(w).alias("next_text"), F.lead("sketch").over(w).alias("next_sketch"))
             .where("late = 0").select("doc_id", "text", "sketch", "next_text", "next_sketch"))

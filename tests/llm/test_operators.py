@@ -2,6 +2,7 @@
 repeated rows, empty tables and extra columns whose names clash."""
 
 import base64
+import bisect
 import hashlib
 import random
 import re
@@ -225,10 +226,15 @@ def plain_likeness(a, b):
     return len(set(a) & set(b) & set(u)) / len(u) if u else 1.0
 
 
+def order_of_rows(r):
+    h = xxhash.xxh64((r[1] or "").encode(), seed=42).intdigest()
+    return r[0] is not None, r[0] or 0, h - (1 << 64) if h >> 63 else h, (r[1] or "").encode()
+
+
 @pytest.mark.parametrize("per_range", [1, 4, 4096])
 def test_fingerprints(docs, empty, per_range, monkeypatch):
     monkeypatch.setattr(sketch.with_next, "__defaults__", sketch.with_next.__defaults__[:-1] + (per_range,))
-    data = sorted(((r[0], r[1] or "") for r in docs_rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    data = sorted(((r[0], r[1] or "") for r in docs_rows()), key=order_of_rows)
     want = []
     for i, (k, t) in enumerate(data):
         after = data[(i + 1) % len(data)][1]
@@ -242,6 +248,29 @@ def test_fingerprints(docs, empty, per_range, monkeypatch):
     assert sketch.edit_likeness(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, -3, 900, 5000])
+def test_next_rows_of_hot_ids(spark, hot):
+    """One id (or null; the first, one in between, the last) holds a third of all rows: several
+    ranges share it, every row has its one next, and no range holds more than a few times its share."""
+    data = [(i, f"t {i}") for i in range(1200)] + [(hot, f"hot {i % 550}") for i in range(600)] + [(None, "n"), (7, ""), (7, "")]
+    d = spark.createDataFrame(data, "doc_id bigint, text string").repartition(5)
+    got = [(r["doc_id"], r["text"], r["next_text"]) for r in sketch.with_next(d, rows_per_range=20).collect()]
+    data.sort(key=order_of_rows)
+    assert sorted(got, key=repr) == sorted(((*r, data[(i + 1) % len(data)][1]) for i, r in enumerate(data)), key=repr)
+    cuts, _ = sketch.find_cuts(d, 20)
+    keys = [order_of_rows(r)[:3] for r in data]
+    edges = [bisect.bisect_left(keys, (c[0] is not None, c[0] or 0, c[1])) for c in cuts]
+    sizes = [b - a for a, b in zip([0, *edges], [*edges, len(data)])]
+    assert len([c for c in cuts if c[0] == hot]) >= 10 and min(sizes) >= 1 and max(sizes) < 4 * 42
+
+
+def test_containment(spark):
+    w = [f"w{i}" for i in range(3000)]
+    d = spark.createDataFrame([(" ".join(w[:1000]), " ".join(w)), (" ".join(w), " ".join(w[:1000])), ("", "a"), ("a b", ""), ("a b", "a b")], "a string, b string")
+    got = [r[0] for r in d.select(sketch.containment(sketch.sketch("a"), sketch.sketch("b"))).collect()]
+    assert got[0] > 0.75 and abs(got[1] - 1 / 3) < 0.15 and got[2:] == [1.0, 0.0, 1.0]
+
+
 def test_sketch_parts_merge(spark):
     w = [f"w{i}" for i in range(900)]
     parts = [(1, " ".join(w[i:i + 34])) for i in range(0, 900, 30)]  # overlap by four words
