@@ -43,16 +43,24 @@ VENDOR_SHEET_SQL = """
 with li as (select l_suppkey as k, l_orderkey % 16 as sheet_id, cast(l_extendedprice as decimal(12,2)) as p,
    row_number() over (partition by l_suppkey, l_orderkey % 16
      order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate) as rn from lineitem),
- tot as (select k, sheet_id, cast(sum(p) as varchar(30)) as t from li group by k, sheet_id),
- r as (select sheet_id, 0 as blk, k, 0 as kind, rn, true as named, cast(p as varchar(30)) as amt from li
-  union all select sheet_id, 0, k, 1, 0, false, case when length(t) > 6
-     then '$' || substr(t, 1, length(t) - 6) || ',' || substr(t, length(t) - 5) else t end from tot where k % 7 <> 0
-  union all select sheet_id, 0, k, 2, 0, false, '0' from tot where k % 11 = 0
-  union all select sheet_id, 1, k, 0, 0, true, '5.00' from tot where k % 13 = 0
-  union all select sheet_id, 1, k, 1, 0, false, '(5.00)' from tot where k % 13 = 0)
-select sheet_id, row_number() over (partition by sheet_id order by blk, r.k, kind, rn) as row_pos,
-  case when named then vendor end as vendor, amt as invoice_amount
-from r join vendor_names v on v.k = r.k
+ tot as (select li.k, sheet_id, vendor, floor(li.k / 1024) as part, cast(sum(p) as varchar(30)) as t, count(*) as n,
+     count(*) + case when li.k % 7 <> 0 then 1 else 0 end + case when li.k % 11 = 0 then 1 else 0 end as first_rows,
+     case when li.k % 13 = 0 then 2 else 0 end as second_rows
+   from li join vendor_names v on v.k = li.k group by li.k, sheet_id, vendor),
+ parts as (select sheet_id, part, sum(first_rows) as f, sum(second_rows) as s from tot group by sheet_id, part),
+ begun as (select sheet_id, part, sum(f) over (partition by sheet_id order by part) - f as f,
+     sum(f) over (partition by sheet_id) + sum(s) over (partition by sheet_id order by part) - s as s from parts),
+ placed as (select tot.*, f + sum(first_rows) over (partition by tot.sheet_id, tot.part order by k) - first_rows as first_at,
+     s + sum(second_rows) over (partition by tot.sheet_id, tot.part order by k) - second_rows as second_at
+   from tot join begun on begun.sheet_id = tot.sheet_id and begun.part = tot.part),
+ r as (select li.sheet_id, first_at + rn as pos, vendor, cast(p as varchar(30)) as amt
+     from li join placed on placed.k = li.k and placed.sheet_id = li.sheet_id
+  union all select sheet_id, first_at + n + 1, null, case when length(t) > 6
+     then '$' || substr(t, 1, length(t) - 6) || ',' || substr(t, length(t) - 5) else t end from placed where k % 7 <> 0
+  union all select sheet_id, first_at + first_rows, null, '0' from placed where k % 11 = 0
+  union all select sheet_id, second_at + 1, vendor, '5.00' from placed where k % 13 = 0
+  union all select sheet_id, second_at + 2, null, '(5.00)' from placed where k % 13 = 0)
+select sheet_id, cast(pos as bigint) as row_pos, vendor, amt as invoice_amount from r
 """
 
 # Externally produced match decisions: supplier null (0) / wrong case (1) / no match_type (2)
