@@ -132,12 +132,13 @@ _ = (HAS,)  # fragments kept importable for ad-hoc checks
 
 
 # ---------------------------------------------------------------- later operator families
+from checks import sqltext as _T  # noqa: E402
 from checks.sqltext import ANY_FENCE, CSVLINE, LEAD_FENCE, NUMTEXT, SUBSTRING_MATCH  # noqa: E402
-from ledgermatch.functions import screening as _S  # noqa: E402
+from ledgermatch.functions.screening import FALLBACK_KEYWORDS  # noqa: E402
 
 _RES = _cte(MARKED(), SUPPLIERS, KEYS, EXACT)
-_KW = "[" + ", ".join(f"'{k}'" for k in _S.FALLBACK_KEYWORDS) + "]"
-_WARN = f"'{_S.WARNING_PREFIX}{_S.WARNING_SUFFIX}'"
+_KW = "[" + ", ".join(f"'{k}'" for k in FALLBACK_KEYWORDS) + "]"
+_WARN = f"'{_T.WARNING}{_T.REMOVED}'"
 
 _PARSED = f"""
 rt as (select request_id, {LEAD_FENCE('response')} as json_text from match_responses),
@@ -174,19 +175,19 @@ def _screen(text: str, fallback_only: bool, keywords: str = _KW) -> str:
     else:
         use_parsed = "coalesce(pv_ok, false)"
     sev = "coalesce(nullif(pv_sev, ''), 'medium')"
-    pmsg = (f"'{_S.WARNING_PREFIX}' || case when {sev} = 'high' then '{_S.SERIOUS_SENTENCE}' else '' end "
-            f"|| '{_S.WARNING_SUFFIX}'")
+    pmsg = (f"'{_T.WARNING}' || case when {sev} = 'high' then '{_T.SERIOUS}' else '' end "
+            f"|| '{_T.REMOVED}'")
     pflag = "array_to_string(coalesce(pv_words, []::varchar[]), ', ')"
     off = f"coalesce(pv_off, false)"
     return f"""
   case when {BLANK(text)} then false when {use_parsed} then {off} else {hit} > 0 end as is_offensive,
-  case when {BLANK(text)} then '{_S.MSG_EMPTY}'
-       when {use_parsed} then case when {off} then {pmsg} else '{_S.MSG_CLEAN}' end
-       when {hit} > 0 then {_WARN} else '{_S.MSG_FALLBACK_CLEAN}' end as message,
-  case when {BLANK(text)} then '{_S.DETAILS_EMPTY}'
-       when {use_parsed} then case when {off} then coalesce(nullif(pv_reason, ''), '{_S.DETAILS_OFFENSIVE}')
-                                   else coalesce(nullif(pv_reason, ''), '{_S.DETAILS_CLEAN}') end
-       when {hit} > 0 then '{_S.DETAILS_FALLBACK_HIT}' else '{_S.DETAILS_FALLBACK_CLEAN}' end as details,
+  case when {BLANK(text)} then '{_T.VALID}'
+       when {use_parsed} then case when {off} then {pmsg} else '{_T.APPROPRIATE}' end
+       when {hit} > 0 then {_WARN} else '{_T.COMPLETED}' end as message,
+  case when {BLANK(text)} then '{_T.INVALID}'
+       when {use_parsed} then case when {off} then coalesce(nullif(pv_reason, ''), '{_T.OFFENSIVE}')
+                                   else coalesce(nullif(pv_reason, ''), '{_T.NONE_FOUND}') end
+       when {hit} > 0 then '{_T.FOUND}' else '{_T.NOT_OBVIOUS}' end as details,
   case when {BLANK(text)} then null when {use_parsed} then case when {off} then {sev} else 'none' end
        when {hit} > 0 then 'medium' else 'none' end as severity,
   case when {BLANK(text)} then '' when {use_parsed} then case when {off} then {pflag} else '' end

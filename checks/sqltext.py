@@ -3,11 +3,26 @@ semantics in plain SQL; used only for checking)."""
 
 from __future__ import annotations
 
-from ledgermatch.functions.text import JS_TRIM_PATTERN, STOP_WORDS
+# --- fixed values, stated apart from the engine's so that a mistake there shows ---------
+# Code points that a script's trim removes.
+SPACES = "".join(map(chr, [9, 10, 11, 12, 13, 32, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279]))
+# Company words that do not count as shared words.
+STOP_WORDS = ["foods", "beverages", "inc", "llc", "corp", "company", "co", "ltd", "limited"]
+# Texts of the screen.
+WARNING = "⚠️ Using offensive language is prohibited. "
+SERIOUS = "This is a serious violation. "
+REMOVED = "If continued, you will be removed permanently."
+VALID, INVALID = "Content is valid", "Empty or invalid input"
+FOUND = "Detected potentially offensive content (fallback detection)"
+COMPLETED = "Content check completed"
+NOT_OBVIOUS = "API error, but no obvious offensive content detected"
+APPROPRIATE, NONE_FOUND = "Content is appropriate", "No offensive content detected"
+OFFENSIVE = "Contains offensive content"
+# -----------------------------------------------------------------------------------------
 
 
 def JT(x: str) -> str:
-    return f"regexp_replace({x}, '{JS_TRIM_PATTERN}', '', 'g')"
+    return f"trim({x}, '{SPACES}')"
 
 
 def BLANK(x: str) -> str:

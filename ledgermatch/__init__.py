@@ -8,7 +8,6 @@ operators/  DataFrame operators (ordered sheet scan, matching tiers, blocking,
             rollups, decision ingest, screening).
 sources/    Readers/writers and the derived fixture tables.
 plans/      User-level pipelines composed from the operators.
-streaming/  The row-local screening operator applied to a streaming DataFrame.
 
 Everything is built from built-in Spark SQL expressions; there are no Python UDFs.
 """
