@@ -9,7 +9,8 @@ operators/  DataFrame operators (ordered sheet scan, matching tiers, blocking,
 sources/    Readers/writers and the derived fixture tables.
 plans/      User-level pipelines composed from the operators.
 
-Everything is built from built-in Spark SQL expressions; there are no Python UDFs.
+Everything is built from built-in Spark SQL expressions, but for two numpy helpers inside
+tasks (``operators.bounded``, ``operators.keyword_index``).
 """
 
 from ledgermatch.session import ensure_checkpoint_dir, get_session, materialize
